@@ -82,7 +82,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(line)) AS BIGINT) AS formatted_chars
 FROM rendered GROUP BY conv_id
-""".replace("\\", "\")
+"""
 
 _OP2_SQL = r"""
 WITH parsed AS (
@@ -126,6 +126,6 @@ shrink AS (
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled LEFT JOIN judged USING (host)
-""".replace("\\", "\")
+"""
 
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1_SQL, "op2_url_filter": _OP2_SQL}
