@@ -121,29 +121,26 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Counter:
     return done
 
 
+@lru_cache(100_000)
+def _sums(bin_: tuple) -> tuple[np.ndarray, np.ndarray, dict]:
+    """Totals of one length of a bin, of two, ascending, and lengths that make each total, one where one does."""
+    ones = {(x,): x for x in bin_}
+    twos = {(bin_[i], bin_[j]): bin_[i] + bin_[j] for i in range(len(bin_)) for j in range(i + 1, len(bin_))}
+    made = {t: k for k, t in [*twos.items(), *ones.items()]}
+    return np.unique(list(ones.values())), np.unique(list(twos.values()) or [0])[0 if twos else 1 :], made
+
+
 def _exchange(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
-    """The exchange that fills bin b (the fuller) most from bin a: a move, one for one, or two for one; None if none does."""
-    room, gain, best = capacity - sum(b), 0, None
-    ones = sorted(set(a), reverse=True)
-    for x in ones:  # move
-        if gain < x <= room:
-            gain, best = x, ((x,), ())
-    for y in sorted(set(b)):
-        for x in ones:  # one for one
-            if gain < x - y <= room:
-                gain, best = x - y, ((x,), (y,))
-        if gain == room:
-            break
-        own = list(a)
-        for i in range(len(own)):  # two for one
-            for j in range(i + 1, len(own)):
-                if gain < own[i] + own[j] - y <= room:
-                    gain, best = own[i] + own[j] - y, ((own[i], own[j]), (y,))
-    for i in range(len(b)):  # one for two
-        for j in range(i + 1, len(b)):
-            for x in ones:
-                if gain < x - b[i] - b[j] <= room:
-                    gain, best = x - b[i] - b[j], ((x,), (b[i], b[j]))
+    """What a and b become by the exchange that fills bin b most from bin a: a move, one for one, two for one, one for two; None if none does."""
+    room, (a1, a2, a_made), (b1, b2, b_made) = capacity - sum(b), _sums(a), _sums(b)
+    gain, best = 0, None
+    for give, take in ((np.concatenate([a1, a2]), np.concatenate([[0], b1])), (a1, b2)):
+        give = np.sort(give)
+        at = np.searchsorted(give, take + room, "right") - 1
+        gains = np.where(at >= 0, give[at] - take, 0)
+        if len(gains) and gains.max() > gain:
+            k = int(gains.argmax())
+            gain, best = int(gains[k]), (a_made[int(give[at[k]])], b_made[int(take[k])] if take[k] else ())
     if best is None:
         return None
     new_a, new_b = list(a), list(b)
@@ -163,14 +160,18 @@ def local_search(bins: Counter, capacity: int = CAPACITY) -> Counter:
     search ends. Bins of a class take part together.
     """
     bins = Counter(bins)
-    least = -(-sum(sum(b) * m for b, m in bins.items()) // capacity)
-    while sum(bins.values()) > least:
-        under = sorted((b for b in bins if sum(b) < capacity), key=lambda b: (sum(b), b))
+    tokens = sum(sum(b) * m for b, m in bins.items())
+    total, least = sum(bins.values()), -(-tokens // capacity)
+    under = sorted((sum(b), b) for b in bins if sum(b) < capacity)
+    hopeless: set = set()
+    while total > least:
         found = None
-        for i, a in enumerate(under):
-            for b in reversed(under[i:]):
-                if (a != b or bins[a] > 1) and (found := _exchange(a, b, capacity)):
-                    break
+        for i, (_, a) in enumerate(under):
+            for _, b in reversed(under[i:]):
+                if (a, b) not in hopeless and (a != b or bins[a] > 1):
+                    if found := _exchange(a, b, capacity):
+                        break
+                    hopeless.add((a, b))
             if found:
                 break
         if not found:
@@ -180,9 +181,14 @@ def local_search(bins: Counter, capacity: int = CAPACITY) -> Counter:
             bins[old] -= many
             if not bins[old]:
                 del bins[old]
+                under.remove((sum(old), old))
         for new in found:
-            if new:
-                bins[new] += many
+            if not new:
+                total -= many
+                continue
+            if new not in bins and sum(new) < capacity:
+                insort(under, (sum(new), new))
+            bins[new] += many
     return bins
 
 
