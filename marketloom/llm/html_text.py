@@ -197,8 +197,8 @@ def site_templates(pages: DataFrame, min_pages: int = TEMPLATE_PAGES, min_share:
 
     hashed = pages.select(url_host(F.col(url)).alias("host"), F.col(page).alias("html")).mapInArrow(rows, "host string, hash long")
     counts = stash(hashed.groupBy("host", "hash").count().filter(F.col("hash").isNull() | (F.col("count") >= min_pages)))
-    sizes = counts.filter("hash IS NULL").select("host", F.col("count").alias("n_pages"))
-    recurring = counts.filter("hash IS NOT NULL").join(sizes, "host").filter(F.col("count") >= min_share * F.col("n_pages"))
+    sizes = stash(counts.filter("hash IS NULL").select("host", F.col("count").alias("n_pages")))
+    recurring = counts.filter("hash IS NOT NULL").join(small_side(sizes), "host").filter(F.col("count") >= min_share * F.col("n_pages"))
     return recurring.groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
 

@@ -1,7 +1,7 @@
 """Soft-membership mixing: nonnegative document rates whose expected domain token totals meet targets.
 
 A softmax classifier, fit on a bounded sample of the labelled table, gives each document posteriors p
-over domains (high: quality 1, low: quality 0, toxic: toxic 1). With tokens n, the expected total of
+over domains (high: quality 1, low: quality 0). With tokens n, the expected total of
 domain k under rates r is sum of r * n * p_k. Projected gradient finds the rates: each step is one
 aggregate of k sums over all documents, and changes a rate by a combination of the document's
 posteriors, so equal posteriors have equal rates whatever the lengths.
@@ -19,28 +19,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, stash, widened
-from .toxicity import Toxicity
 
-DOMAINS = ("high", "low", "toxic")
-WEIGHTS = {"high": 0.9, "low": 0.1, "toxic": 0.0}
+DOMAINS = ("high", "low")
+WEIGHTS = {"high": 0.9, "low": 0.1}
 #: At most about so many labelled rows, chosen by a hash of their id, fit the classifier.
 FIT_ROWS = 20_000
-FEATURES = 13
+FEATURES = 11
 MAX_STEPS, TOLERANCE = 40, 1e-5
+#: Of the tokens that the mix could have without repeating a domain, the share that it has by default, so that rates up to 1 can meet the targets.
+ROOM = 0.999
 
 
-def features(text: str | None, words_only: Toxicity) -> tuple[int, list[float]]:
+def features(text: str | None) -> tuple[int, list[float]]:
     """(number of words, shape of the text in FEATURES numbers)."""
     t = text or ""
     words = t.split()
     n, c = len(words), len(t)
     lines = [x for x in t.split("\n") if x]
-    short = t[:0] if not t else t
     upper = sum(w.isupper() for w in words)
     ends = sum(not w[-1].isalnum() for w in words)
     odd = sum(not w[-2:].isalnum() and not w[-2:-1].isalnum() for w in words)
     same = sum(a == b for a, b in zip(words, words[1:]))
-    toxic = words_only.features(short)
     return n, [
         math.log1p(n) / 5,
         len(set(words)) / n if n else 1.0,
@@ -52,8 +51,6 @@ def features(text: str | None, words_only: Toxicity) -> tuple[int, list[float]]:
         len(set(lines)) / len(lines) if lines else 1.0,
         t.count("|") / n if n else 0.0,
         math.log1p(t.count("http") + t.count("@")) / 3,
-        toxic[-2],
-        toxic[-1],
         1.0 if n == 0 else 0.0,
     ]
 
@@ -96,7 +93,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> DomainModel:
 
 def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS, doc_id="doc_id", text="text") -> DomainModel:
     """The classifier; rows without a quality label or a text are left out. Without labels every posterior is the same."""
-    domain = F.when(F.col("toxic") > 0, 2).when(F.col("quality") > 0, 0).otherwise(1)
+    domain = F.when(F.col("quality") > 0, 0).otherwise(1)
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max(domain).alias("y"))
     n = known.count()
     if n > max_rows:
@@ -104,9 +101,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS, do
     known = known.select(F.col("doc_id").alias("__id"), F.col("y").cast("int").alias("y"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_only = Toxicity({})
         for batch in batches:
-            x = [features(t, words_only)[1] for t in batch.column(0).to_pylist()]
+            x = [features(t)[1] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
     # the labels are a bounded sample of narrow rows, so they may be broadcast
@@ -122,9 +118,8 @@ def with_posteriors(docs: DataFrame, model: DomainModel, text="text", tokens="to
     at = docs.columns.index(text)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_only = Toxicity({})
         for batch in batches:
-            found = [features(t, words_only) for t in batch.column(at).to_pylist()]
+            found = [features(t) for t in batch.column(at).to_pylist()]
             p = model.posteriors(np.array([x for _, x in found]).reshape(len(found), FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([n for n, _ in found], pa.int64()), *(pa.array(p[:, k]) for k in range(len(names)))], names=[*batch.schema.names, tokens, *names])
 
@@ -153,7 +148,7 @@ class Rates:
 def fit_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, total: float | None = None, most: float | None = None, names=DOMAINS, tokens="tokens") -> Rates:
     """Rates for members(tokens, one posterior column for each name).
 
-    total: tokens of the mix; by default the most for which no domain has to be repeated. Least squares
+    total: tokens of the mix; by default ROOM times the most for which no domain has to be repeated. Least squares
     in the metric of the domains' Gram matrix, so a step of 1 is safe; stops at TOLERANCE of the total
     or when the residual no longer falls. An empty table gets rate 1.
     """
@@ -166,7 +161,7 @@ def fit_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, total: fl
     share = share / share.sum()
     if mass.sum() <= 0:
         return Rates(1.0, (), most, (0.0,) * k, (0.0,) * k)
-    total = total if total is not None else float(min(m / w for m, w in zip(mass, share) if w > 0))
+    total = total if total is not None else float(ROOM * min(m / w for m, w in zip(mass, share) if w > 0))
     target = share * total
     inverse = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k))
     rates = Rates(min(total / mass.sum(), most if most is not None else math.inf), (), most, tuple(target.tolist()), ())
