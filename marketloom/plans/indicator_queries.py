@@ -18,7 +18,11 @@ from marketloom.sources.bars import by_symbol
 KEY = ("symbol", "open_time")
 LN = "ln(close) - lag(ln(close)) OVER (" + WSYM + ")"
 RET0 = BARS + f", r AS (SELECT *, coalesce({LN}, 0.0::DOUBLE) AS r0 FROM b)"
-AS_OF, AS_OF_SQL = F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"), "TIMESTAMP '2024-01-20 12:00:00'"
+AS_OF_SQL = "TIMESTAMP '2024-01-20 12:00:00'"
+
+
+def as_of():
+    return F.lit("2024-01-20 12:00:00").cast("timestamp_ntz")
 
 
 @query("tick_to_bar", f"WITH {BARS} SELECT symbol, open_time, open, high, low, close, volume, idx FROM b")
@@ -305,7 +309,7 @@ def signal_counts(spark, d):
     FROM s QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(score, 12) DESC, open_time) = 1""",
 )
 def entry_window(spark, d):
-    found = G.entry_windows(R.with_recursive(bars(spark, d)), AS_OF)
+    found = G.entry_windows(R.with_recursive(bars(spark, d)), as_of())
     return found.select(*KEY, "close", r6("rsi14"), r6("volume_ratio"), r6("stop_loss"), r6("lowest_rsi"), "quality")
 
 

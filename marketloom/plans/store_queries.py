@@ -10,7 +10,11 @@ from marketloom.plans.demo import BARS, PREDICTIONS, bars, predictions, r6, rr,
 from marketloom.plans.registry import query
 from marketloom.sources import bars as B
 
-AS_OF, AS_OF_SQL = F.lit("1996-06-01 00:00:00").cast("timestamp_ntz"), "TIMESTAMP '1996-06-01 00:00:00'"
+AS_OF_SQL = "TIMESTAMP '1996-06-01 00:00:00'"
+
+
+def as_of():
+    return F.lit("1996-06-01 00:00:00").cast("timestamp_ntz")
 PCT = "round(CAST(100 AS DECIMAL(20,0)) * count(*) FILTER (actual_result = 'CORRECT') / nullif(count(*) FILTER (actual_result <> 'PENDING'), 0), 1)"
 
 
@@ -48,12 +52,12 @@ _DUE = f"du AS (SELECT * FROM p WHERE actual_result = 'PENDING' AND created_at <
 def grade_predictions(spark, d):
     p = predictions(spark, d)
     prices = p.groupBy("symbol").agg(F.avg("price_at_prediction").alias("price"))
-    return T.grade(T.due(p, AS_OF, limit=None), prices).select("id", "symbol", r6("move_pct"), "actual_result")
+    return T.grade(T.due(p, as_of(), limit=None), prices).select("id", "symbol", r6("move_pct"), "actual_result")
 
 
 @query("due_predictions", f"WITH {PREDICTIONS}, {_DUE} SELECT id, symbol, confidence FROM du ORDER BY created_at, id LIMIT 200")
 def due_predictions(spark, d):
-    return T.due(predictions(spark, d), AS_OF).select("id", "symbol", "confidence")
+    return T.due(predictions(spark, d), as_of()).select("id", "symbol", "confidence")
 
 
 @query("log_gate", f"WITH {PREDICTIONS} SELECT symbol, count(*) AS n, min(confidence) AS lowest FROM p WHERE confidence >= 40 GROUP BY symbol")
@@ -89,7 +93,7 @@ def insert_or_ignore(spark, d):
 @query("prune_old", f"WITH {PREDICTIONS} SELECT count(*) AS kept, (SELECT count(*) FROM p) - count(*) AS deleted FROM p WHERE created_at >= {AS_OF_SQL} - INTERVAL 30 DAY")
 def prune_old(spark, d):
     p = predictions(spark, d)
-    kept = F.count_if(F.col("created_at") >= AS_OF - F.expr("INTERVAL 30 DAYS"))
+    kept = F.count_if(F.col("created_at") >= as_of() - F.expr("INTERVAL 30 DAYS"))
     return p.agg(kept.alias("kept"), (F.count("*") - kept).alias("deleted"))
 
 
@@ -175,7 +179,7 @@ def tick_group(spark, d):
 def plan_gate(spark, d):
     k = F.col("o_orderkey")
     rows = table(spark, d, "orders").select(k.alias("id"), F.when(k % 4 == 0, "BTC/USDT").when(k % 4 == 1, "XRP/USDT").when(k % 4 == 2, "EUR/USD").otherwise("NZD/USD").alias("symbol"), F.col("o_orderdate").alias("open_time"))
-    return T.plan_gate(rows, "basic", AS_OF).select("id", "symbol")
+    return T.plan_gate(rows, "basic", as_of()).select("id", "symbol")
 
 
 _FX = "['BTC/USDT', 'EUR/USD', 'GBP/JPY', 'SOL/USDT', 'eur/zar'][o_orderkey % 5 + 1]"
