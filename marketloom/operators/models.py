@@ -6,21 +6,26 @@ Folds are few and fixed, so the driver loops over them; every fit and score is a
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 
-from pyspark.ml.regression import IsotonicRegression, LinearRegression
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marketloom.functions import windows as W
 from marketloom.functions.scalars import sigmoid
 from marketloom.operators import features as X
 from marketloom.operators import signals as G
 from marketloom.operators import validation as V
+from marketloom.operators.recursive import fit_garch
 
 CLIP = 1e-6
 
@@ -30,19 +35,27 @@ def dataset(bars: DataFrame, vertical: int = 24) -> DataFrame:
 
     row_idx numbers what is left after filtering, over all symbols by time, for the folds.
     """
-    labelled = X.triple_barrier(X.build_features(bars), vertical=vertical)
+    labelled = X.triple_barrier(X.build_features(bars), vertical=vertical).persist()  # read by the weights and by the rows
     spans = labelled.filter("labelable").select("symbol", "idx", "touch_idx", "realised_return")
     weights = X.sample_weights(labelled, spans).select("symbol", "idx", "weight")
     rows = labelled.filter("valid AND labelable AND label <> 0").join(weights, ["symbol", "idx"])
     rows = VectorAssembler(inputCols=X.FEATURE_NAMES, outputCol="features").transform(rows)
-    ranked = rows.withColumn("row_idx", F.row_number().over(Window.orderBy("open_time", "symbol")) - 1)
-    return ranked.withColumn("y_true", (F.col("label") > 0).cast("int"))
+    return numbered(rows).withColumn("y_true", (F.col("label") > 0).cast("int"))
+
+
+def numbered(rows: DataFrame, time: str = "open_time", tie: str = "symbol") -> DataFrame:
+    """rows with row_idx, their position by (time, tie) from 0: ranked inside each day, after the counts of the days before, so no task has them all."""
+    rows = rows.withColumn("__day", F.to_date(time))
+    days = rows.groupBy("__day").agg(F.count("*").alias("__n"))
+    before = days.select("__day", F.coalesce(F.sum("__n").over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__day").orderBy(time, tie)) - 1
+    return rows.join(F.broadcast(before), "__day").withColumn("row_idx", F.col("__before") + inside).drop("__day", "__before")
 
 
 def _fit(train: DataFrame, kind: str, reg: float):
     if kind == "gbm":
         return GBTClassifier(labelCol="y_true", weightCol="w", maxDepth=3, maxIter=20, stepSize=0.05, seed=1).fit(train)
-    return LogisticRegression(labelCol="y_true", weightCol="w", regParam=reg, maxIter=100).fit(train)
+    return LogisticRegression(labelCol="y_true", weightCol="w", regParam=reg, maxIter=30, tol=1e-4).fit(train)
 
 
 def _balanced(train: DataFrame) -> DataFrame:
@@ -158,18 +171,52 @@ def tune(rows: DataFrame, regs: tuple[float, ...], n_splits: int = 3, min_train:
 
 
 def fit_har(design: DataFrame, holdout: float = 0.2) -> DataFrame:
-    """(symbol, intercept, short, medium, long, qlike): ordinary least squares on each symbol's first rows, by normal equations summed in Spark."""
-    names = ["rv_short", "rv_medium", "rv_long"]
-    rows = design.dropna(subset=[*names, "rv_target"]).withColumn("__share", F.percent_rank().over(Window.partitionBy("symbol").orderBy("open_time")))
-    rows = VectorAssembler(inputCols=names, outputCol="x").transform(rows).persist()
-    out = []
-    for (symbol,) in rows.select("symbol").distinct().orderBy("symbol").collect():  # the instruments, a handful
-        own = rows.filter(F.col("symbol") == symbol)
-        model = LinearRegression(featuresCol="x", labelCol="rv_target", solver="normal", regParam=0.0).fit(own.filter(F.col("__share") < 1 - holdout))
-        test = model.transform(own.filter(F.col("__share") >= 1 - holdout))
-        lits = [F.lit(float(v)).alias(n) for n, v in zip(("intercept", "short", "medium", "long"), (model.intercept, *model.coefficients))]
-        out.append(test.agg(F.lit(symbol).alias("symbol"), *lits, V.qlike(F.col("rv_target"), F.greatest("prediction", F.lit(1e-12))).alias("qlike")))
-    return reduce(DataFrame.unionByName, out)
+    """(symbol, intercept, short, medium, long, qlike): ordinary least squares on each symbol's first rows.
+
+    The normal equations of all symbols are summed in one aggregate; a 4 x 4 system is left for each.
+    """
+    names, x = ["intercept", "short", "medium", "long"], [F.lit(1.0), F.col("rv_short"), F.col("rv_medium"), F.col("rv_long")]
+    rows = design.dropna(subset=["rv_short", "rv_medium", "rv_long", "rv_target"]).withColumn("__share", F.percent_rank().over(Window.partitionBy("symbol").orderBy("open_time")))
+    sums = [F.sum(a * b) for a in x for b in x] + [F.sum(a * F.col("rv_target")) for a in x]
+    equations = rows.filter(F.col("__share") < 1 - holdout).groupBy("symbol").agg(F.array(*sums).alias("s"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.linalg.lstsq(np.reshape(s[:16], (4, 4)), s[16:], rcond=None)[0] for s in batch["s"]]
+            yield pd.DataFrame(np.reshape(found, (-1, 4)), columns=names).assign(symbol=batch["symbol"].to_numpy())
+
+    fitted = equations.mapInPandas(solve, "symbol string, intercept double, short double, medium double, long double")
+    test = rows.filter(F.col("__share") >= 1 - holdout).join(fitted, "symbol")
+    forecast = sum((F.col(n) * v for n, v in zip(names, x)), F.lit(0.0))
+    return test.groupBy("symbol", *names).agg(V.qlike(F.col("rv_target"), F.greatest(forecast, F.lit(1e-12))).alias("qlike"))
+
+
+def garch_volatility(bars: DataFrame) -> DataFrame:
+    """(symbol, open_time, garch_vol): conditional volatility of a GARCH(1,1) of each symbol's returns."""
+    returns = bars.withColumn("r", W.log_return(F.col("close"))).filter("r IS NOT NULL").select("symbol", "open_time", "r")
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("open_time")
+        return group.assign(garch_vol=fit_garch(group["r"].to_numpy(float))[1] if len(group) > 50 else float("nan"))[["symbol", "open_time", "garch_vol"]]
+
+    return returns.groupBy("symbol").applyInPandas(one, f"symbol string, open_time {bars.schema['open_time'].dataType.simpleString()}, garch_vol double")
+
+
+def leakage_demo(rows: DataFrame, n_splits: int = 3, min_train: int = 500) -> DataFrame:
+    """(scheme, auc): folds shuffled over time, which leak overlapping labels, against purged walk-forward folds."""
+    rows = rows.persist()
+    shuffled = []
+    for k in range(n_splits):
+        inside = F.pmod(F.xxhash64("symbol", "idx"), F.lit(n_splits)) == k
+        model = _fit(_balanced(rows.filter(~inside)), "logreg", 0.01)
+        shuffled.append(score(model, rows.filter(inside)).select(F.lit("shuffled").alias("scheme"), "row_idx", "y_true", "y_prob"))
+    purged = fold_scores(rows, V.walk_forward(rows.count(), n_splits=n_splits, min_train=min_train), reg=0.01).select(F.lit("purged").alias("scheme"), "row_idx", "y_true", "y_prob")
+    return V.auc(reduce(DataFrame.unionByName, [*shuffled, purged]), by=("scheme",))
+
+
+def top_coefficients(model, k: int = 12) -> list[tuple[str, float]]:
+    """The k features of the greatest absolute weight in a fitted logistic model."""
+    return sorted(zip(X.FEATURE_NAMES, map(float, model.coefficients)), key=lambda p: -abs(p[1]))[:k]
 
 
 #: Verdicts that allow an export.

@@ -293,3 +293,18 @@ def tuned_parameters(spark, d):
     return M.tune(M.dataset(bars(spark, d)), (0.01, 0.1), n_splits=3, min_train=800)
 
 
+
+
+@query("garch_volatility")
+def garch_volatility(spark, d):
+    return M.garch_volatility(bars(spark, d)).select("symbol", "open_time", r6("garch_vol"))
+
+
+@query("leakage_demo")
+def leakage_demo(spark, d):
+    return M.leakage_demo(M.dataset(bars(spark, d)), min_train=800)
+
+
+@query("row_numbering", f"WITH {BARS} SELECT symbol, open_time, row_number() OVER (ORDER BY open_time, symbol) - 1 AS row_idx FROM b")
+def row_numbering(spark, d):
+    return M.numbered(bars(spark, d)).select("symbol", "open_time", "row_idx")
