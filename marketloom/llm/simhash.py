@@ -1,7 +1,7 @@
 """SimHash near duplicates: fingerprints linked by a binary-trie self-join.
 
-Two fingerprints with at most BUDGET differing bits agree on at least one of BUDGET + 1 blocks of bits.
-So the trie is built three times, rotated to put each block first; its subtrees under a whole block are
+Two fingerprints with at most `budget` differing bits agree on at least one of budget + 1 blocks of
+bits. So the trie is built once for each block, rotated to put it first; its subtrees under a whole block are
 the tasks' units, and within them pairs of nodes are traversed together, adding up differing bits and
 dropping a pair as soon as the budget is exceeded. Subtrees with many fingerprints are first split into
 pairs of deeper nodes by the same rule, in Spark, until none is too large.
@@ -21,11 +21,17 @@ from .common import discard, small_side, stash
 from .graph import components
 
 WORDS, SEED, BUDGET = 3, 42, 2
-BLOCKS = ((0, 22), (22, 21), (43, 21))  # first bit and width
-LARGE, STEP, DEEPEST = 4096, 6, 58
+#: Subtrees with more fingerprints than this are split; with a budget near STEP splitting multiplies rows and saves little, so they may be larger.
+LARGE, LARGE_IF_LOOSE, STEP, DEEPEST = 4096, 65_536, 6, 58
 LEAF, FRONTIER = 16, 1_000_000
 
 
+def blocks(budget: int) -> list[tuple[int, int]]:
+    """(first bit, width) of budget + 1 blocks."""
+    ends = [64 * k // (budget + 1) for k in range(budget + 2)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
 def fingerprint(text: str | None) -> bytes:
     """8 bytes: a bit is 1 if it is set in over half of the hashes of the text's word shingles, repeats included; no words: zeros."""
     words = (text or "").encode().lower().split()
@@ -48,7 +54,7 @@ def fingerprints(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, fp long")
 
 
-def _traverse(v: np.ndarray, frontier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _traverse(v: np.ndarray, frontier: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of v (sorted in each node) within the budget, below the node pairs of frontier: rows of a_lo, a_hi, b_lo, b_hi, diff, depth."""
     found_a, found_b, ones = [], [], {}
     stack = [frontier]
@@ -66,7 +72,7 @@ def _traverse(v: np.ndarray, frontier: np.ndarray) -> tuple[np.ndarray, np.ndarr
             k = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
             width = (g[:, 3] - g[:, 2])[each]
             a, b = g[each, 0] + k // width, g[each, 2] + k % width
-            near = (np.bitwise_count(v[a] ^ v[b]) <= BUDGET) & (a != b)
+            near = (np.bitwise_count(v[a] ^ v[b]) <= budget) & (a != b)
             found_a.append(a[near])
             found_b.append(b[near])
         f = f[~leaf]
@@ -82,7 +88,7 @@ def _traverse(v: np.ndarray, frontier: np.ndarray) -> tuple[np.ndarray, np.ndarr
                     child = np.column_stack([a_mid if a_one else g[:, 0], g[:, 1] if a_one else a_mid, b_mid if b_one else g[:, 2], g[:, 3] if b_one else b_mid, g[:, 4] + (a_one != b_one), g[:, 5] + 1])
                     if a_one > b_one:
                         child = child[~same]  # of a node with itself, each pair of halves once
-                    below.append(child[(child[:, 0] < child[:, 1]) & (child[:, 2] < child[:, 3]) & (child[:, 4] <= BUDGET)])
+                    below.append(child[(child[:, 0] < child[:, 1]) & (child[:, 2] < child[:, 3]) & (child[:, 4] <= budget)])
             stack.append(np.concatenate(below))
             stack = [s for s in stack if len(s)]
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, int), np.zeros(0, int))
@@ -107,7 +113,7 @@ def _rotate(v: np.ndarray, by: np.ndarray) -> np.ndarray:
     return np.where(by == 0, v, (v << by) | (v >> ((np.uint64(64) - by) % np.uint64(64))))
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     """Edges from sorted rows (block, depth, a, b, side, rot): every linked fingerprint with a representative of its part of the subtree."""
     names = ("block", "depth", "a", "b", "side", "rot")
 
@@ -122,9 +128,9 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = a == b
         f = np.column_stack([start, np.where(own, end, mid), np.where(own, start, mid), end, np.bitwise_count(a ^ b).astype(np.int64), depth])
         f = f[(f[:, 0] < f[:, 1]) & (f[:, 2] < f[:, 3]) & (f[:, 1] - f[:, 0] + f[:, 3] - f[:, 2] > np.where(own, 2, 1))]
-        label = _settle(len(v), *_traverse(v, f))
+        label = _settle(len(v), *_traverse(v, f, budget))
         moved = np.flatnonzero(label != np.arange(len(v)))
-        shift = (64 - np.array([s for s, _ in BLOCKS])[t[moved, 0]]) % 64
+        shift = (64 - np.array([s for s, _ in blocks(budget)])[t[moved, 0]]) % 64
         back = [_rotate(x, shift).view(np.int64) for x in (v[moved], v[label[moved]])]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in back], names=["u", "v"])
 
@@ -143,19 +149,20 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(np.concatenate(held))
 
 
-def _node_pairs(distinct: DataFrame) -> DataFrame:
+def _node_pairs(distinct: DataFrame, budget: int) -> DataFrame:
     """Rows (block, depth, a, b, side, rot): each fingerprint under the node pairs whose subtrees one task traverses."""
     rotated = []
-    for k, (first, width) in enumerate(BLOCKS):
+    for k, (first, width) in enumerate(blocks(budget)):
         rot = F.shiftleft("fp", first).bitwiseOR(F.shiftrightunsigned("fp", 64 - first)) if first else F.col("fp")
         rotated.append(F.struct(F.lit(k).alias("block"), F.lit(width).alias("depth"), rot.alias("rot")))
     rows = distinct.select(F.explode(F.array(*rotated)).alias("r")).select("r.*")
     node = F.expr("shiftrightunsigned(rot, 64 - depth)")
     rows = rows.select("block", "depth", node.alias("a"), node.alias("b"), F.lit(0).alias("side"), "rot")
     key = ["block", "depth", "a", "b"]
-    settled, masks = [], [m for m in range(1 << STEP) if m.bit_count() <= BUDGET]
+    settled, masks = [], [m for m in range(1 << STEP) if m.bit_count() <= budget]
+    most = LARGE if 2 * budget < STEP else LARGE_IF_LOOSE
     while True:
-        large = stash(rows.groupBy(*key).count().filter((F.col("count") > LARGE) & (F.col("depth") <= DEEPEST)).drop("count"))
+        large = stash(rows.groupBy(*key).count().filter((F.col("count") > most) & (F.col("depth") <= DEEPEST)).drop("count"))
         if large.isEmpty():
             discard(large)
             settled.append(rows)
@@ -166,7 +173,7 @@ def _node_pairs(distinct: DataFrame) -> DataFrame:
         heavy = heavy.withColumn("child", F.expr(f"shiftrightunsigned(rot, 64 - depth - {STEP})")).withColumn("m", F.explode(F.array(*map(F.lit, masks))))
         other = F.when(F.col("side") == 0, F.col("b")).otherwise(F.col("a"))
         heavy = heavy.withColumn("t", F.shiftleft(other, STEP).bitwiseOR(F.col("child").bitwiseAND(F.lit((1 << STEP) - 1)).bitwiseXOR(F.col("m"))))
-        heavy = heavy.filter(F.bit_count(F.col("child").bitwiseXOR(F.col("t"))) <= BUDGET)
+        heavy = heavy.filter(F.bit_count(F.col("child").bitwiseXOR(F.col("t"))) <= budget)
         side = F.when(F.col("own"), (F.col("child") > F.col("t")).cast("int")).otherwise(F.col("side"))
         a, b = F.when(side == 0, F.col("child")).otherwise(F.col("t")), F.when(side == 0, F.col("t")).otherwise(F.col("child"))
         rows = stash(heavy.select("block", (F.col("depth") + STEP).alias("depth"), a.alias("a"), b.alias("b"), side.alias("side"), "rot"))
@@ -176,14 +183,14 @@ def _node_pairs(distinct: DataFrame) -> DataFrame:
     return out
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges (u, v) over the distinct fingerprints of distinct(fp) whose components are those of all links of at most BUDGET bits."""
-    pairs = _node_pairs(distinct)
+def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Edges (u, v) over the distinct fingerprints of distinct(fp) whose components are those of all links of at most budget bits."""
+    pairs = _node_pairs(distinct, budget)
     key = ["block", "depth", "a", "b"]
-    return pairs.repartition(*key).sortWithinPartitions(*key, "side", "rot").mapInArrow(_link, "u long, v long").distinct()
+    return pairs.repartition(*key).sortWithinPartitions(*key, "side", "rot").mapInArrow(lambda batches: _link(batches, budget), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+def near_duplicates(docs: DataFrame, budget: int = BUDGET, doc_id="doc_id", text="text") -> DataFrame:
     """doc_id, fp, component_id for every row; component_id is the smallest doc_id reachable over the links.
 
     Null texts count as empty, texts without words have fingerprint zero and are linked like any other;
@@ -192,7 +199,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """
     fps = stash(fingerprints(docs, doc_id, text))
     classes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = links(classes.select("fp"))
+    edges = links(classes.select("fp"), budget)
     roots = components(edges)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stash(rooted)
@@ -205,9 +212,9 @@ def fingerprint_text(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one_of_each(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, budget: int = BUDGET, doc_id="doc_id", text="text") -> DataFrame:
     """The rows of docs, with all their columns, without those whose component has a smaller doc_id; rows that repeat an id stay once."""
-    found = stash(near_duplicates(docs, doc_id, text))
+    found = stash(near_duplicates(docs, budget, doc_id, text))
     gone = stash(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     twice = stash(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice")))
     kept = docs.join(small_side(gone), docs[doc_id] == F.col("__gone"), "left_anti")

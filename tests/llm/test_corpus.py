@@ -17,7 +17,7 @@ from marketloom.llm import simhash as S
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, rate int"
 
 
-def brute_components(fps):
+def brute_components(fps, budget=S.BUDGET):
     root = list(range(len(fps)))
 
     def find(x):
@@ -28,7 +28,7 @@ def brute_components(fps):
 
     v = np.array(fps, np.uint64)
     for i in range(len(v)):
-        for j in np.flatnonzero(np.bitwise_count(v[i + 1 :] ^ v[i]) <= S.BUDGET):
+        for j in np.flatnonzero(np.bitwise_count(v[i + 1 :] ^ v[i]) <= budget):
             a, b = find(i), find(i + 1 + int(j))
             root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(fps))]
@@ -46,13 +46,14 @@ def close_fingerprints(n, seed):
     return out
 
 
-@pytest.mark.parametrize("large", [4096, 20])
-def test_trie_join_against_brute_force(spark, monkeypatch, large):
-    monkeypatch.setattr(S, "LARGE", large)  # 20: subtrees are split again and again
-    fps = sorted(set(close_fingerprints(700, large)))
+@pytest.mark.parametrize("large, budget", [(4096, 2), (20, 2), (4096, 5), (60, 3), (4096, 0)])
+def test_trie_join_against_brute_force(spark, monkeypatch, large, budget):
+    monkeypatch.setattr(S, "LARGE", large)  # if small, subtrees are split again and again
+    monkeypatch.setattr(S, "LARGE_IF_LOOSE", large)
+    fps = sorted(set(close_fingerprints(700, large + budget)))
     frame = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
-    roots = {r["node"]: r["root"] for r in graph.components(S.links(frame)).collect()}
-    want = brute_components(fps)
+    roots = {r["node"]: r["root"] for r in graph.components(S.links(frame, budget)).collect()}
+    want = brute_components(fps, budget)
     signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
     groups, expected = defaultdict(set), defaultdict(set)
     for x, w in zip(signed, want):
@@ -208,7 +209,7 @@ def test_pipeline_stage_by_stage(spark, small_dir):
     single = common.stash(corpus_pipeline.near_dedup(spark, clean, small_dir))
     texts = sorted((r["doc_id"], r["text"]) for r in clean.collect())
     fps = [int.from_bytes(S.fingerprint(t), "big") for _, t in texts]
-    assert sorted(r["doc_id"] for r in single.collect()) == [texts[i][0] for i in sorted(set(brute_components(fps)))]
+    assert sorted(r["doc_id"] for r in single.collect()) == [texts[i][0] for i in sorted(set(brute_components(fps, corpus_pipeline.NEAR_BITS)))]
     mixed = common.stash(corpus_pipeline.mixing(spark, single, small_dir))
     assert mixed.columns == columns and 0.9 * single.count() < mixed.count() <= single.count()
     assert mixed.select("doc_id").distinct().count() == mixed.count()
