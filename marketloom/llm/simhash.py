@@ -203,8 +203,8 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, doc_id="doc_id", text
     roots = components(edges)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stash(rooted)
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # read back, so that a large component's join can be split
+    return fps.join(rooted.select("fp", "root").join(small_side(named), "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_text(fp):
