@@ -10,8 +10,9 @@ from marketloom.llm.packing import pack_documents
 from marketloom.llm.simhash import keep_one_of_each
 from marketloom.llm.toxicity import drop_toxic
 
-#: Fingerprints of near copies (four fifths of their five-word shingles in common) differ in up to a dozen bits, most in at most so many; unrelated texts never come near it.
-NEAR_BITS = 5
+#: Near copies, with four fifths of their five-word shingles in common, differ in up to a dozen bits of a fingerprint of word pairs;
+#: about two fifths of them in at most NEAR_BITS. With STREAMS independent fingerprints over nine in ten do in one of them, and texts with less than two fifths in common in none.
+WIDTH, NEAR_BITS, STREAMS = 2, 4, 5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each component of SimHash links; looser than the operator's default, as near copies differ in more bits."""
-    return keep_one_of_each(docs, budget=NEAR_BITS)
+    return keep_one_of_each(docs, budget=NEAR_BITS, width=WIDTH, streams=STREAMS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ bits. So the trie is built once for each block, rotated to put it first; its sub
 the tasks' units, and within them pairs of nodes are traversed together, adding up differing bits and
 dropping a pair as soon as the budget is exceeded. Subtrees with many fingerprints are first split into
 pairs of deeper nodes by the same rule, in Spark, until none is too large.
+
+A text may have several fingerprints, of differently mixed hashes; texts link if any of them do. That
+finds more near copies at the same budget, where a larger budget would make the tries' work grow faster.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ from .graph import components
 WORDS, SEED, BUDGET = 3, 42, 2
 #: Subtrees with more fingerprints than this are split; with a budget near STEP splitting multiplies rows and saves little, so they may be larger.
 LARGE, LARGE_IF_LOOSE, STEP, DEEPEST = 4096, 65_536, 6, 58
-LEAF, FRONTIER = 16, 1_000_000
+LEAF, FRONTIER, SLICE = 16, 1_000_000, 65_536
+#: Multipliers of a 64-bit mixing function and the step between its streams.
+_MIX, _STREAM = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)), 0x9E3779B97F4A7C15
 
 
 def blocks(budget: int) -> list[tuple[int, int]]:
@@ -32,26 +37,43 @@ def blocks(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(ends, ends[1:])]
 
 
-def fingerprint(text: str | None) -> bytes:
-    """8 bytes: a bit is 1 if it is set in over half of the hashes of the text's word shingles, repeats included; no words: zeros."""
+def _mixed(h: np.ndarray, stream: int) -> np.ndarray:
+    """Hashes h for stream 0; for others, hashes of them that are independent for all purposes here."""
+    if not stream:
+        return h
+    h = h + np.uint64(stream * _STREAM % 2**64)
+    for shift, by in zip((30, 27), _MIX):
+        h = (h ^ (h >> np.uint64(shift))) * by
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: str | None, width: int = WORDS, streams: int = 1) -> list[bytes]:
+    """8 bytes for each stream: a bit is 1 if it is set in over half of the hashes of the text's word shingles, repeats included; no words: zeros."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(8)
-    n = max(1, len(words) - WORDS + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + WORDS]), SEED) for i in range(n)), ">u8", n)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1)
-    return np.packbits(2 * bits.sum(0, dtype=np.uint32) > n).tobytes()
+        return [bytes(8)] * streams
+    n = max(1, len(words) - width + 1)
+    set_ = np.zeros((streams, 64), np.int64)
+    for at in range(0, n, SLICE):
+        part = range(at, min(n, at + SLICE))
+        h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in part), np.uint64, len(part))
+        for k in range(streams):
+            bits = np.unpackbits(_mixed(h, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            set_[k] += bits.sum(0, dtype=np.uint32)
+    return [np.packbits(2 * row > n).tobytes() for row in set_]
 
 
-def fingerprints(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """(doc_id, fp long) for every row."""
+def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", width: int = WORDS, streams: int = 1) -> DataFrame:
+    """(doc_id, fp long, more array<long>) for every row: the first stream's fingerprint and those of the others."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = b"".join(fingerprint(t) for t in batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(found, ">i8").astype(np.int64))], names=["doc_id", "fp"])
+            found = b"".join(b"".join(fingerprint(t, width, streams)) for t in batch.column(1).to_pylist())
+            fps = np.frombuffer(found, ">i8").astype(np.int64).reshape(-1, streams)
+            more = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * (streams - 1)), pa.array(fps[:, 1:].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[:, 0]), more], names=["doc_id", "fp", "more"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, fp long, more array<long>")
 
 
 def _traverse(v: np.ndarray, frontier: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +152,9 @@ def _link(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordB
         f = f[(f[:, 0] < f[:, 1]) & (f[:, 2] < f[:, 3]) & (f[:, 1] - f[:, 0] + f[:, 3] - f[:, 2] > np.where(own, 2, 1))]
         label = _settle(len(v), *_traverse(v, f, budget))
         moved = np.flatnonzero(label != np.arange(len(v)))
-        shift = (64 - np.array([s for s, _ in blocks(budget)])[t[moved, 0]]) % 64
+        shift = (64 - np.array([s for s, _ in blocks(budget)])[t[moved, 0] % (budget + 1)]) % 64
         back = [_rotate(x, shift).view(np.int64) for x in (v[moved], v[label[moved]])]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in back], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (t[moved, 0] // (budget + 1), *back)], names=["stream", "u", "v"])
 
     held: list[np.ndarray] = []
     for batch in batches:
@@ -150,11 +172,11 @@ def _link(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordB
 
 
 def _node_pairs(distinct: DataFrame, budget: int) -> DataFrame:
-    """Rows (block, depth, a, b, side, rot): each fingerprint under the node pairs whose subtrees one task traverses."""
+    """Rows (block, depth, a, b, side, rot): each fingerprint under the node pairs whose subtrees one task traverses. Blocks are numbered on from stream to stream."""
     rotated = []
     for k, (first, width) in enumerate(blocks(budget)):
         rot = F.shiftleft("fp", first).bitwiseOR(F.shiftrightunsigned("fp", 64 - first)) if first else F.col("fp")
-        rotated.append(F.struct(F.lit(k).alias("block"), F.lit(width).alias("depth"), rot.alias("rot")))
+        rotated.append(F.struct((F.col("stream") * (budget + 1) + k).alias("block"), F.lit(width).alias("depth"), rot.alias("rot")))
     rows = distinct.select(F.explode(F.array(*rotated)).alias("r")).select("r.*")
     node = F.expr("shiftrightunsigned(rot, 64 - depth)")
     rows = rows.select("block", "depth", node.alias("a"), node.alias("b"), F.lit(0).alias("side"), "rot")
@@ -184,23 +206,38 @@ def _node_pairs(distinct: DataFrame, budget: int) -> DataFrame:
 
 
 def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Edges (u, v) over the distinct fingerprints of distinct(fp) whose components are those of all links of at most budget bits."""
+    """Edges (stream, u, v) over the fingerprints of distinct(stream int, fp) whose components are, in each stream, those of all links of at most budget bits."""
     pairs = _node_pairs(distinct, budget)
     key = ["block", "depth", "a", "b"]
-    return pairs.repartition(*key).sortWithinPartitions(*key, "side", "rot").mapInArrow(lambda batches: _link(batches, budget), "u long, v long").distinct()
+    return pairs.repartition(*key).sortWithinPartitions(*key, "side", "rot").mapInArrow(lambda batches: _link(batches, budget), "stream long, u long, v long").distinct()
+
+
+def _edges(fps: DataFrame, budget: int, streams: int) -> DataFrame:
+    """Edges (u, v) between fingerprints of the first stream: their own links, and those of the other streams by a text that has both fingerprints."""
+    own = fps.select(F.lit(0).alias("stream"), "fp").distinct()
+    if streams == 1:
+        return links(own, budget).select("u", "v")
+    others = fps.select("fp", F.posexplode("more").alias("stream", "f")).select((F.col("stream") + 1).alias("stream"), "f", "fp").distinct()
+    others = stash(others)
+    names = stash(others.groupBy("stream", "f").agg(F.min("fp").alias("name")))
+    found = stash(links(own.unionByName(names.select("stream", F.col("f").alias("fp"))), budget))
+    shared = others.join(names, ["stream", "f"]).select(F.col("fp").alias("u"), F.col("name").alias("v"))
+    u, v = (names.select("stream", F.col("f").alias(c), F.col("name").alias(f"{c}_name")) for c in "uv")
+    linked = found.filter("stream > 0").join(u, ["stream", "u"]).join(v, ["stream", "v"]).select(F.col("u_name").alias("u"), F.col("v_name").alias("v"))
+    return found.filter("stream = 0").select("u", "v").unionByName(shared).unionByName(linked)
 
 
-def near_duplicates(docs: DataFrame, budget: int = BUDGET, doc_id="doc_id", text="text") -> DataFrame:
-    """doc_id, fp, component_id for every row; component_id is the smallest doc_id reachable over the links.
+def near_duplicates(docs: DataFrame, budget: int = BUDGET, doc_id="doc_id", text="text", width: int = WORDS, streams: int = 1) -> DataFrame:
+    """doc_id, fp (of the first stream), component_id for every row; component_id is the smallest doc_id reachable over the links.
 
+    Rows link if at most budget bits of their fingerprints of shingles of width words differ, in any stream.
     Null texts count as empty, texts without words have fingerprint zero and are linked like any other;
     repeated rows stay, each with its component; null ids never name a component that has another; an
     empty table gives no rows. Texts are read once and not shuffled.
     """
-    fps = stash(fingerprints(docs, doc_id, text))
+    fps = stash(fingerprints(docs, doc_id, text, width, streams))
     classes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = links(classes.select("fp"), budget)
-    roots = components(edges)
+    roots = components(_edges(fps, budget, streams))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stash(rooted)
     named = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # read back, so that a large component's join can be split
@@ -212,9 +249,9 @@ def fingerprint_text(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one_of_each(docs: DataFrame, budget: int = BUDGET, doc_id="doc_id", text="text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, budget: int = BUDGET, doc_id="doc_id", text="text", width: int = WORDS, streams: int = 1) -> DataFrame:
     """The rows of docs, with all their columns, without those whose component has a smaller doc_id; rows that repeat an id stay once."""
-    found = stash(near_duplicates(docs, budget, doc_id, text))
+    found = stash(near_duplicates(docs, budget, doc_id, text, width, streams))
     gone = stash(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     twice = stash(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice")))
     kept = docs.join(small_side(gone), docs[doc_id] == F.col("__gone"), "left_anti")

@@ -18,7 +18,9 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp s
 
 
 def brute_components(fps, budget=S.BUDGET):
+    """The least index that each reaches over fingerprints, or lists of them of which any may link."""
     root = list(range(len(fps)))
+    columns = np.array(fps, np.uint64).reshape(len(fps), -1).T
 
     def find(x):
         while root[x] != x:
@@ -26,9 +28,8 @@ def brute_components(fps, budget=S.BUDGET):
             x = root[x]
         return x
 
-    v = np.array(fps, np.uint64)
-    for i in range(len(v)):
-        for j in np.flatnonzero(np.bitwise_count(v[i + 1 :] ^ v[i]) <= budget):
+    for i in range(len(fps)):
+        for j in np.flatnonzero((np.bitwise_count(columns[:, i + 1 :] ^ columns[:, i : i + 1]) <= budget).any(0)):
             a, b = find(i), find(i + 1 + int(j))
             root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(fps))]
@@ -51,7 +52,7 @@ def test_trie_join_against_brute_force(spark, monkeypatch, large, budget):
     monkeypatch.setattr(S, "LARGE", large)  # if small, subtrees are split again and again
     monkeypatch.setattr(S, "LARGE_IF_LOOSE", large)
     fps = sorted(set(close_fingerprints(700, large + budget)))
-    frame = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
+    frame = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long").withColumn("stream", F.lit(0))
     roots = {r["node"]: r["root"] for r in graph.components(S.links(frame, budget)).collect()}
     want = brute_components(fps, budget)
     signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
@@ -90,6 +91,39 @@ def test_dedup_edges(spark):
     assert S.keep_one_of_each(docs.limit(0)).count() == 0
 
 
+def edited_copies(n, seed, change):
+    """n random texts, and each again with a share of its words replaced; with the Jaccard likeness of their five-word shingles."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    out = []
+    for _ in range(n):
+        a = rng.choices(vocabulary, k=rng.randrange(60, 400))
+        b = [rng.choice(vocabulary) if rng.random() < change else w for w in a]
+        x, y = ({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        out.append((" ".join(a), " ".join(b), len(x & y) / len(x | y)))
+    return out
+
+
+@pytest.mark.parametrize("streams", [1, 3])
+def test_streams_against_brute_force(spark, streams):
+    texts = [t for a, b, _ in edited_copies(60, streams, 0.03) for t in (a, b)] + ["", None, "a", "a b", "b a", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    fps = [[int.from_bytes(x, "big") for x in S.fingerprint(t, 2, streams)] for t in texts]
+    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(docs, 4, width=2, streams=streams).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(fps, 4)
+
+
+def test_pipeline_links_near_copies_and_no_others(spark):
+    close = [c for c in edited_copies(300, 1, 0.015) if c[2] >= 0.8]
+    far = [c for c in edited_copies(100, 2, 0.3) if c[2] < 0.4]
+    rows = [t for a, b, _ in close + far for t in (a, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", 1) for i, t in enumerate(rows)], DOCS)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    n = 2 * len(close)
+    assert len(close) > 150 and sum(i in kept for i in range(1, n, 2)) < 0.1 * len(close)
+    assert all(i in kept for i in range(0, n, 2)) and all(i in kept for i in range(n, len(rows)))
+
+
 # --- packing ----------------------------------------------------------------------------------------------------------------
 
 
@@ -208,7 +242,7 @@ def test_pipeline_stage_by_stage(spark, small_dir):
     assert sum(y == 0 and i not in left for i, y in labels.items()) <= 3
     single = common.stash(corpus_pipeline.near_dedup(spark, clean, small_dir))
     texts = sorted((r["doc_id"], r["text"]) for r in clean.collect())
-    fps = [int.from_bytes(S.fingerprint(t), "big") for _, t in texts]
+    fps = [[int.from_bytes(x, "big") for x in S.fingerprint(t, corpus_pipeline.WIDTH, corpus_pipeline.STREAMS)] for _, t in texts]
     assert sorted(r["doc_id"] for r in single.collect()) == [texts[i][0] for i in sorted(set(brute_components(fps, corpus_pipeline.NEAR_BITS)))]
     mixed = common.stash(corpus_pipeline.mixing(spark, single, small_dir))
     assert mixed.columns == columns and 0.9 * single.count() < mixed.count() <= single.count()
