@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,6 +41,8 @@ PRIOR = (1.0, 1.5, 0.2, 0.2, 2.0, 0.8, 0.5, -3.0)
 #: At most so many labelled rows, chosen by a hash of their id, fit the stems and the weights.
 FIT_ROWS = 10_000
 FLUSH = 200_000
+#: Near copies are told by so many minima of their five-word hashes, each under another odd multiplier.
+MINIMA = tuple(2 * k * 0x9E3779B97F4A7C15 + 1 & 2**64 - 1 for k in range(4))
 
 
 # --- transducers: {(state, symbol): (state, symbol)}; the start state is 0 -------------------------------------------------
@@ -167,20 +169,33 @@ def _with_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = []
         for text in batch.column(0).to_pylist():
             words = (text or "").lower().encode().split()
-            least.append(min(xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))) >> 1)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(least, pa.int64())], names=["text", "half", "toxic", "least"])
+            h = np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))], np.uint64)
+            least.append([int((h * np.uint64(m)).min() >> np.uint64(1)) for m in MINIMA])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([x[k] for x in least], pa.int64()) for k in range(len(MINIMA)))], names=["text", "half", "toxic", *(f"least{k}" for k in range(len(MINIMA)))])
 
 
 def _stems(rows: list, n_toxic: int, n_clean: int, z: float = 2.8) -> dict[str, float]:
-    """Units whose share of toxic documents is over one half even at the Wilson bound; a prefix stands for the longer units under it."""
-    found = {}
+    """Units whose share of toxic documents is over one half even at the Wilson bound; a prefix stands for the longer units under it.
+
+    But where a longer unit has four fifths of a prefix's toxic documents and at most half of its clean ones, the prefix is too wide.
+    """
+    found, seen = {}, {}
     for unit, t, c in rows:
         n, p = t + c, t / (t + c)
         if n and (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) > 0.5:
+            seen[unit] = t, c
             found[unit] = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
+    below = defaultdict(list)
+    for unit, own in seen.items():
+        word = unit.rstrip("*")
+        for k in PREFIXES:
+            if k < len(word) or k == len(word) and not unit.endswith("*"):
+                below[word[:k] + "*"].append(own)
     kept: dict[str, float] = {}
     for unit in sorted(found, key=lambda u: (len(u.rstrip("*")), u)):
-        word = unit.rstrip("*")
+        word, (t0, c0) = unit.rstrip("*"), seen[unit]
+        if any(t >= 0.8 * t0 and 2 * c <= c0 and c < c0 for t, c in below[unit]):
+            continue
         if not any(word[:k] + "*" in kept for k in PREFIXES if k < len(word) or k == len(word) and not unit.endswith("*")):
             kept[unit] = found[unit]
     return kept
@@ -219,8 +234,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS, d
     known = known.select(F.col("doc_id").alias("__id"), "toxic", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("half"))
     # the labels are at most max_rows narrow rows, so they may be broadcast; texts are not moved
     train = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(known), "__id").select("text", "half", "toxic")
-    # near copies are no independent evidence: of those that share their least five-word hash, one counts
-    train = stash(train.mapInArrow(_with_least, "text string, half int, toxic int, least long").dropDuplicates(["least", "toxic"]))
+    # near copies are no independent evidence: of those that share a least five-word hash, one counts
+    train = train.mapInArrow(_with_least, "text string, half int, toxic int, " + ", ".join(f"least{k} long" for k in range(len(MINIMA))))
+    for k in range(len(MINIMA)):
+        train = train.dropDuplicates([f"least{k}", "toxic"])
+    train = stash(train)
     sizes = {(r["half"], r["toxic"]): r["count"] for r in train.groupBy("half", "toxic").count().collect()}
     t = [F.coalesce(F.sum(F.when((F.col("half") == h) & (F.col("toxic") == y), F.col("n"))), F.lit(0)).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)]
     counted = train.mapInArrow(_counted, "unit string, half int, toxic int, n long").groupBy("unit").agg(*t)

@@ -61,12 +61,27 @@ def test_grammar():
     assert m.features("idiotic reidiot") == [0.0] * 7 and m.features(None) == [0.0] * 7
 
 
+def test_a_prefix_that_clean_words_share_gives_way_to_the_word():
+    rows = [("lose*", 99, 12), ("loser", 99, 0), ("stup*", 50, 0), ("stupi*", 50, 0), ("rare*", 3, 0), ("wide*", 60, 50)]
+    assert set(X._stems(rows, 300, 3000)) == {"loser", "stup*"}
+
+
+def test_near_copies_of_a_toxic_text_are_one_witness(spark):
+    rng = random.Random(4)
+    body = [f"w{i}" for i in range(100)]
+    copies = [" ".join(rng.choice(["x", "y", "z"]) if rng.random() < 0.01 else w for w in body) for _ in range(80)]
+    clean = [" ".join(f"c{rng.randrange(500)}" for _ in range(60)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(copies + clean)), "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 80).cast("int").alias("toxic"))
+    assert X.fit_toxicity(docs, labels).stems == {}
+
+
 def test_toxicity_held_out_accuracy(spark, small_dir):
     docs, labels = spark.read.parquet(f"{small_dir}/../sf0.1/documents.parquet"), spark.read.parquet(f"{small_dir}/../sf0.1/labels.parquet")
     rows = X.score_documents(docs, labels).join(labels, "doc_id").filter("held_out").select("toxic", "predicted").collect()
     hit = [r["predicted"] for r in rows if r["toxic"]]
     clean = [r["predicted"] for r in rows if not r["toxic"]]
-    assert sum(hit) / len(hit) > 0.85 and sum(clean) / len(clean) < 0.04
+    assert sum(hit) / len(hit) > 0.9 and sum(clean) / len(clean) < 0.015
 
 
 def test_toxicity_edges(spark):
