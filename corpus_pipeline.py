@@ -11,7 +11,7 @@ from marketloom.llm.simhash import keep_one_of_each
 from marketloom.llm.toxicity import drop_toxic
 
 #: Near copies, with four fifths of their five-word shingles in common, differ in up to a dozen bits of a fingerprint of word pairs;
-#: about two fifths of them in at most NEAR_BITS. With STREAMS independent fingerprints over nine in ten do in one of them, and texts with less than two fifths in common in none.
+#: about two fifths of them in at most NEAR_BITS. With STREAMS independent fingerprints over nine in ten do in one of them, one in a hundred of those with three to five tenths in common, and none with less.
 WIDTH, NEAR_BITS, STREAMS = 2, 4, 5
 
 
