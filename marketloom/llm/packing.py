@@ -39,19 +39,23 @@ def default_tokenizer() -> str:
 
 @lru_cache(2)
 def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a tokenizers JSON file, with the same ids; ordinary text only, no special tokens.
+    """The byte-level BPE of a tokenizers JSON file, with the same ids; its added tokens are the encoding's special tokens.
 
-    In such a vocabulary a token's id is the rank of its merge, which is all that the encoder needs.
+    In such a vocabulary a token's id is the rank of its merge, which is all that the encoder needs. Raises
+    if an added token isn't matched as plain text: takes in spaces, needs word bounds or overlaps another.
     """
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
-    special = {t["content"] for t in data.get("added_tokens", ())}
+    added = data.get("added_tokens", ())
+    special = {t["content"]: t["id"] for t in added}
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")) or any(a != b and a[0] in b for a in special for b in special):
+        raise ValueError(f"{path}: added tokens that are not matched as plain text")
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
     import public_tokenizers
 
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -70,7 +74,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         for batch in batches:
             out: list[tuple] = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array([*encode.encode_ordinary(t or ""), END_ID], "<u4")
+                ids = np.array([*encode.encode(t or "", allowed_special="all"), END_ID], "<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + length]
                     out.append((i, k, start, length, zlib.crc32(own.tobytes()), part, seen[length], *([own] if with_ids else [])))

@@ -178,6 +178,18 @@ def test_packing_of_documents(spark, small_dir):
     assert n <= least + 1
 
 
+def test_added_tokens_are_encoded_as_the_tokenizers_library_does(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.default_tokenizer())  # as the file has it: no flag set
+    texts = ["ab <|endoftext|> c", "<|endoftext|>", "x<|endoftext|>y  <|endoftext|><|endoftext|>\n\n z", "<|endoftext", "a" * 5000 + "<|endoftext|>" * 3000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = P.cut_documents(frame, with_ids=True).orderBy("doc_id", "piece").collect()
+    for i, text in enumerate(texts):
+        assert [x for r in rows if r["doc_id"] == i for x in r["ids"]] == [*t.encode(text, add_special_tokens=False).ids, P.END_ID]
+    assert 50256 in rows[0]["ids"]
+
+
 def test_packing_edges(spark):
     docs = [(1, None), (2, ""), (3, "<|endoftext|> x"), (4, "word " * 30_000), (None, "é😀")]
     frame = spark.createDataFrame([(i, t, "en", "s", 1, "x", 1) for i, t in docs], DOCS)
