@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from marketloom.llm.common import read_table, stash
 from marketloom.llm.mixing import mix_documents
 from marketloom.llm.packing import pack_documents
-from marketloom.llm.simhash import keep_one_of_each
+from marketloom.llm.simhash import keep_unlike
 from marketloom.llm.toxicity import drop_toxic
 
-#: Near copies, with four fifths of their five-word shingles in common, differ in up to a dozen bits of a fingerprint of word pairs;
-#: about two fifths of them in at most NEAR_BITS. With STREAMS independent fingerprints over nine in ten do in one of them, one in a hundred of those with three to five tenths in common, and none with less.
-WIDTH, NEAR_BITS, STREAMS = 2, 4, 5
+#: Near copies have LEAST of their five-word shingles in common. They differ in up to a dozen bits of a fingerprint of word pairs, about
+#: two fifths of them in at most NEAR_BITS: independent fingerprints find most as candidates, which are then compared exactly.
+LEAST, WIDTH, NEAR_BITS, STREAMS = 0.8, 2, 4, 8
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of SimHash links; looser than the operator's default, as near copies differ in more bits."""
-    return keep_one_of_each(docs, budget=NEAR_BITS, width=WIDTH, streams=STREAMS)
+    """Documents that are no near copy of one of a smaller id that stays; SimHash links, looser than the operator's default, give the candidates."""
+    return keep_unlike(docs, budget=NEAR_BITS, least=LEAST, width=WIDTH, streams=STREAMS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

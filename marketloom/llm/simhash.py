@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import discard, small_side, stash
 from .graph import components
+from .sketch import shingle_hashes
 
 WORDS, SEED, BUDGET = 3, 42, 2
 #: Subtrees with more fingerprints than this are split; with a budget near STEP splitting multiplies rows and saves little, so they may be larger.
 LARGE, LARGE_IF_LOOSE, STEP, DEEPEST = 4096, 65_536, 6, 58
 LEAF, FRONTIER, SLICE = 16, 1_000_000, 65_536
+#: So many texts of a group are compared in one task.
+LOT = 256
 #: Multipliers of a 64-bit mixing function and the step between its streams.
 _MIX, _STREAM = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)), 0x9E3779B97F4A7C15
 
@@ -249,14 +252,116 @@ def fingerprint_text(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one_of_each(docs: DataFrame, budget: int = BUDGET, doc_id="doc_id", text="text", width: int = WORDS, streams: int = 1) -> DataFrame:
-    """The rows of docs, with all their columns, without those whose component has a smaller doc_id; rows that repeat an id stay once."""
-    found = stash(near_duplicates(docs, budget, doc_id, text, width, streams))
-    gone = stash(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    twice = stash(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice")))
+def _without(docs: DataFrame, gone: DataFrame, twice: DataFrame, doc_id: str) -> DataFrame:
+    """docs without the ids of gone(__gone), and one row of each id of twice(__twice)."""
     kept = docs.join(small_side(gone), docs[doc_id] == F.col("__gone"), "left_anti")
     if twice.isEmpty():
         return kept
     again = small_side(twice)
     same = docs[doc_id].eqNullSafe(F.col("__twice"))
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id]))
+
+
+def keep_one_of_each(docs: DataFrame, budget: int = BUDGET, doc_id="doc_id", text="text", width: int = WORDS, streams: int = 1) -> DataFrame:
+    """The rows of docs, with all their columns, without those whose component has a smaller doc_id; rows that repeat an id stay once."""
+    found = stash(near_duplicates(docs, budget, doc_id, text, width, streams))
+    gone = stash(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    twice = stash(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice")))
+    return _without(docs, gone, twice, doc_id)
+
+
+MEMBER = "group long, id long, digest binary, hashes binary"
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = [shingle_hashes(t or "").tobytes() for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([xxhash.xxh3_128_digest(h) for h in hashes], pa.binary()), pa.array(hashes, pa.binary())], names=["group", "id", "digest", "hashes"])
+
+
+class _Lot:
+    """Sets of shingle hashes, to be compared with others exactly."""
+
+    def __init__(self, sets: list[bytes]):
+        own = [np.frombuffer(h, np.uint64) for h in sets]
+        self.sizes = np.array([len(h) for h in own], np.int64)
+        keys, owners = np.concatenate([*own, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(own)), self.sizes)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners = keys[order], owners[order]
+
+    def alike(self, hashes: bytes, least: float) -> np.ndarray:
+        """For each set whether its Jaccard likeness to hashes is at least `least`; two empty sets are alike."""
+        h = np.frombuffer(hashes, np.uint64)
+        lo, hi = np.searchsorted(self.keys, h, "left"), np.searchsorted(self.keys, h, "right")
+        n = hi - lo
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        both = np.bincount(self.owners[at], minlength=len(self.sizes))
+        either = len(h) + self.sizes - both
+        return (both >= least * either - 1e-9) & ((both > 0) | (either == 0))
+
+
+def _leaders(t: pa.Table, least: float) -> pa.Table:
+    """The rows of one group's lot that are unlike every row of a smaller id that stays."""
+    t = t.sort_by([("id", "ascending"), ("digest", "ascending")])
+    sets = t["hashes"].to_pylist()
+    lot, stays = _Lot(sets), np.ones(len(sets), bool)
+    for i, h in enumerate(sets):
+        if stays[i]:
+            stays[i + 1 :] &= ~lot.alike(h, least)[i + 1 :]
+    return t.filter(pa.array(stays))
+
+
+def _unlike(rest: pa.Table, leaders: pa.Table, least: float) -> pa.Table:
+    """The rows of rest that are unlike all leaders."""
+    lot = _Lot(leaders["hashes"].to_pylist())
+    return rest.filter(pa.array([not lot.alike(h, least).any() for h in rest["hashes"].to_pylist()], pa.bool_()))
+
+
+def _all_leaders(rest: DataFrame, least: float) -> DataFrame:
+    """The rows of rest(MEMBER, stashed) that stay: in each group, by ascending id, those unlike every earlier one that stays.
+
+    A group's lot of smallest ids is settled in one task; what remains of the group is dealt out in lots, and
+    each is compared with those that stay. So the work is members by leaders, never members by members.
+    """
+    names, done = rest.columns, []
+    while True:
+        shares = [2.0**-k for k in range(31)]
+        sizes = rest.groupBy("group").agg(F.count("*").alias("n"), F.percentile_approx("id", F.array(*map(F.lit, shares)), 10_000).alias("ends"))
+        step = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LOT))).cast("int")
+        sizes = stash(sizes.select("group", F.col("ends")[step].alias("end"), F.ceil(F.col("n") / LOT).cast("int").alias("lots")))
+        marked = rest.join(small_side(sizes), "group")
+        first = marked.filter("id <= end").select(*names).groupBy("group").applyInArrow(lambda t: _leaders(t, least), MEMBER)
+        first = stash(first)
+        done.append(first)
+        more = sizes.filter("lots > 1")
+        if more.isEmpty():
+            break
+        later = marked.filter("id > end").withColumn("lot", F.expr("pmod(xxhash64(digest), lots)").cast("int")).select(*names, "lot")
+        against = first.join(small_side(stash(more)), "group").withColumn("lot", F.explode(F.expr("sequence(0, lots - 1)"))).select(*names, "lot")
+        pairs = later.groupBy("group", "lot").cogroup(against.groupBy("group", "lot"))
+        rest = stash(pairs.applyInArrow(lambda a, b: _unlike(a.select(names), b, least), MEMBER))
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def keep_unlike(docs: DataFrame, budget: int = BUDGET, least: float = 0.8, doc_id="doc_id", text="text", width: int = WORDS, streams: int = 1) -> DataFrame:
+    """The rows of docs, with all their columns, without those that are near copies of a row of a smaller doc_id that stays.
+
+    Near copies have a Jaccard likeness of at least `least` in their five-word shingles, compared exactly.
+    Compared are the texts of a component of fingerprint links, so each that goes has such a copy that
+    stays, and of the texts of a component no two that stay are alike. Rows that repeat an id stay once.
+    """
+    found = stash(near_duplicates(docs, budget, doc_id, text, width, streams).select("doc_id", "component_id"))
+    groups = found.filter("doc_id IS NOT NULL").groupBy("component_id").count().filter("count > 1").select("component_id")
+    own = found.filter("doc_id IS NOT NULL").join(small_side(stash(groups)), "component_id", "left_semi").distinct()
+    own = own.select(F.col("component_id").alias("group"), F.col("doc_id").alias("id"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    members = texts.join(small_side(stash(own)), "id").select("group", "id", "text").mapInArrow(_members, MEMBER)
+    members = stash(members)
+    classes = stash(members.groupBy("group", "digest").agg(F.min("id").alias("id"), F.first("hashes").alias("hashes")).select(*members.columns))
+    stay = stash(_all_leaders(classes, least).select("id").distinct())
+    gone = stash(members.select("id").distinct().join(small_side(stay), "id", "left_anti").select(F.col("id").alias("__gone")))
+    twice = stash(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice")))
+    return _without(docs, gone, twice, doc_id)

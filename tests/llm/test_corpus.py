@@ -124,6 +124,30 @@ def test_pipeline_links_near_copies_and_no_others(spark):
     assert all(i in kept for i in range(0, n, 2)) and all(i in kept for i in range(n, len(rows)))
 
 
+def shingle_likeness(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("lot", [256, 4])
+def test_pipeline_keeps_texts_that_link_but_are_unlike(spark, monkeypatch, lot):
+    monkeypatch.setattr(S, "LOT", lot)  # if small, groups take several rounds
+    rng, rows = random.Random(lot), []
+    for f in range(6):
+        body = [f"f{f}w{rng.randrange(400)}" for _ in range(300)]
+        for _ in range(12):  # from near copies to texts half alike
+            change = rng.choice([0.003, 0.01, 0.03])
+            rows.append(" ".join(f"x{rng.randrange(9999)}" if rng.random() < change else w for w in body))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", 1) for i, t in enumerate(rows)], DOCS)
+    groups = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(docs, 4, width=2, streams=corpus_pipeline.STREAMS).collect()}
+    want = []
+    for i, t in enumerate(rows):
+        if not any(groups[i] == groups[k] and shingle_likeness(t, rows[k]) >= 0.8 for k in want):
+            want.append(i)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept == want and len(set(groups.values())) < len(want) < len(rows)
+
+
 # --- packing ----------------------------------------------------------------------------------------------------------------
 
 
