@@ -59,6 +59,17 @@ def vwap(w: int) -> Column:
     return full(F.coalesce(weighted, F.avg(typical()).over(roll(w))), F.col("close"), w)
 
 
+def vwap_so_far(w: int) -> Column:
+    """Volume-weighted mean price of up to w bars, as many as there are; unweighted where none of them has volume."""
+    v = F.coalesce("volume", F.lit(0.0))
+    volume = F.sum(v).over(roll(w))
+    return F.coalesce(F.sum(typical() * v).over(roll(w)) / F.when(volume > 0, volume), F.avg(typical()).over(roll(w)))
+
+
+def has_volume(w: int) -> Column:
+    return F.sum(F.coalesce("volume", F.lit(0.0))).over(roll(w)) > 0
+
+
 def at_least(value: Column, x: Column, w: int, least: int = 5) -> Column:
     return F.when(F.count(x).over(roll(w)) >= least, value)
 

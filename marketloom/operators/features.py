@@ -22,7 +22,7 @@ CONTEXT = ("basket_ret", "btc_ret", "funding_rate", "open_interest", "top_trader
 
 def build_features(bars: DataFrame) -> DataFrame:
     """bars with FEATURE_NAMES and valid behind. Context columns (CONTEXT) may be missing or NULL: their features are then 0."""
-    rows = with_recursive(with_index(bars))
+    rows = with_recursive(with_index(bars), ("rsi14", "rsi9", "macd", "macd_signal", "atr14", "adx14", "ewma_vol"))
     for c in CONTEXT:
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("double"))

@@ -25,7 +25,7 @@ from marketloom.functions.scalars import sigmoid
 from marketloom.operators import features as X
 from marketloom.operators import signals as G
 from marketloom.operators import validation as V
-from marketloom.operators.recursive import fit_garch
+from marketloom.operators.recursive import fit_garch, held_out_qlike
 
 CLIP = 1e-6
 
@@ -191,15 +191,22 @@ def fit_har(design: DataFrame, holdout: float = 0.2) -> DataFrame:
     return test.groupBy("symbol", *names).agg(V.qlike(F.col("rv_target"), F.greatest(forecast, F.lit(1e-12))).alias("qlike"))
 
 
-def garch_volatility(bars: DataFrame) -> DataFrame:
-    """(symbol, open_time, garch_vol): conditional volatility of a GARCH(1,1) of each symbol's returns."""
+def garch_volatility(bars: DataFrame, holdout: float = 0.2) -> DataFrame:
+    """(symbol, open_time, garch_vol, qlike): conditional volatility of a GARCH(1,1) of each symbol's returns, fitted before the hold-out, and its loss there.
+
+    A symbol's returns, one number a bar, are one group: its likelihood is that of the whole path.
+    """
     returns = bars.withColumn("r", W.log_return(F.col("close"))).filter("r IS NOT NULL").select("symbol", "open_time", "r")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("open_time")
-        return group.assign(garch_vol=fit_garch(group["r"].to_numpy(float))[1] if len(group) > 50 else float("nan"))[["symbol", "open_time", "garch_vol"]]
+        if len(group) <= 50:
+            return group.assign(garch_vol=float("nan"), qlike=float("nan"))[["symbol", "open_time", "garch_vol", "qlike"]]
+        r = group["r"].to_numpy(float)
+        _, vol = fit_garch(r, holdout)
+        return group.assign(garch_vol=vol, qlike=held_out_qlike(r, vol, holdout))[["symbol", "open_time", "garch_vol", "qlike"]]
 
-    return returns.groupBy("symbol").applyInPandas(one, f"symbol string, open_time {bars.schema['open_time'].dataType.simpleString()}, garch_vol double")
+    return returns.groupBy("symbol").applyInPandas(one, f"symbol string, open_time {bars.schema['open_time'].dataType.simpleString()}, garch_vol double, qlike double")
 
 
 def leakage_demo(rows: DataFrame, n_splits: int = 3, min_train: int = 500) -> DataFrame:

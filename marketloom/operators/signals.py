@@ -37,7 +37,9 @@ def profile(name: str | None) -> Profile:
 
 
 def stop_loss_percent(p: Profile, symbol: Column) -> Column:
-    return F.when(is_forex(symbol), p.stop_loss["forex"]).otherwise(p.stop_loss["crypto"])
+    """The stop of the symbol's class; the crypto stop where the profile has none for it, 2 where it has none at all."""
+    crypto = p.stop_loss.get("crypto", 2.0)
+    return F.when(is_forex(symbol), p.stop_loss.get("forex", crypto)).otherwise(crypto)
 
 
 def bollinger(close: Column, w: int, k: float = 2.0) -> dict[str, Column]:
@@ -52,6 +54,10 @@ def bollinger(close: Column, w: int, k: float = 2.0) -> dict[str, Column]:
     }
 
 
+#: How many bars the signal's volume-weighted price looks back; fewer where there are no more.
+VWAP_BARS = 288
+
+
 def signal(p: Profile, price: Column, sma: Column, rsi: Column, bandwidth: Column, breakout: Column, vwap: Column) -> Column:
     """struct(signal, confidence, rule, reasons). The first rule that fits decides; a directional call under the least confidence turns neutral."""
     missing = price.isNull() | sma.isNull() | rsi.isNull()
@@ -78,7 +84,7 @@ def signal(p: Profile, price: Column, sma: Column, rsi: Column, bandwidth: Colum
         + F.when(down & (rsi < 40), 8.0).otherwise(0.0)
         + F.when(vwap.isNull(), 0.0).when((up & (price > vwap)) | (down & (price < vwap)), 12.0).otherwise(-8.0)
         + F.when((bandwidth > 2 * p.neutral_bandwidth) & (bandwidth < 0.06), 10.0).when(bandwidth >= 0.06, -10.0).otherwise(0.0)
-        + F.when((up & (breakout == "LOWER")) | (down & (breakout == "UPPER")), 6.0).otherwise(0.0)
+        + F.when((up & (breakout == "UPPER")) | (down & (breakout == "LOWER")), 6.0).otherwise(0.0)
     )
     directed = F.greatest(F.lit(0), F.least(F.lit(95), half_up(score).cast("int")))
     confidence = F.when(missing, 0).when(call == "NEUTRAL", 30).otherwise(directed)
@@ -88,6 +94,8 @@ def signal(p: Profile, price: Column, sma: Column, rsi: Column, bandwidth: Colum
             F.concat(F.lit("rule "), rule),
             F.when(~missing, F.when(above, "price above its mean").otherwise("price at or under its mean")),
             F.when(breakout.isNotNull(), F.concat(F.lit("breakout "), F.lower(breakout))),
+            F.when((up & (price > vwap)) | (down & (price < vwap)), "volume-weighted price agrees").when((up | down) & vwap.isNotNull(), "volume-weighted price disagrees"),
+            F.when((up | down) & (bandwidth >= 0.06), "extreme volatility"),
             F.when(weak, "confidence under the profile's least"),
         ),
         lambda x: x.isNotNull(),
@@ -95,12 +103,12 @@ def signal(p: Profile, price: Column, sma: Column, rsi: Column, bandwidth: Colum
     return F.struct(F.when(weak, "NEUTRAL").otherwise(call).alias("signal"), confidence.cast("int").alias("confidence"), F.when(weak, F.concat(rule, F.lit("-below-threshold"))).otherwise(rule).alias("rule"), reasons.alias("reasons"))
 
 
-def with_signals(bars: DataFrame, p: Profile = PROFILES["conservative"], vwap_window: int = 48) -> DataFrame:
+def with_signals(bars: DataFrame, p: Profile = PROFILES["conservative"], vwap_window: int = VWAP_BARS) -> DataFrame:
     """bars with their indicators and signal: one shuffle on symbol, windows and the recursions share it."""
-    rows = with_recursive(with_index(bars))
+    rows = with_recursive(with_index(bars), (f"rsi{p.rsi}",))
     for name, column in bollinger(F.col("close"), p.bollinger).items():
         rows = rows.withColumn(f"bb_{name}", column)
-    rows = rows.withColumn("sma", W.mean(F.col("close"), p.sma)).withColumn("vwap", W.vwap(vwap_window)).withColumn("rsi", F.col("rsi14" if p.rsi == 14 else "rsi9"))
+    rows = rows.withColumn("sma", W.mean(F.col("close"), p.sma)).withColumn("vwap", W.vwap_so_far(vwap_window)).withColumn("vwap_is_volume_weighted", W.has_volume(vwap_window)).withColumn("rsi", F.col(f"rsi{p.rsi}"))
     return rows.withColumn("s", signal(p, F.col("close"), F.col("sma"), F.col("rsi"), F.col("bb_bandwidth"), F.col("bb_breakout"), F.col("vwap"))).select("*", "s.*").drop("s")
 
 
@@ -128,19 +136,22 @@ def combine(h_signal: Column, h_conf: Column, m_signal: Column, m_conf: Column,
     )
 
 
-def entry_windows(rows: DataFrame, as_of: Column, hours: int = 12, stop_percent: float = 2.0) -> DataFrame:
+def entry_windows(rows: DataFrame, as_of: Column, hours: int = 12, stop_percent: float = 2.0, p: Profile | None = None) -> DataFrame:
     """The best entry of each symbol in the look-back before as_of: oversold and high volume score, ties to the earliest.
 
-    rows need symbol, open_time, close, volume, rsi14. Symbols without a bar in the window have no row.
+    rows need symbol, open_time, close, volume, rsi14. With a profile, its RSI counts instead, and the
+    stop is that of the profile and the symbol's class. Symbols without a bar with an RSI in the window have no row.
     """
-    inside = rows.filter((F.col("open_time") >= as_of - F.expr(f"INTERVAL {hours} HOURS")) & F.col("rsi14").isNotNull())
-    means = inside.groupBy("symbol").agg(F.avg("volume").alias("mean_volume"), F.min_by("open_time", F.struct("rsi14", "open_time")).alias("lowest_rsi_time"), F.min("rsi14").alias("lowest_rsi"))
-    ratio = F.when(F.col("mean_volume") > 0, F.col("volume") / F.col("mean_volume")).otherwise(1.0)
+    rsi = F.col(f"rsi{p.rsi if p else 14}")
+    inside = rows.filter((F.col("open_time") >= as_of - F.expr(f"INTERVAL {hours} HOURS")) & rsi.isNotNull()).withColumn("entry_rsi", rsi)
+    means = inside.groupBy("symbol").agg(F.avg(F.coalesce("volume", F.lit(0.0))).alias("mean_volume"), F.min_by("open_time", F.struct("entry_rsi", "open_time")).alias("lowest_rsi_time"), F.min("entry_rsi").alias("lowest_rsi"))
+    ratio = F.when(F.col("mean_volume") > 0, F.coalesce("volume", F.lit(0.0)) / F.col("mean_volume")).otherwise(1.0)
     scored = inside.join(means, "symbol").withColumn("volume_ratio", ratio)
-    scored = scored.withColumn("score", 0.65 * (100 - F.col("rsi14")) / 100 + 0.35 * F.least(F.col("volume_ratio"), F.lit(3.0)) / 3)
-    best = scored.groupBy("symbol").agg(F.max_by(F.struct("open_time", "close", "rsi14", "volume_ratio", "score", "lowest_rsi", "lowest_rsi_time"), F.struct(F.col("score"), -F.unix_seconds(F.col("open_time").cast("timestamp")))).alias("b")).select("symbol", "b.*")
+    scored = scored.withColumn("score", 0.65 * (100 - F.col("entry_rsi")) / 100 + 0.35 * F.least(F.col("volume_ratio"), F.lit(3.0)) / 3)
+    best = scored.groupBy("symbol").agg(F.max_by(F.struct("open_time", "close", "entry_rsi", "volume_ratio", "score", "lowest_rsi", "lowest_rsi_time"), F.struct(F.col("score"), -F.unix_micros(F.col("open_time").cast("timestamp")))).alias("b")).select("symbol", "b.*")
     quality = F.when(F.col("score") >= 0.6, "strong").when(F.col("score") >= 0.45, "moderate").otherwise("weak")
-    return best.withColumn("stop_loss", F.col("close") * (1 - stop_percent / 100)).withColumn("quality", quality)
+    stop = stop_loss_percent(p, F.col("symbol")) if p else F.lit(stop_percent)
+    return best.withColumn("stop_loss_percent", stop).withColumn("stop_loss", F.col("close") * (1 - stop / 100)).withColumn("lookback_hours", F.lit(hours)).withColumn("quality", quality)
 
 
 def change_over(bars: DataFrame, n: int = 288) -> DataFrame:

@@ -53,6 +53,10 @@ _TP = "(high + low + close) / 3"
 _VWAP48 = f"CASE WHEN count(close) OVER {frame(48)} = 48 THEN CASE WHEN sum(volume) OVER {frame(48)} > 0 THEN sum({_TP} * volume) OVER {frame(48)} / sum(volume) OVER {frame(48)} ELSE avg({_TP}) OVER {frame(48)} END END"
 
 
+#: The signal's: up to 288 bars, as many as there are.
+_VWAP_DAY = f"CASE WHEN sum(volume) OVER {frame(288)} > 0 THEN sum({_TP} * volume) OVER {frame(288)} / sum(volume) OVER {frame(288)} ELSE avg({_TP}) OVER {frame(288)} END"
+
+
 @query("rolling_vwap", f"WITH {BARS} SELECT symbol, open_time, {rr(_VWAP48, 'vwap', 9)} FROM b")
 def rolling_vwap(spark, d):
     return bars(spark, d).select(*KEY, r6(W.vwap(48), "vwap", 9))
@@ -224,12 +228,12 @@ def _rsi_sql(g: str, l: str) -> str:
 
 @query("rsi", f"WITH RECURSIVE {BARS}, {_STEP}, {_wilder('w', {'g': 'greatest(d, 0)', 'l': 'greatest(-d, 0)'}, 14)} SELECT x.symbol, x.open_time, {rr(_rsi_sql('g', 'l'), 'rsi14')} FROM x LEFT JOIN w USING (symbol, idx)")
 def rsi(spark, d):
-    return R.with_recursive(bars(spark, d)).select(*KEY, r6("rsi14"))
+    return R.with_recursive(bars(spark, d), ("rsi14",)).select(*KEY, r6("rsi14"))
 
 
 @query("atr", f"WITH RECURSIVE {BARS}, {_STEP}, {_wilder('w', {'a': 'tr'}, 14)} SELECT x.symbol, x.open_time, {rr('a', 'atr14')} FROM x LEFT JOIN w USING (symbol, idx)")
 def atr(spark, d):
-    return R.with_recursive(bars(spark, d)).select(*KEY, r6("atr14"))
+    return R.with_recursive(bars(spark, d), ("atr14",)).select(*KEY, r6("atr14"))
 
 
 _DX = "100 * abs(p - m) / (p + m)"
@@ -242,7 +246,7 @@ _DX = "100 * abs(p - m) / (p + m)"
     SELECT x.symbol, x.open_time, {rr('adx', 'adx14')} FROM x LEFT JOIN a USING (symbol, idx)""",
 )
 def adx(spark, d):
-    return R.with_recursive(bars(spark, d)).select(*KEY, r6("adx14"))
+    return R.with_recursive(bars(spark, d), ("adx14",)).select(*KEY, r6("adx14"))
 
 
 def _k(span: int) -> str:
@@ -257,7 +261,7 @@ def _k(span: int) -> str:
     SELECT b.symbol, b.open_time, {rr('e12', 'ema12')}, {rr('e26', 'ema26')}, {rr('(e12 - e26 - sig) / close', 'macd_hist_norm')} FROM b JOIN e USING (symbol, idx)""",
 )
 def macd(spark, d):
-    rows = R.with_recursive(bars(spark, d))
+    rows = R.with_recursive(bars(spark, d), ("ema12", "ema26", "macd", "macd_signal"))
     return rows.select(*KEY, r6("ema12"), r6("ema26"), r6((F.col("macd") - F.col("macd_signal")) / F.col("close"), "macd_hist_norm"))
 
 
@@ -266,20 +270,20 @@ _EWMA = f"v AS (SELECT symbol, idx::BIGINT AS idx, r0 * r0 AS v FROM x WHERE idx
 
 @query("ewma_vol", f"WITH RECURSIVE {BARS}, {_STEP}, {_EWMA} SELECT x.symbol, x.open_time, {rr('sqrt(v.v)', 'ewma_vol')} FROM x JOIN v USING (symbol, idx)")
 def ewma_vol(spark, d):
-    return R.with_recursive(bars(spark, d)).select(*KEY, r6("ewma_vol"))
+    return R.with_recursive(bars(spark, d), ("ewma_vol",)).select(*KEY, r6("ewma_vol"))
 
 
 # --- signals --------------------------------------------------------------------------------------------------------------
 
 _SIG = f"""{_STEP}, {_wilder('w', {'g': 'greatest(d, 0)', 'l': 'greatest(-d, 0)'}, 14)},
-y AS (SELECT b.*, {full('avg(close)', 'close', 50)} AS sma, {full('avg(close)', 'close', 20)} AS m, {full('stddev_pop(close)', 'close', 20)} AS sd, {_VWAP48} AS vw FROM b),
+y AS (SELECT b.*, {full('avg(close)', 'close', 50)} AS sma, {full('avg(close)', 'close', 20)} AS m, {full('stddev_pop(close)', 'close', 20)} AS sd, {_VWAP_DAY} AS vw FROM b),
 z AS (SELECT y.*, CASE WHEN g IS NOT NULL THEN {_rsi_sql('g', 'l')} END AS rsi, 4 * sd / m AS bw, CASE WHEN close > m + 2 * sd THEN 'UPPER' WHEN close < m - 2 * sd THEN 'LOWER' END AS bo FROM y LEFT JOIN w USING (symbol, idx)),
 q AS (SELECT *, CASE WHEN sma IS NULL OR rsi IS NULL THEN 'insufficient-data' WHEN bw < 0.004 AND bo IS NULL THEN 'sideways-range' WHEN close > sma AND rsi BETWEEN 40 AND 60 THEN 'spec-up' WHEN close <= sma AND rsi > 65 THEN 'spec-down'
   WHEN close > sma AND rsi > 70 AND bo = 'UPPER' THEN 'reversal-down' WHEN close <= sma AND rsi < 40 THEN 'trend-down' WHEN rsi < 30 AND bo = 'LOWER' THEN 'bounce-up' ELSE 'no-rule-matched' END AS rule0 FROM z),
 k AS (SELECT *, CASE WHEN rule0 IN ('spec-up', 'bounce-up') THEN 'UP' WHEN rule0 IN ('spec-down', 'reversal-down', 'trend-down') THEN 'DOWN' ELSE 'NEUTRAL' END AS call FROM q),
 sc AS (SELECT *, 40 + least(abs(close - sma) / sma * 400, 20) + CASE WHEN call = 'UP' AND rsi BETWEEN 45 AND 60 THEN 12 ELSE 0 END + CASE WHEN call = 'DOWN' AND rsi >= 65 THEN 12 ELSE 0 END + CASE WHEN call = 'DOWN' AND rsi < 40 THEN 8 ELSE 0 END
   + CASE WHEN vw IS NULL THEN 0 WHEN (call = 'UP' AND close > vw) OR (call = 'DOWN' AND close < vw) THEN 12 ELSE -8 END + CASE WHEN bw > 0.008 AND bw < 0.06 THEN 10 WHEN bw >= 0.06 THEN -10 ELSE 0 END
-  + CASE WHEN (call = 'UP' AND bo = 'LOWER') OR (call = 'DOWN' AND bo = 'UPPER') THEN 6 ELSE 0 END AS score FROM k),
+  + CASE WHEN (call = 'UP' AND bo = 'UPPER') OR (call = 'DOWN' AND bo = 'LOWER') THEN 6 ELSE 0 END AS score FROM k),
 cf AS (SELECT *, CAST(CASE WHEN rule0 = 'insufficient-data' THEN 0 WHEN call = 'NEUTRAL' THEN 30 ELSE greatest(0, least(95, floor(score + 0.5))) END AS INTEGER) AS confidence FROM sc),
 sg AS (SELECT symbol, open_time, close, rsi, confidence, CASE WHEN call <> 'NEUTRAL' AND confidence < 62 THEN 'NEUTRAL' ELSE call END AS signal, CASE WHEN call <> 'NEUTRAL' AND confidence < 62 THEN rule0 || '-below-threshold' ELSE rule0 END AS rule FROM cf)"""
 
@@ -305,12 +309,12 @@ def signal_counts(spark, d):
     f"""WITH RECURSIVE {BARS}, {_STEP}, {_wilder('w', {'g': 'greatest(d, 0)', 'l': 'greatest(-d, 0)'}, 14)}, i AS (SELECT b.*, {_rsi_sql('g', 'l')} AS rsi FROM b JOIN w USING (symbol, idx) WHERE open_time >= {AS_OF_SQL} - INTERVAL 12 HOUR),
     j AS (SELECT *, avg(volume) OVER (PARTITION BY symbol) AS mv, min(rsi) OVER (PARTITION BY symbol) AS lowest_rsi FROM i), k AS (SELECT *, CASE WHEN mv > 0 THEN volume / mv ELSE 1 END AS vr FROM j),
     s AS (SELECT *, 0.65 * (100 - rsi) / 100 + 0.35 * least(vr, 3) / 3 AS score FROM k)
-    SELECT symbol, open_time, close, {rr('rsi', 'rsi14')}, {rr('vr', 'volume_ratio')}, {rr('close * 0.98', 'stop_loss')}, {rr('lowest_rsi', 'lowest_rsi')}, CASE WHEN score >= 0.6 THEN 'strong' WHEN score >= 0.45 THEN 'moderate' ELSE 'weak' END AS quality
+    SELECT symbol, open_time, close, {rr('rsi', 'rsi14')}, {rr('vr', 'volume_ratio')}, {rr('close * 0.97', 'stop_loss')}, {rr('lowest_rsi', 'lowest_rsi')}, CASE WHEN score >= 0.6 THEN 'strong' WHEN score >= 0.45 THEN 'moderate' ELSE 'weak' END AS quality
     FROM s QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(score, 12) DESC, open_time) = 1""",
 )
 def entry_window(spark, d):
-    found = G.entry_windows(R.with_recursive(bars(spark, d)), as_of())
-    return found.select(*KEY, "close", r6("rsi14"), r6("volume_ratio"), r6("stop_loss"), r6("lowest_rsi"), "quality")
+    found = G.entry_windows(R.with_recursive(bars(spark, d), ("rsi14",)), as_of(), p=G.PROFILES["conservative"])
+    return found.select(*KEY, "close", r6("entry_rsi", "rsi14"), r6("volume_ratio"), r6("stop_loss"), r6("lowest_rsi"), "quality")
 
 
 @query(
@@ -447,7 +451,7 @@ def heuristic(spark, d):
     dx AS (SELECT symbol, idx, CASE WHEN t > 0 AND p + m > 0 THEN {_DX} ELSE 0.0 END AS dx FROM w), {_wilder('a', {'adx': 'dx.dx'}, 14, 'dx', 14)}
     SELECT symbol, CASE WHEN adx > 25 THEN 'trending' ELSE 'ranging' END AS regime, count(*) AS n FROM x LEFT JOIN a USING (symbol, idx) GROUP BY ALL""")
 def regime_counts(spark, d):
-    return R.with_recursive(bars(spark, d)).groupBy("symbol", X.regime(F.col("adx14")).alias("regime")).agg(F.count("*").alias("n"))
+    return R.with_recursive(bars(spark, d), ("adx14",)).groupBy("symbol", X.regime(F.col("adx14")).alias("regime")).agg(F.count("*").alias("n"))
 
 
 @query("meta_target", f"WITH {_LABEL} SELECT symbol, idx, CASE WHEN idx % 3 > 0 THEN CASE WHEN (idx % 3 = 2 AND ret > 0) OR (idx % 3 = 1 AND ret < 0) THEN 1 ELSE 0 END END AS meta FROM lb WHERE labelable")

@@ -82,6 +82,51 @@ def test_signal_cases(spark, price, sma, rsi, bw, bo, vwap, profile, signal, rul
     assert (got["signal"], got["rule"]) == (signal, rule) and got["reasons"][0] == f"rule {rule.removesuffix('-below-threshold')}"
 
 
+#: Confidences added up by hand from the specification: 40, +4 for each percent from the mean up to 20, +12 for a fitting RSI (+8 under 40),
+#: +12 or -8 by the volume-weighted price, +10 for a middling and -10 for an extreme bandwidth, +6 for a breakout in the call's direction.
+@pytest.mark.parametrize("price, sma, rsi, bw, bo, vwap, signal, rule, confidence", [
+    (102.0, 100.0, 50.0, 0.03, "UPPER", 101.0, "UP", "spec-up", 40 + 8 + 12 + 12 + 10 + 6),
+    (102.0, 100.0, 50.0, 0.03, "LOWER", 101.0, "UP", "spec-up", 40 + 8 + 12 + 12 + 10),
+    (98.0, 100.0, 66.0, 0.03, "LOWER", 99.0, "DOWN", "spec-down", 40 + 8 + 12 + 12 + 10 + 6),
+    (98.0, 100.0, 66.0, 0.03, "UPPER", 99.0, "DOWN", "spec-down", 40 + 8 + 12 + 12 + 10),
+    (98.0, 100.0, 30.0, 0.03, "LOWER", 99.0, "DOWN", "trend-down", 40 + 8 + 8 + 12 + 10 + 6),
+    (105.0, 100.0, 75.0, 0.03, "UPPER", 110.0, "DOWN", "reversal-down", 40 + 20 + 12 + 12 + 10),
+    (105.0, 100.0, 25.0, 0.03, "LOWER", 104.0, "UP", "bounce-up", 40 + 20 + 12 + 10),
+    (103.0, 100.0, 50.0, 0.03, None, None, "UP", "spec-up", 40 + 12 + 12 + 10),
+    (103.0, 100.0, 50.0, 0.06, "UPPER", 102.0, "UP", "spec-up", 40 + 12 + 12 + 12 - 10 + 6),
+    (101.0, 100.0, 50.0, 0.07, None, 102.0, "NEUTRAL", "spec-up-below-threshold", 40 + 4 + 12 - 8 - 10),
+    (101.0, 100.0, 65.0, 0.03, None, 100.0, "NEUTRAL", "no-rule-matched", 30),
+])
+def test_confidence_by_hand(spark, price, sma, rsi, bw, bo, vwap, signal, rule, confidence):
+    row = spark.createDataFrame([(price, sma, rsi, bw, bo, vwap)], "p double, s double, r double, b double, o string, v double")
+    got = row.select(G.signal(G.PROFILES["conservative"], *(F.col(c) for c in "psrbov")).alias("x")).first()["x"]
+    assert (got["signal"], got["rule"], got["confidence"]) == (signal, rule, confidence)
+
+
+def test_signal_price_of_few_bars(spark):
+    """The signal's volume-weighted price takes the last 288 bars or as many as there are."""
+    closes = [100.0 + i % 7 for i in range(300)]
+    got = column(G.with_signals(frame(spark, closes)), "vwap")
+    assert got[0] == closes[0] and math.isclose(got[9], sum(closes[:10]) / 10) and math.isclose(got[299], sum(closes[12:]) / 288)
+    assert set(column(G.with_signals(frame(spark, closes, volume=0.0)), "vwap_is_volume_weighted")) == {False}
+
+
+def test_recursions_by_blocks(spark):
+    """Blocks that begin early give what one pass over the whole history gives."""
+    rng = np.random.default_rng(3)
+    rows = B.with_index(frame(spark, 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 5000)))))
+    whole, parts = R.with_recursive(rows), R.with_recursive(rows, block=2500, halo=2048)
+    for c in R.COLUMNS:
+        a, b = column(whole, c), column(parts, c)
+        assert len(a) == len(b) == 5000 and all((x is None) == (y is None) and (x is None or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-12)) for x, y in zip(a, b)), c
+    x = rng.normal(0, 1, 1000)
+    y, before = [], 2.0
+    for v in x:
+        before = 0.9 * before + 0.3 * v
+        y.append(before)
+    assert np.allclose(R.linear(x, 0.9, 0.3, 2.0), y, rtol=1e-12)
+
+
 def test_entry_window(spark):
     closes = [100 + 5 * math.sin(i / 5) for i in range(100)]
     rows = R.with_recursive(frame(spark, closes).withColumn("volume", F.when(F.col("close") == closes[60], 1000.0).otherwise(100.0)))
@@ -89,6 +134,8 @@ def test_entry_window(spark):
     got = G.entry_windows(rows, as_of).first()
     assert math.isclose(got["stop_loss"], got["close"] * 0.98) and got["quality"] in ("strong", "moderate", "weak")
     assert G.entry_windows(R.with_recursive(frame(spark, [1.0])), as_of).count() == 0
+    fx = G.entry_windows(R.with_recursive(frame(spark, closes, symbol="EUR/USD")), as_of, p=G.PROFILES["aggressive"]).first()
+    assert fx["stop_loss_percent"] == 0.5 and math.isclose(fx["stop_loss"], fx["close"] * 0.995)
 
 
 def test_symbols_and_formats(spark):
