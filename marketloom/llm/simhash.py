@@ -13,14 +13,15 @@ finds more near copies at the same budget, where a larger budget would make the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, small_side, stash
+from .common import discard, free_name, settled, small_side, stash, words_of
 from .graph import components
 from .sketch import shingle_hashes
 
@@ -28,8 +29,8 @@ WORDS, SEED, BUDGET = 3, 42, 2
 #: Subtrees with more fingerprints than this are split; with a budget near STEP splitting multiplies rows and saves little, so they may be larger.
 LARGE, LARGE_IF_LOOSE, STEP, DEEPEST = 4096, 65_536, 6, 58
 LEAF, FRONTIER, SLICE = 16, 1_000_000, 65_536
-#: So many texts of a group are compared in one task.
-LOT = 256
+#: So many texts of a group are compared with so many in one task; so many that share most with others are compared with all first.
+LOT, HUBS = 256, 32
 #: Multipliers of a 64-bit mixing function and the step between its streams.
 _MIX, _STREAM = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)), 0x9E3779B97F4A7C15
 
@@ -50,9 +51,12 @@ def _mixed(h: np.ndarray, stream: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: str | None, width: int = WORDS, streams: int = 1) -> list[bytes]:
-    """8 bytes for each stream: a bit is 1 if it is set in over half of the hashes of the text's word shingles, repeats included; no words: zeros."""
-    words = (text or "").encode().lower().split()
+def fingerprint(text: str | None, width: int = WORDS, streams: int = 1, letters: bool = False) -> list[bytes]:
+    """8 bytes for each stream: a bit is 1 if it is set in over half of the hashes of the text's word shingles, repeats included; no words: zeros.
+
+    Words lie between ASCII white space, A-Z lower-cased; if letters, they are runs of letters and digits.
+    """
+    words = words_of(text, True) if letters else (text or "").encode().lower().split()
     if not words:
         return [bytes(8)] * streams
     n = max(1, len(words) - width + 1)
@@ -66,17 +70,23 @@ def fingerprint(text: str | None, width: int = WORDS, streams: int = 1) -> list[
     return [np.packbits(2 * row > n).tobytes() for row in set_]
 
 
-def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", width: int = WORDS, streams: int = 1) -> DataFrame:
-    """(doc_id, fp long, more array<long>) for every row: the first stream's fingerprint and those of the others."""
+def text_key(text: Column) -> Column:
+    """A 64-bit hash of a whole text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", width: int = WORDS, streams: int = 1, letters: bool = False) -> DataFrame:
+    """(doc_id, key long, fp long, more array<long>) for every row: the text's hash, the first stream's fingerprint and those of the others."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = b"".join(b"".join(fingerprint(t, width, streams)) for t in batch.column(1).to_pylist())
+            found = b"".join(b"".join(fingerprint(t, width, streams, letters)) for t in batch.column(2).to_pylist())
             fps = np.frombuffer(found, ">i8").astype(np.int64).reshape(-1, streams)
             more = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * (streams - 1)), pa.array(fps[:, 1:].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[:, 0]), more], names=["doc_id", "fp", "more"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps[:, 0]), more], names=["doc_id", "key", "fp", "more"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, fp long, more array<long>")
+    rows_in = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
+    return rows_in.mapInArrow(rows, "doc_id long, key long, fp long, more array<long>")
 
 
 def _traverse(v: np.ndarray, frontier: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,21 +240,28 @@ def _edges(fps: DataFrame, budget: int, streams: int) -> DataFrame:
     return found.filter("stream = 0").select("u", "v").unionByName(shared).unionByName(linked)
 
 
-def near_duplicates(docs: DataFrame, budget: int = BUDGET, doc_id="doc_id", text="text", width: int = WORDS, streams: int = 1) -> DataFrame:
+def _rooted(docs: DataFrame, budget: int, doc_id: str, text: str, width: int, streams: int, letters: bool) -> DataFrame:
+    """(doc_id, key, fp, root) for every row; root, a fingerprint, names its component."""
+    fps = stash(fingerprints(docs, doc_id, text, width, streams, letters))
+    roots = stash(components(_edges(fps, budget, streams)).withColumnRenamed("node", "fp"))
+    return fps.drop("more").join(small_side(roots), "fp", "left").select("doc_id", "key", "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, budget: int = BUDGET, doc_id="doc_id", text="text", width: int = WORDS, streams: int = 1, letters: bool = False) -> DataFrame:
     """doc_id, fp (of the first stream), component_id for every row; component_id is the smallest doc_id reachable over the links.
 
     Rows link if at most budget bits of their fingerprints of shingles of width words differ, in any stream.
     Null texts count as empty, texts without words have fingerprint zero and are linked like any other;
-    repeated rows stay, each with its component; null ids never name a component that has another; an
-    empty table gives no rows. Texts are read once and not shuffled.
+    very long texts are read whole, in slices; repeated rows stay, each with its component; null ids never
+    name a component that has another; an empty table gives no rows. Texts are read once and not shuffled.
     """
-    fps = stash(fingerprints(docs, doc_id, text, width, streams))
-    classes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(_edges(fps, budget, streams))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = stash(rooted)
-    named = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # read back, so that a large component's join can be split
-    return fps.join(rooted.select("fp", "root").join(small_side(named), "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+    def found() -> DataFrame:
+        rows = stash(_rooted(docs, budget, doc_id, text, width, streams, letters))
+        named = stash(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # read back, so that a large component's join can be split
+        return rows.join(small_side(named), "root").select("doc_id", "fp", "component_id")
+
+    return settled(found)
 
 
 def fingerprint_text(fp):
@@ -252,31 +269,46 @@ def fingerprint_text(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _without(docs: DataFrame, gone: DataFrame, twice: DataFrame, doc_id: str) -> DataFrame:
-    """docs without the ids of gone(__gone), and one row of each id of twice(__twice)."""
-    kept = docs.join(small_side(gone), docs[doc_id] == F.col("__gone"), "left_anti")
+#: A row by its id and its text's hash, so that texts that share an id are told apart.
+ROW = ("doc_id", "key")
+
+
+def _one_of_each(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs without the rows that aren't the first of their class, by (id, text hash), nulls last, in rows(doc_id, key, class); of equal rows one stays."""
+
+    def doomed() -> DataFrame:
+        distinct = rows.groupBy(*ROW, "class").agg(F.count("*").alias("n"))
+        order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
+        firsts = stash(distinct.groupBy("class").agg(F.min(order).alias("first"), F.count("*").alias("rows"), F.max("n").alias("most")).filter("rows > 1 OR most > 1"))
+        several = distinct.join(small_side(firsts), "class")
+        stays = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
+        return several.filter(~stays | (F.col("n") > 1)).select(*ROW, (~stays).alias("gone"))
+
+    found = settled(doomed)
+    a, b = free_name(docs, "__id"), free_name(docs, "__key")
+    found = small_side(found).withColumnsRenamed({"doc_id": a, "key": b})
+    same = docs[doc_id].cast("long").eqNullSafe(F.col(a)) & (text_key(docs[text]) == F.col(b))
+    gone, twice = found.filter("gone"), found.filter("NOT gone")
     if twice.isEmpty():
-        return kept
-    again = small_side(twice)
-    same = docs[doc_id].eqNullSafe(F.col("__twice"))
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id]))
+        return docs.join(gone, same, "left_anti")
+    return docs.join(found, same, "left_anti").unionByName(docs.join(twice, same, "left_semi").dropDuplicates([doc_id, text]))
 
 
 def keep_one_of_each(docs: DataFrame, budget: int = BUDGET, doc_id="doc_id", text="text", width: int = WORDS, streams: int = 1) -> DataFrame:
-    """The rows of docs, with all their columns, without those whose component has a smaller doc_id; rows that repeat an id stay once."""
-    found = stash(near_duplicates(docs, budget, doc_id, text, width, streams))
-    gone = stash(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    twice = stash(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice")))
-    return _without(docs, gone, twice, doc_id)
+    """The rows of docs, with all their columns, without those whose component has a row of a smaller (doc_id, text hash); of rows with equal id and text one stays."""
+    rows = settled(lambda: _rooted(docs, budget, doc_id, text, width, streams, False).withColumnRenamed("root", "class"))
+    return _one_of_each(docs, rows, doc_id, text)
+
 
+# --- links that are checked: exact likeness of the texts of a component of fingerprint links ---------------------------------
 
-MEMBER = "group long, id long, digest binary, hashes binary"
+MEMBER = "group long, node long, hashes binary"
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes = [shingle_hashes(t or "").tobytes() for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([xxhash.xxh3_128_digest(h) for h in hashes], pa.binary()), pa.array(hashes, pa.binary())], names=["group", "id", "digest", "hashes"])
+        hashes = [shingle_hashes(t or "", letters=True).tobytes() for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(hashes, pa.binary())], names=["group", "node", "hashes"])
 
 
 class _Lot:
@@ -289,79 +321,141 @@ class _Lot:
         order = np.argsort(keys, kind="stable")
         self.keys, self.owners = keys[order], owners[order]
 
-    def alike(self, hashes: bytes, least: float) -> np.ndarray:
-        """For each set whether its Jaccard likeness to hashes is at least `least`; two empty sets are alike."""
-        h = np.frombuffer(hashes, np.uint64)
+    def shared(self, h: np.ndarray) -> np.ndarray:
+        """How many of the hashes h each set has."""
         lo, hi = np.searchsorted(self.keys, h, "left"), np.searchsorted(self.keys, h, "right")
         n = hi - lo
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        both = np.bincount(self.owners[at], minlength=len(self.sizes))
-        either = len(h) + self.sizes - both
-        return (both >= least * either - 1e-9) & ((both > 0) | (either == 0))
-
-
-def _leaders(t: pa.Table, least: float) -> pa.Table:
-    """The rows of one group's lot that are unlike every row of a smaller id that stays."""
-    t = t.sort_by([("id", "ascending"), ("digest", "ascending")])
-    sets = t["hashes"].to_pylist()
-    lot, stays = _Lot(sets), np.ones(len(sets), bool)
-    for i, h in enumerate(sets):
-        if stays[i]:
-            stays[i + 1 :] &= ~lot.alike(h, least)[i + 1 :]
-    return t.filter(pa.array(stays))
-
-
-def _unlike(rest: pa.Table, leaders: pa.Table, least: float) -> pa.Table:
-    """The rows of rest that are unlike all leaders."""
-    lot = _Lot(leaders["hashes"].to_pylist())
-    return rest.filter(pa.array([not lot.alike(h, least).any() for h in rest["hashes"].to_pylist()], pa.bool_()))
+        return np.bincount(self.owners[at], minlength=len(self.sizes))
 
+    def alike(self, h: np.ndarray, least: float) -> tuple[np.ndarray, float]:
+        """Whether each set's Jaccard likeness to h is at least `least` (two empty sets are alike), and the mean share of h that the sets have."""
+        both = self.shared(h)
+        either = len(h) + self.sizes - both
+        return (both >= least * either - 1e-9) & ((both > 0) | (either == 0)), float(both.sum()) / max(1, len(h) * len(self.sizes))
+
+
+def _labels(sets: list[bytes], least: float) -> np.ndarray:
+    """The least index that each set reaches over likeness of at least `least`."""
+    lot, label = _Lot(sets), np.arange(len(sets))
+    for h in sets:
+        if not label.any():
+            break  # all are one
+        near, _ = lot.alike(np.frombuffer(h, np.uint64), least)
+        own = np.unique(label[near])
+        label[np.isin(label, own)] = own[0]
+    return label
 
-def _all_leaders(rest: DataFrame, least: float) -> DataFrame:
-    """The rows of rest(MEMBER, stashed) that stay: in each group, by ascending id, those unlike every earlier one that stays.
 
-    A group's lot of smallest ids is settled in one task; what remains of the group is dealt out in lots, and
-    each is compared with those that stay. So the work is members by leaders, never members by members.
+def _group_edges(t: pa.Table, least: float) -> pa.Table:
+    """Edges (u, v) of one small group's components."""
+    t = t.sort_by("node")
+    label = _labels(t["hashes"].to_pylist(), least)
+    nodes = t["node"].to_numpy()
+    return pa.table({"u": nodes, "v": nodes[label]})
+
+
+FOUND = "group long, node long, pivot long, score double"
+
+
+def _against(rows: pa.Table, pivots: pa.Table, least: float) -> pa.Table:
+    """For each row one of the pivots of each of their components that it is like, or null; and the mean share of it that the pivots have."""
+    pivots = pivots.sort_by("node")
+    sets, names = pivots["hashes"].to_pylist(), pivots["node"].to_numpy()
+    lot, label = _Lot(sets), _labels(sets, least)
+    group, node, pivot, score = [], [], [], []
+    for g, i, h in zip(rows["group"].to_pylist(), rows["node"].to_pylist(), rows["hashes"].to_pylist()):
+        near, share = lot.alike(np.frombuffer(h, np.uint64), least)
+        hit = [int(names[k]) for k in np.unique(label[near])] or [None]
+        group += [g] * len(hit)
+        node += [i] * len(hit)
+        pivot += hit
+        score += [share] * len(hit)
+    return pa.table({"group": pa.array(group, pa.int64()), "node": pa.array(node, pa.int64()), "pivot": pa.array(pivot, pa.int64()), "score": pa.array(score, pa.float64())})
+
+
+def _compare(members: DataFrame, pivots: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """FOUND: every member against every pivot of its group, lot by lot."""
+    names = members.columns
+    lots = sizes.select("group", F.ceil(F.col("n") / LOT).cast("int").alias("lots"))
+    blocks_ = pivots.groupBy("group").agg(F.ceil(F.count("*") / LOT).cast("int").alias("blocks"))
+    layout = stash(lots.join(blocks_, "group"))
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    dealt = lambda n: F.expr(f"pmod(xxhash64(node), {n})").cast("int")
+    left = members.join(small_side(layout), "group").withColumn("lot", dealt("lots")).withColumn("block", every("blocks")).select(*names, "lot", "block")
+    right = pivots.join(small_side(layout), "group").withColumn("block", dealt("blocks")).withColumn("lot", every("lots")).select(*names, "lot", "block")
+    both = left.groupBy("group", "lot", "block").cogroup(right.groupBy("group", "lot", "block"))
+    return both.applyInArrow(lambda a, b: _against(a, b, least), FOUND)
+
+
+def _large_group_edges(members: DataFrame, sizes: DataFrame, least: float) -> list[DataFrame]:
+    """Edges (u, v), stashed, whose components are those of all links in groups of more than LOT members(MEMBER, stashed).
+
+    In rounds: pivots are compared with all members of their group, in lots. They are a share of the
+    members by hash that doubles with each round, and some that share most with the pivots before, such as a text
+    that the others are copies of. Only members outside their group's largest component so far need to be
+    pivots: a pair of texts both inside it is linked already. When all others have been pivots, no link is lost.
     """
-    names, done = rest.columns, []
-    while True:
-        shares = [2.0**-k for k in range(31)]
-        sizes = rest.groupBy("group").agg(F.count("*").alias("n"), F.percentile_approx("id", F.array(*map(F.lit, shares)), 10_000).alias("ends"))
-        step = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LOT))).cast("int")
-        sizes = stash(sizes.select("group", F.col("ends")[step].alias("end"), F.ceil(F.col("n") / LOT).cast("int").alias("lots")))
-        marked = rest.join(small_side(sizes), "group")
-        first = marked.filter("id <= end").select(*names).groupBy("group").applyInArrow(lambda t: _leaders(t, least), MEMBER)
-        first = stash(first)
-        done.append(first)
-        more = sizes.filter("lots > 1")
-        if more.isEmpty():
-            break
-        later = marked.filter("id > end").withColumn("lot", F.expr("pmod(xxhash64(digest), lots)").cast("int")).select(*names, "lot")
-        against = first.join(small_side(stash(more)), "group").withColumn("lot", F.explode(F.expr("sequence(0, lots - 1)"))).select(*names, "lot")
-        pairs = later.groupBy("group", "lot").cogroup(against.groupBy("group", "lot"))
-        rest = stash(pairs.applyInArrow(lambda a, b: _unlike(a.select(names), b, least), MEMBER))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+    noise = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    shares = [1 - 2.0**-k for k in range(31)]
+    state = stash(members.select("group", "node", F.lit(0.0).alias("score"), F.lit(False).alias("was"), F.lit(True).alias("outside")))
+    edges: list[DataFrame] = []
+    for turn in range(64):
+        waiting = state.filter("outside AND NOT was")
+        at = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / HUBS))).cast("int")
+        cuts = waiting.groupBy("group").agg(F.percentile_approx("score", F.array(*map(F.lit, shares)), 10_000)[at].alias("cut")).join(sizes, "group")
+        near_hub, in_turn = (F.col("score") > 0) & (F.col("score") >= F.col("cut")), noise < LOT * 2.0**turn / F.col("n")
+        chosen = stash(waiting.join(small_side(stash(cuts)), "group").filter(near_hub | in_turn).select("node"))
+        if chosen.isEmpty():
+            if waiting.isEmpty():
+                break
+            continue
+        pivots = stash(members.join(small_side(chosen), "node", "left_semi"))
+        found = stash(_compare(members, pivots, sizes, least))
+        discard(pivots)
+        edges.append(stash(found.filter("pivot IS NOT NULL AND pivot <> node").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()))
+        roots = stash(components(reduce(DataFrame.unionByName, edges)))
+        scores = found.groupBy("node").agg((F.max("score") + F.max(noise) * 1e-6).alias("score"))
+        now = state.select("group", "node", "was").join(scores, "node").join(small_side(roots), "node", "left")
+        now = now.join(small_side(chosen.withColumn("chosen", F.lit(True))), "node", "left")
+        now = stash(now.select("group", "node", "score", (F.col("was") | F.coalesce("chosen", F.lit(False))).alias("was"), F.coalesce("root", "node").alias("root")))
+        largest = stash(now.groupBy("group", "root").count().groupBy("group").agg(F.max_by("root", F.struct("count", "root")).alias("largest")))
+        state = stash(now.join(small_side(largest), "group").select("group", "node", "score", "was", (F.col("root") != F.col("largest")).alias("outside")))
+    return edges
+
+
+def checked_links(members: DataFrame, least: float) -> DataFrame:
+    """(node, root) of the nodes of members(MEMBER, stashed) that have links: the components, in each group, of likeness of at least `least`."""
+    sizes = stash(members.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1"))
+    large = sizes.filter(F.col("n") > LOT)
+    small = members.join(small_side(sizes), "group").filter(F.col("n") <= LOT).select(*members.columns)
+    edges = small.groupBy("group").applyInArrow(lambda t: _group_edges(t, least), "u long, v long")
+    if not large.isEmpty():
+        large = stash(large)
+        for more in _large_group_edges(stash(members.join(small_side(large), "group", "left_semi")), large, least):
+            edges = edges.unionByName(more)
+    return components(edges)
 
 
 def keep_unlike(docs: DataFrame, budget: int = BUDGET, least: float = 0.8, doc_id="doc_id", text="text", width: int = WORDS, streams: int = 1) -> DataFrame:
-    """The rows of docs, with all their columns, without those that are near copies of a row of a smaller doc_id that stays.
+    """The rows of docs, with all their columns, one of each group of near copies: the one of the smallest doc_id.
 
-    Near copies have a Jaccard likeness of at least `least` in their five-word shingles, compared exactly.
-    Compared are the texts of a component of fingerprint links, so each that goes has such a copy that
-    stays, and of the texts of a component no two that stay are alike. Rows that repeat an id stay once.
+    Fingerprint links give the candidates; of the texts of one of their components those link whose
+    five-word shingles have a Jaccard likeness of at least `least`, compared exactly; the groups are
+    the components of such links. Words are runs of letters and digits, lower-cased. Exact copies collapse before the
+    comparison. Null texts count as empty, a null id comes after all others, rows of one id with
+    different texts are different rows, of rows with equal id and text one stays; an empty table gives no rows.
     """
-    found = stash(near_duplicates(docs, budget, doc_id, text, width, streams).select("doc_id", "component_id"))
-    groups = found.filter("doc_id IS NOT NULL").groupBy("component_id").count().filter("count > 1").select("component_id")
-    own = found.filter("doc_id IS NOT NULL").join(small_side(stash(groups)), "component_id", "left_semi").distinct()
-    own = own.select(F.col("component_id").alias("group"), F.col("doc_id").alias("id"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    members = texts.join(small_side(stash(own)), "id").select("group", "id", "text").mapInArrow(_members, MEMBER)
-    members = stash(members)
-    classes = stash(members.groupBy("group", "digest").agg(F.min("id").alias("id"), F.first("hashes").alias("hashes")).select(*members.columns))
-    stay = stash(_all_leaders(classes, least).select("id").distinct())
-    gone = stash(members.select("id").distinct().join(small_side(stay), "id", "left_anti").select(F.col("id").alias("__gone")))
-    twice = stash(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice")))
-    return _without(docs, gone, twice, doc_id)
+
+    def classes() -> DataFrame:
+        rows = stash(_rooted(docs, budget, doc_id, text, width, streams, True))
+        texts = stash(rows.groupBy("root", "key").agg(F.min("doc_id").alias("id")))  # one row of each text
+        several = stash(texts.groupBy("root").count().filter("count > 1").select("root"))
+        wanted = stash(texts.join(small_side(several), "root", "left_semi").select(F.col("root").alias("group"), F.col("key").alias("node"), "id"))
+        source = docs.select(F.col(doc_id).cast("long").alias("own"), text_key(F.col(text)).alias("own_key"), F.col(text).alias("text"))
+        found = source.join(small_side(wanted), F.col("own").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("node")))
+        members = stash(found.select("group", "node", "text").mapInArrow(_members, MEMBER).dropDuplicates(["group", "node"]))
+        roots = stash(checked_links(members, least).withColumnRenamed("root", "verified"))
+        return rows.join(small_side(roots), F.col("key") == F.col("node"), "left").select(*ROW, F.coalesce("verified", "key").alias("class"))
+
+    return _one_of_each(docs, settled(classes), doc_id, text)

@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import words_of
+
 SHINGLE, FRACTION = 5, 1 / 8
 MAX_BUCKETS = 8192
 PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -23,9 +25,9 @@ _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xFF51AFD7ED558CCD),
 _S = np.uint64(33)
 
 
-def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
+def shingle_hashes(text: str, width: int = SHINGLE, letters: bool = False) -> np.ndarray:
     """Distinct 64-bit hashes of the lower-cased word shingles, ascending; fewer words than width make one shingle, none no hash."""
-    words = text.lower().encode().split()
+    words = words_of(text, letters)
     if not words:
         return np.zeros(0, np.uint64)
     w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))

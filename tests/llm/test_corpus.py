@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -124,30 +125,80 @@ def test_pipeline_links_near_copies_and_no_others(spark):
     assert all(i in kept for i in range(0, n, 2)) and all(i in kept for i in range(n, len(rows)))
 
 
-def shingle_likeness(a, b):
-    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
-    return len(x & y) / len(x | y)
+def shingles(text):
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("lot", [256, 4])
-def test_pipeline_keeps_texts_that_link_but_are_unlike(spark, monkeypatch, lot):
+def likeness(a, b):
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def brute_survivors(rows, groups):
+    """Of rows (id, text), ascending, the indexes of the first of each component of checked links between rows of one candidate group."""
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for k in range(i):
+            if groups[i] == groups[k] and len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]):
+                a, b = find(i), find(k)
+                root[max(a, b)] = min(a, b)
+    return [i for i in range(len(rows)) if find(i) == i]
+
+
+@pytest.mark.parametrize("lot", [256, 8])
+def test_pipeline_keeps_one_of_each_group_of_checked_links(spark, monkeypatch, lot):
     monkeypatch.setattr(S, "LOT", lot)  # if small, groups take several rounds
     rng, rows = random.Random(lot), []
     for f in range(6):
         body = [f"f{f}w{rng.randrange(400)}" for _ in range(300)]
-        for _ in range(12):  # from near copies to texts half alike
+        for _ in range(24):  # from near copies to texts half alike
             change = rng.choice([0.003, 0.01, 0.03])
             rows.append(" ".join(f"x{rng.randrange(9999)}" if rng.random() < change else w for w in body))
+    hub = [f"h{rng.randrange(500)}" for _ in range(200)]  # copies that are like their source and not like one another
+    rows += [" ".join("y" + w if rng.random() < 0.018 else w for w in hub) for _ in range(30)] + [" ".join(hub)]
     docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", 1) for i, t in enumerate(rows)], DOCS)
-    groups = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(docs, 4, width=2, streams=corpus_pipeline.STREAMS).collect()}
-    want = []
-    for i, t in enumerate(rows):
-        if not any(groups[i] == groups[k] and shingle_likeness(t, rows[k]) >= 0.8 for k in want):
-            want.append(i)
+    groups = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(docs, 4, width=2, streams=corpus_pipeline.STREAMS, letters=True).collect()}
+    want = brute_survivors(list(enumerate(rows)), [groups[i] for i in range(len(rows))])
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert kept == want and len(set(groups.values())) < len(want) < len(rows)
 
 
+def test_a_large_group_of_copies_of_one_source(spark, monkeypatch):
+    monkeypatch.setattr(S, "LOT", 16)
+    rng = random.Random(9)
+    hub = [f"h{rng.randrange(500)}" for _ in range(200)]
+    rows = [" ".join("y" + w if rng.random() < 0.018 else w for w in hub) for _ in range(150)] + [" ".join(hub)]
+    members = spark.createDataFrame([(7, i, S.shingle_hashes(t, letters=True).tobytes()) for i, t in enumerate(rows)], S.MEMBER)
+    roots = {r["node"]: r["root"] for r in S.checked_links(common.stash(members), 0.8).collect()}
+    want = brute_survivors(list(enumerate(rows)), [0] * len(rows))
+    assert sorted(set(roots.values()) | (set(range(len(rows))) - set(roots))) == want and len(want) < len(rows) / 2
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (1, a), (2, a), (None, b), (None, "other text of its own"), (3, None), (4, ""), (5, "  "), (None, "other text of its own")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", 1) for i, t in rows], DOCS).withColumn("__gone", F.lit(1)).withColumn("key", F.lit(2))
+    for keep in (S.keep_one_of_each, lambda d: S.keep_unlike(d, 4, 0.8, width=2, streams=3)):
+        got = keep(docs)
+        assert got.columns == docs.columns
+        assert sorted((r["doc_id"] or -1, r["text"] or "") for r in got.collect()) == [(-1, "other text of its own"), (1, a), (1, b), (3, "")]
+        assert keep(docs.limit(0)).count() == 0
+
+
+def test_long_texts_are_read_whole(spark, monkeypatch):
+    words = [f"w{i % 977}" for i in range(5000)]
+    whole = S.fingerprint(" ".join(words), 3, 2)
+    monkeypatch.setattr(S, "SLICE", 64)
+    assert S.fingerprint(" ".join(words), 3, 2) == whole != S.fingerprint(" ".join(words[:2500]), 3, 2)
+
+
 # --- packing ----------------------------------------------------------------------------------------------------------------
 
 
@@ -177,7 +228,6 @@ def check_packing(docs, rows, capacity=P.CAPACITY):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.default_tokenizer())
-    t.encode_special_tokens = True
     bins, by = defaultdict(list), defaultdict(list)
     for r in rows:
         bins[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -277,9 +327,13 @@ def test_pipeline_stage_by_stage(spark, small_dir):
     left = {r["doc_id"] for r in clean.select("doc_id").collect()}
     assert sum(y == 0 and i not in left for i, y in labels.items()) <= 3
     single = common.stash(corpus_pipeline.near_dedup(spark, clean, small_dir))
-    texts = sorted((r["doc_id"], r["text"]) for r in clean.collect())
-    fps = [[int.from_bytes(x, "big") for x in S.fingerprint(t, corpus_pipeline.WIDTH, corpus_pipeline.STREAMS)] for _, t in texts]
-    assert sorted(r["doc_id"] for r in single.collect()) == [texts[i][0] for i in sorted(set(brute_components(fps, corpus_pipeline.NEAR_BITS)))]
+    texts = sorted((r["doc_id"], r["text"] or "") for r in clean.collect())
+    fps = [[int.from_bytes(x, "big") for x in S.fingerprint(t, corpus_pipeline.WIDTH, corpus_pipeline.STREAMS, True)] for _, t in texts]
+    groups = brute_components(fps, corpus_pipeline.NEAR_BITS)
+    assert sorted(r["doc_id"] for r in single.collect()) == [texts[i][0] for i in brute_survivors(texts, groups)]
+    # recall without the candidates: of all near copies, those that a link of their own or a chain takes out
+    everything = brute_survivors(texts, [0] * len(texts))
+    assert single.count() - len(everything) <= 0.1 * (len(texts) - len(everything))
     mixed = common.stash(corpus_pipeline.mixing(spark, single, small_dir))
     assert mixed.columns == columns and 0.9 * single.count() < mixed.count() <= single.count()
     assert mixed.select("doc_id").distinct().count() == mixed.count()
