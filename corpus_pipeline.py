@@ -21,7 +21,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are no near copy of one of a smaller id that stays; SimHash links, looser than the operator's default, give the candidates."""
+    """One document of each group of near copies; SimHash links, looser than the operator's default, give the candidates, which are compared exactly."""
     return keep_unlike(docs, budget=NEAR_BITS, least=LEAST, width=WIDTH, streams=STREAMS)
 
 
