@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, report, other). Three transducers, composed
-into one table, rewrite the insults and threats of a clause: negated within a few words of a negation,
-reported after a verb of speech, targeted after a second-person word. What comes out is counted by
-clause and weighted. Insult stems are learned from labelled documents next to a short list; the
-weights are a logistic regression on documents that the stems were not learned from.
+Words and marks of a clause become symbols. Five weighted transducers, composed, rewrite them: insult
+(words and phrases such as "waste of space"), threat (intent, a violent verb and a second person, in either
+order), target (a second person before or after an insult), negation (some words on, to a comma at most) and
+reported speech (after a verb of speech, or in quotation marks). An arc's weight scales what it
+marks. A clause scores its matches; a document the number of matched clauses of each kind, its heaviest
+match and their sum. Insult stems are learned from labelled documents next to a short list; a logistic
+regression, on documents that the stems were not learned from, makes a probability of it.
 """
 
 from __future__ import annotations
@@ -22,18 +24,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stash, widened
+from .common import free_name, small_side, stash, widened
 
 #: Word lists of the grammar, by language en, de, fr, es.
 INSULTS = """idiot idiots moron morons stupid dumb imbecile loser losers scum trash worthless pathetic disgusting clown bastard filth vermin
 dummkopf abschaum trottel arschloch crétin connard salaud imbécile idiota estúpido imbécil escoria cabrón""".split()
-THREATS = "kill murder stab strangle hurt töten umbringen tuer massacrer matar".split()
-TARGETS = "you your yours u du dich dir euch dein tu toi te vous ton ti tus usted vosotros".split()
-NEGATIONS = "not no never nor isn't aren't don't nicht kein keine nie ne pas jamais nunca tampoco".split()
+HEADS = "piece waste sack load stück haufen tas pedazo montón".split()
+LINKS = "of de d' von".split()
+OBJECTS = "space skin oxygen garbage crap shit dirt dung dreck scheiße merde mierda basura".split()
+VIOLENCE = "kill murder stab strangle hurt shoot beat töten umbringen tuer massacrer matar".split()
+INTENT = "i we i'll we'll i'm we're will shall going gonna want must should ich wir werde werden will je nous vais allons yo voy vamos".split()
+TARGETS = "you your yours yourself u du dich dir euch dein tu toi te vous ton ti tus usted vosotros".split()
+NEGATIONS = "not no never nor isn't aren't don't won't wouldn't cannot can't nicht kein keine nie ne pas jamais nunca tampoco".split()
 REPORTS = "said says say called calls quoted claims wrote sagte sagt nannte schrieb dit disait appelle dijo dice llamó escribió".split()
+BREAKS = [",", "but", "aber", "sondern", "mais", "pero"]
 
-CLAUSE = re.compile(r"[.!?;:\n]+")
+CLAUSE = re.compile(r"[.!?;\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+SYMBOL = re.compile(WORD.pattern + r"|[,\"“”«»]")
 PREFIXES = range(4, 9)
 FEATURES = ("insult", "targeted", "negated", "reported", "threat", "heaviest", "total")
 #: Weights before any label is seen, bias last; the fit starts from them and is held near them.
@@ -43,38 +51,100 @@ FIT_ROWS = 10_000
 FLUSH = 200_000
 #: Near copies are told by so many minima of their five-word hashes, each under another odd multiplier.
 MINIMA = tuple(2 * k * 0x9E3779B97F4A7C15 + 1 & 2**64 - 1 for k in range(4))
-
-
-# --- transducers: {(state, symbol): (state, symbol)}; the start state is 0 -------------------------------------------------
-
-
-def _scope(trigger: str, mark: str, length: int | None, on: str) -> dict:
-    """After trigger, symbols that start with a letter of `on` get mark, for `length` symbols or to the clause's end."""
-    states = range(1 + (length or 1))
-    table = {}
-    for s in states:
-        for symbol in SYMBOLS:
-            out = symbol + mark if s and symbol[0] in on else symbol
-            after = states[-1] if symbol[0] == trigger else s if length is None else max(0, s - 1)
-            table[s, symbol] = after, out
-    return table
-
-
-BASE = ("I", "T", "Y", "N", "R", "O")
-SYMBOLS = tuple(b + n + r + t for b in BASE for n in ("", "-") for r in ("", '"') for t in ("", "@") if b in "IT" or not n + r + t)
-
-
-def compose(first: dict, second: dict) -> dict:
-    """The transducer that feeds what first writes to second."""
-    states = {s for s, _ in second}
-    return {((a, b), x): ((a2, second[b, y][0]), second[b, y][1]) for (a, x), (a2, y) in first.items() for b in states if (b, y) in second}
-
-
-def grammar() -> dict:
-    return compose(compose(_scope("N", "-", 3, "IT"), _scope("R", '"', None, "IT")), _scope("Y", "@", 5, "IT"))
-
-
-START = ((0, 0), 0)
+#: How sure a stem's share of toxic documents has to be: the deviate of its Wilson bound, chosen by cross-fitted log loss.
+SURE = (2.0, 2.8, 3.6)
+
+
+# --- transducers: step(state, symbol) -> (state, symbol, weight of the arc); a symbol is a letter and its marks, the start state is 0 ---
+
+#: I insult, K head of a phrase, F link, D object, V violent verb, A intent, Y second person, N negation, R verb of speech, Q quotation mark, B break, O other; T threat
+CLASSES = (("I", INSULTS), ("K", HEADS), ("F", LINKS), ("D", OBJECTS), ("V", VIOLENCE), ("A", INTENT), ("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("B", BREAKS), ("Q", list("\"“”«»")))
+THREAT, PHRASE, MENTION = 2.5, 2.5, 0.3
+TARGETED, NEGATED, REPORTED = 1.5, 0.2, 0.4
+
+
+def insult(state: int, x: str) -> tuple[int, str, float]:
+    """A head, a link and an object ("waste of space") make an insult; a listed or learned word is one itself."""
+    if x == "K":
+        return 1, x, 1.0
+    if x == "F" and state == 1:
+        return 2, x, 1.0
+    if x == "D":
+        return 0, "I+" if state == 2 else "O", 1.0
+    return (2 if state == 2 and x == "O" else 0), x, 1.0
+
+
+def threat(state: tuple | int, x: str) -> tuple[tuple, str, float]:
+    """Intent and a violent verb with a second person at most 6 words before or 4 after make a threat; the verb alone is a mention."""
+    seen, meant, verb = state or (0, 0, 0)
+    after = max(0, seen - 1), max(0, meant - 1), max(0, verb - 1)
+    if x == "A":
+        return (after[0], 5, after[2]), x, 1.0
+    if x == "V":
+        if seen and meant:
+            return after, "T", 1.0
+        return (after[0], after[1], 5 if meant else 4), x, 1.0
+    if x == "Y":
+        return (6, after[1], 0), "T" if verb else x, 1.0 if meant else 0.8
+    return after, x, 1.0
+
+
+def target(state: tuple | int, x: str) -> tuple[tuple, str, float]:
+    """An insult at most 5 words after a second person, or 3 before one, is aimed at it."""
+    person, waiting = state or (0, 0)
+    after = max(0, person - 1), max(0, waiting - 1)
+    if x[0] == "I":
+        return ((after[0], 0), x + "@", TARGETED) if person else ((0, 4), x, 1.0)
+    if x in ("Y", "T"):
+        return (6, 0), x + "@" if waiting else x, 1.0
+    return after, x, 1.0
+
+
+def negation(state: int, x: str) -> tuple[int, str, float]:
+    """5 words after a negation, but not beyond a break, what matches is negated."""
+    if x == "N":
+        return 5, x, 1.0
+    if x == "B":
+        return 0, x, 1.0
+    return max(0, state - 1), x + "-" if state else x, NEGATED if state else 1.0
+
+
+def reported(state: int, x: str) -> tuple[int, str, float]:
+    """After a verb of speech (1), or inside quotation marks (2), what matches is someone else's."""
+    if x[0] == "R":
+        return state | 1, x, 1.0
+    if x[0] == "Q":
+        return state ^ 2, x, 1.0
+    return state, x + '"' if state else x, REPORTED if state else 1.0
+
+
+class Composed:
+    """Transducers in a row, each reading what the one before writes; arcs are composed when first needed and kept."""
+
+    def __init__(self, *steps):
+        self.steps, self.arcs, self.start = steps, {}, (0,) * len(steps)
+
+    def __call__(self, state: tuple, x: str) -> tuple[tuple, str, float]:
+        arc = self.arcs.get((state, x))
+        if arc is None:
+            y, weight, after = x, 1.0, []
+            for step, s in zip(self.steps, state):
+                s, y, w = step(s, y)
+                after.append(s)
+                weight *= w
+            arc = self.arcs[state, x] = tuple(after), y, weight
+        return arc
+
+
+def grammar() -> Composed:
+    return Composed(insult, threat, target, negation, reported)
+
+
+def kind_of(y: str) -> int | None:
+    """The feature that counts clauses with this output symbol; None if it is no match."""
+    if y[0] not in "ITV" and "@" not in y:
+        return None
+    return 2 if "-" in y else 3 if '"' in y else 4 if y[0] == "T" else 1 if "@" in y else 0 if y[0] == "I" else None
 
 
 @dataclass
@@ -90,7 +160,8 @@ class Toxicity:
 
     def machine(self):
         if self._machine is None:
-            words = {w: ("I", max(0.5, self.stems.get(w, 2.0))) for w in INSULTS} | {w: ("T", 2.0) for w in THREATS}
+            words = {w: (x, 0.0) for x, ws in reversed(CLASSES) for w in ws}
+            words |= {w: ("I", max(0.5, self.stems.get(w, 2.0))) for w in INSULTS}
             prefixes = {}
             for stem, odds in self.stems.items():
                 if stem.endswith("*"):
@@ -98,15 +169,14 @@ class Toxicity:
                 else:
                     words[stem] = ("I", odds)
             a = ahocorasick.Automaton()
-            for w in {*words, *prefixes}:
+            for w in {*(w for w, (x, _) in words.items() if x in "IDV"), *prefixes}:
                 a.add_word(w, (len(w), w in prefixes))
             a.make_automaton()
-            tags = {w: x for x, ws in (("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in ws}
-            self._machine = a, words, prefixes, tags, grammar()
+            self._machine = a, words, prefixes, grammar()
         return self._machine
 
     def hit(self, low: str) -> bool:
-        """Whether a stem starts at the start of some word of the lower-cased text."""
+        """Whether a word that a match can't do without, or a stem at the start of a word, is in the lower-cased text."""
         for end, (n, prefix) in self.machine()[0].iter(low):
             start = end - n + 1
             if (not start or not low[start - 1].isalpha()) and (prefix or end + 1 == len(low) or not low[end + 1].isalpha()):
@@ -114,31 +184,36 @@ class Toxicity:
         return False
 
     def features(self, text: str | None) -> list[float]:
-        """Counts by kind of matched clause (log scale), the heaviest match, all matches."""
-        low = (text or "").lower()
-        if not self.hit(low):
-            return [0.0] * len(FEATURES)
-        _, words, prefixes, tags, table = self.machine()
+        """Clauses by the kinds of their matches (log scale), the heaviest match, the sum of all. Very long texts are read whole, clause by clause."""
+        low = (text or "").lower().replace("’", "'")
+        return self.matches(low) if self.hit(low) else [0.0] * len(FEATURES)
+
+    def matches(self, low: str) -> list[float]:
+        _, words, prefixes, table = self.machine()
         counts, heaviest, total = [0] * 5, 0.0, 0.0
         for clause in CLAUSE.split(low):
-            state, kinds = START, set()
-            for w in WORD.findall(clause):
-                tag, odds = words.get(w, ("O", 0.0))
-                if tag == "O":
+            state, kinds, before = table.start, set(), 0.0
+            for w in SYMBOL.findall(clause):
+                x, odds = words.get(w, ("O", 0.0))
+                if x == "O":
                     odds = max((prefixes[w[:k]] for k in PREFIXES if w[:k] in prefixes), default=0.0)
-                    tag = "I" if odds else tags.get(w, "O")
-                state, symbol = table[state, tag]
-                if symbol[0] in "IT":
-                    mild = "-" in symbol or '"' in symbol
-                    heaviest, total = max(heaviest, odds * (0.5 if mild else 1)), total + odds * (0.5 if mild else 1)
-                    kinds.add(2 if "-" in symbol else 3 if '"' in symbol else 4 if symbol[0] == "T" and "@" in symbol else 1 if "@" in symbol else 0 if symbol[0] == "I" else None)
+                    x = "I" if odds else x
+                state, y, weight = table(state, x)
+                if y[0] in "ITV" or "@" in y:
+                    base = PHRASE if y[:2] == "I+" else odds if y[0] == "I" else THREAT if y[0] == "T" else MENTION if y[0] == "V" else (TARGETED - 1) * before
+                    value = base * weight
+                    heaviest, total = max(heaviest, value), total + value
+                    kinds.add(kind_of(y))
+                    before = base if y[0] == "I" else 0.0
             for k in kinds - {None}:
                 counts[k] += 1
         return [*(math.log1p(c) for c in counts), heaviest, math.log1p(total)]
 
+    def logit(self, text: str | None) -> float:
+        return max(-30.0, min(30.0, sum(w * x for w, x in zip(self.weights, [*self.features(text), 1.0]))))
+
     def score(self, text: str | None) -> float:
-        z = sum(w * x for w, x in zip(self.weights, [*self.features(text), 1.0]))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return 1 / (1 + math.exp(-self.logit(text)))
 
 
 def units(text: str | None) -> set[str]:
@@ -165,13 +240,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("text", "half", "toxic", "id", *(f"least{k}" for k in range(len(MINIMA))))
     for batch in batches:
         least = []
         for text in batch.column(0).to_pylist():
             words = (text or "").lower().encode().split()
             h = np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))], np.uint64)
             least.append([int((h * np.uint64(m)).min() >> np.uint64(1)) for m in MINIMA])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([x[k] for x in least], pa.int64()) for k in range(len(MINIMA)))], names=["text", "half", "toxic", *(f"least{k}" for k in range(len(MINIMA)))])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([x[k] for x in least], pa.int64()) for k in range(len(MINIMA)))], names=names)
 
 
 def _stems(rows: list, n_toxic: int, n_clean: int, z: float = 2.8) -> dict[str, float]:
@@ -223,7 +299,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS, d
     """Learn stems and weights from the labelled rows that are not held out, at most about max_rows of them.
 
     Null labels, ids without a text and texts without a label are left out; of repeated labels the
-    highest counts. Without any label the word lists and PRIOR remain.
+    highest counts. Without any label the word lists and PRIOR remain. The same rows give the same model.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     n = known.count()
@@ -233,12 +309,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS, d
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * max_rows / n))
     known = known.select(F.col("doc_id").alias("__id"), "toxic", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("half"))
     # the labels are at most max_rows narrow rows, so they may be broadcast; texts are not moved
-    train = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(known), "__id").select("text", "half", "toxic")
-    # near copies are no independent evidence: of those that share a least five-word hash, one counts
-    train = train.mapInArrow(_with_least, "text string, half int, toxic int, " + ", ".join(f"least{k} long" for k in range(len(MINIMA))))
+    sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(known), "__id").select("text", "half", "toxic", F.col("__id").cast("long").alias("id"))
+    sample = stash(sample.mapInArrow(_with_least, "text string, half int, toxic int, id long, " + ", ".join(f"least{k} long" for k in range(len(MINIMA)))))
+    # near copies are no independent evidence: of those that share a least five-word hash, the one of the smallest id counts
+    left = sample.drop("text")
     for k in range(len(MINIMA)):
-        train = train.dropDuplicates([f"least{k}", "toxic"])
-    train = stash(train)
+        left = left.groupBy(f"least{k}", "toxic").agg(F.min(F.struct("id", *(c for c in left.columns if c != "id"))).alias("r")).select("r.*")
+    train = stash(sample.join(small_side(stash(left.select("id").distinct())), "id", "left_semi").select("text", "half", "toxic"))
     sizes = {(r["half"], r["toxic"]): r["count"] for r in train.groupBy("half", "toxic").count().collect()}
     t = [F.coalesce(F.sum(F.when((F.col("half") == h) & (F.col("toxic") == y), F.col("n"))), F.lit(0)).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)]
     counted = train.mapInArrow(_counted, "unit string, half int, toxic int, n long").groupBy("unit").agg(*t)
@@ -248,21 +325,32 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS, d
     def size(*keys) -> int:
         return sum(sizes.get(k, 0) for k in keys)
 
-    halves = [Toxicity(_stems([(r["unit"], r[f"n{h}1"], r[f"n{h}0"]) for r in rows if r[f"n{h}1"]], size((h, 1)), size((h, 0)))) for h in (0, 1)]
-    final = _stems([(r["unit"], r["n01"] + r["n11"], r["n00"] + r["n10"]) for r in rows], size((0, 1), (1, 1)), size((0, 0), (1, 0)))
+    def half(h: int, z: float) -> Toxicity:
+        return Toxicity(_stems([(r["unit"], r[f"n{h}1"], r[f"n{h}0"]) for r in rows if r[f"n{h}1"]], size((h, 1)), size((h, 0)), z))
+
+    halves = [[half(h, z) for h in (0, 1)] for z in SURE]
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            x = [halves[1 - h].features(s) for s, h in zip(texts, own)]
+            x = [[v for pair in halves for v in pair[1 - h].features(s)] for s, h in zip(texts, own)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(2).cast(pa.int32())], names=["x", "y"])
 
-    got = train.mapInArrow(crossed, "x array<double>, y int").collect()
-    return Toxicity(final, _fit_weights(np.array([r["x"] for r in got], float).reshape(len(got), len(FEATURES)), np.array([r["y"] for r in got], float)))
+    got = train.mapInArrow(crossed, "x array<double>, y int").orderBy("x", "y").collect()
+    x, y = np.array([r["x"] for r in got], float).reshape(len(got), len(SURE), len(FEATURES)), np.array([r["y"] for r in got], float)
+    fits = [_fit_weights(x[:, k], y) for k in range(len(SURE))]
+    k = min(range(len(SURE)), key=lambda k: _log_loss(x[:, k], y, fits[k]))
+    final = _stems([(r["unit"], r["n01"] + r["n11"], r["n00"] + r["n10"]) for r in rows], size((0, 1), (1, 1)), size((0, 0), (1, 0)), SURE[k])
+    return Toxicity(final, fits[k])
+
+
+def _log_loss(x: np.ndarray, y: np.ndarray, weights: tuple[float, ...]) -> float:
+    z = np.column_stack([x, np.ones(len(x))]) @ np.array(weights)
+    return float(np.logaddexp(0, np.where(y > 0, -z, z)).mean()) if len(y) else 0.0
 
 
 def with_score(docs: DataFrame, model: Toxicity, text="text", name="score") -> DataFrame:
-    """docs with one more column: the score, 0 to 1, of each whole text (a null text counts as empty). Nothing is shuffled."""
+    """docs with one more column: the score, 0 to 1, of each whole text (a null text counts as empty, a very long one is read whole). Nothing is shuffled."""
     at = docs.columns.index(text)
     schema = widened(docs, f"{name} double")
 
