@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm.common import read_table, stash
+from marketloom.llm.common import read_table, settled
 from marketloom.llm.mixing import mix_documents
 from marketloom.llm.packing import pack_documents
 from marketloom.llm.simhash import keep_unlike
 from marketloom.llm.toxicity import drop_toxic
+from marketloom.shipping import ship
 
 #: Near copies have LEAST of their five-word shingles in common. They differ in up to a dozen bits of a fingerprint of word pairs, about
 #: two fifths of them in at most NEAR_BITS: independent fingerprints find most as candidates, which are then compared exactly.
 LEAST, WIDTH, NEAR_BITS, STREAMS = 0.8, 2, 4, 8
+#: Shares of the mix's tokens; no toxic ones are wanted, though soft posteriors leave a few.
+MIX = {"high": 0.95, "low": 0.05, "toxic_high": 0.0, "toxic_low": 0.0}
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that the expected tokens of each domain meet the target weights; none twice."""
-    return mix_documents(docs, read_table(spark, sf_dir, "labels"))
+    """Documents drawn so that the expected tokens of each domain meet MIX as nearly as can be; none twice."""
+    return mix_documents(docs, read_table(spark, sf_dir, "labels"), MIX)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written and read again before the next."""
+    """All stages over the documents table, each written and read again before the next, whose scratch tables are deleted."""
+    ship(spark)
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
+        docs = settled(lambda: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
