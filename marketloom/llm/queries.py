@@ -17,9 +17,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's outcome is the label of the document that has its id: bad if of quality 0 or toxic."""
-    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
-    return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), labels)
+    """A page's outcome is the worst label of the documents that its main text carries: bad if of quality 0 or toxic."""
+    pages, documents = read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    return url_filter.judge_urls(pages, url_filter.page_outcomes(html_text.extract_pages(pages), documents, labels))
 
 
 def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,15 +72,15 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT CAST(-7 AS BIGINT), CAST(i AS BIGINT), CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(i)
 ), marked AS (
-  SELECT *, contains(text, '###') OR contains(text, '</turn>') OR contains(role, '###') OR contains(role, '</turn>') OR contains(role, ':') AS conflict FROM rows
+  SELECT *, contains(text, '###') OR contains(text, '</turn>') OR contains(role, '###') OR contains(role, '</turn>') OR contains(role, ': ') AS conflict FROM rows
 ), rendered AS (
   SELECT *, CASE WHEN conflict
     THEN '###\ ' || replace(replace(replace(replace(role, '\', '\0'), '</turn>', '\1'), '###', '\2'), ':', '\3') || ': ' || replace(replace(replace(replace(text, '\', '\0'), '</turn>', '\1'), '###', '\2'), ':', '\3')
     ELSE '### ' || role || ': ' || text END || '</turn>' || chr(10) AS line FROM marked
 )
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(line)) AS BIGINT) AS formatted_chars
 FROM rendered GROUP BY conv_id
 """
@@ -90,14 +91,23 @@ WITH parsed AS (
     translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
   FROM pages
+), articles AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '(?s)^.*?</h1>', ''), '<[^>]*>', '', 'g') AS t FROM pages
+), carried AS (
+  SELECT page_id, md5(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '[\s\x1c-\x1f\p{Z}]', '', 'g')) AS mark FROM articles
+), known AS (
+  SELECT md5(regexp_replace(coalesce(text, ''), '[\s\x1c-\x1f\p{Z}]', '', 'g')) AS mark, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END) AS bad FROM documents JOIN labels USING (doc_id) GROUP BY 1
 ), outcome AS (
-  SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END) AS bad FROM labels GROUP BY 1
+  SELECT page_id, max(bad) AS bad FROM carried JOIN known USING (mark) WHERE mark <> md5('') GROUP BY 1
 ), hosts AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM parsed LEFT JOIN outcome USING (page_id) GROUP BY 1
 ), named AS (
-  SELECT *, string_split(regexp_replace(host, ':\d*$', ''), '.') AS labels FROM hosts
+  SELECT *, string_split(regexp_replace(regexp_replace(host, ':\d*$', ''), '\.$', ''), '.') AS labels FROM hosts
+), deep AS (
+  SELECT *, CASE WHEN len(labels) > 1 AND length(labels[-1]) = 2 AND labels[-2] IN ('ac', 'co', 'com', 'edu', 'go', 'gob', 'gouv', 'gov', 'gv', 'ltd', 'me', 'mil', 'ne', 'net', 'nom', 'or', 'org', 'plc', 'sch') THEN 2 ELSE 1 END AS k,
+    regexp_full_match(array_to_string(labels, '.'), '(\[.*\]|\d{1,3}(\.\d{1,3}){3})') AS address FROM named
 ), parts AS (
-  SELECT host, n, bad, array_to_string(labels[-2:], '.') AS domain, labels[-1] AS suffix FROM named
+  SELECT host, n, bad, array_to_string(CASE WHEN address THEN labels ELSE labels[-(k + 1):] END, '.') AS domain, array_to_string(CASE WHEN address THEN labels ELSE labels[-k:] END, '.') AS suffix FROM deep
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM parts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 sums AS (
