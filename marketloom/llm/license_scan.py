@@ -3,7 +3,9 @@
 Words that occur once in a stretch of text and once in a license template anchor the alignment; the
 longest increasing subsequence of anchors is kept and the gaps between them are aligned the same way,
 or, where a gap has no anchor, by its longest common subsequence. Coverage is the share of the
-template's words that are aligned.
+template's words that are aligned. Licenses that differ in few words are told apart by what is not aligned: a
+template's numbers and qualifiers must be, and no other qualifier may stand inside the stretch; of templates
+that fit the same stretch the one that explains most words and leaves fewest unexplained is reported.
 """
 
 from __future__ import annotations
@@ -18,21 +20,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_COVERAGE = 0.8
+#: The least share of a template's words that is aligned, and of a stretch's.
+MIN_COVERAGE, MIN_EXPLAINED = 0.8, 0.8
 WORD = re.compile(r"[^\W_]+")
-#: Short license statements and notices by name.
+#: Words that make another license of one.
+QUALIFIERS = frozenset("noncommercial nc sharealike sa noderivatives noderivs nd lesser library affero clear zero".split())
+
+# License texts, notices and statements.
+_MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
+_MIT_REST = """subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+_MIT_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_GRANT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"""
+_BSD_TWO = """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_ADVERTISING = """All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by"""
+_BSD_ENDORSE = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC_GRANT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"""
+_ISC_NOTICE = """provided that the above copyright notice and this permission notice appear in all copies."""
+_ISC_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""
+_APACHE_REST = """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_GNU_NOTICE = """you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, {}"""
+_GNU_KINDS = (("gpl-2.0", "General Public License", "2"), ("gpl-3.0", "General Public License", "3"), ("lgpl-2.1", "Lesser General Public License", "2.1"), ("lgpl-3.0", "Lesser General Public License", "3"), ("agpl-3.0", "Affero General Public License", "3"))
+_CC_KINDS = (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"))
+
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-2.0-notice": _APACHE_NOTICE,
+    "apache-2.0-notice-whole": f"{_APACHE_NOTICE} {_APACHE_REST}",
     "mit": "Released under the MIT License.",
-    "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "bsd-2-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "isc-notice": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "mit-grant": f"{_MIT_GRANT}, subject to the following conditions",
+    "mit-text": f"{_MIT_GRANT}, {_MIT_REST} {_MIT_WARRANTY}",
+    "mit-0-text": f"{_MIT_GRANT}. {_MIT_WARRANTY}",
+    "bsd-grant": _BSD_GRANT,
+    "bsd-2-text": f"{_BSD_GRANT}: {_BSD_TWO} {_BSD_WARRANTY}",
+    "bsd-3-text": f"{_BSD_GRANT}: {_BSD_TWO} {_BSD_ENDORSE} {_BSD_WARRANTY}",
+    "bsd-4-text": f"{_BSD_GRANT}: {_BSD_TWO} {_BSD_ADVERTISING} the organization. {_BSD_ENDORSE} {_BSD_WARRANTY}",
+    "isc-grant": f"{_ISC_GRANT}, {_ISC_NOTICE}",
+    "isc-text": f"{_ISC_GRANT}, {_ISC_NOTICE} {_ISC_WARRANTY}",
+    "0bsd-text": f"{_ISC_GRANT}. {_ISC_WARRANTY}",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "cc0-1.0": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+    **{name: f"This work is licensed under the GNU {title}, version {version}." for name, title, version in _GNU_KINDS},
+    **{f"{name}-notice": _GNU_NOTICE.format(title, f"version {version} of the License.") for name, title, version in _GNU_KINDS},
+    **{f"{name}-or-later-notice": _GNU_NOTICE.format(title, f"either version {version} of the License, or (at your option) any later version.") for name, title, version in _GNU_KINDS},
+    **{f"cc-{k}-{v}": f"Licensed under CC {k.upper()} {v}." for k, _ in _CC_KINDS for v in ("3.0", "4.0")},
+    **{f"cc-{k}-4.0-statement": f"This work is licensed under a Creative Commons {title} 4.0 International License." for k, title in _CC_KINDS},
+    **{f"cc-{k}-3.0-statement": f"This work is licensed under a Creative Commons {title} 3.0 Unported License." for k, title in _CC_KINDS},
 }
 
 
@@ -115,7 +153,7 @@ class Template:
     seeds: frozenset[str]
 
     @staticmethod
-    def of(name: str, text: str, min_coverage: float) -> Template:
+    def of(name: str, text: str, min_coverage: float = MIN_COVERAGE) -> Template:
         """seeds: so many of the longest words that no alignment of min_coverage can do without all of them."""
         words, seeds, covered = words_of(text), set(), 0
         counts = Counter(words)
@@ -126,37 +164,88 @@ class Template:
                 break
         return Template(name, tuple(words), frozenset(seeds))
 
+    def distinctive(self, word: str) -> bool:
+        """Whether a match can't lack this word of the template."""
+        return word.isdigit() or word in QUALIFIERS
+
+
+def fit(words: list[str], lo: int, hi: int, t: Template, min_coverage: float = MIN_COVERAGE, min_explained: float = MIN_EXPLAINED) -> dict | None:
+    """The template aligned with words[lo:hi]: a finding, if it covers enough, lacks no distinctive word and has no foreign qualifier."""
+    pairs = patience_align(words[lo:hi], list(t.words))
+    n = len(t.words)
+    if len(pairs) < min_coverage * n:
+        return None
+    first, last = lo + pairs[0][0], lo + pairs[-1][0]
+    span = last - first + 1
+    if len(pairs) < min_explained * span:
+        return None
+    of_text, of_template = {lo + i for i, _ in pairs}, {j for _, j in pairs}
+    if any(j not in of_template and t.distinctive(w) for j, w in enumerate(t.words)):
+        return None
+    if any(i not in of_text and words[i] in QUALIFIERS for i in range(first, last + 1)):
+        return None
+    # words that belong to the name but stand just before or behind the stretch: "CC BY 4.0 NC" is no CC BY
+    if any(words[i] in QUALIFIERS for i in (first - 1, last + 1) if 0 <= i < len(words)) and n < 40:
+        return None
+    return {"license": t.name, "coverage": len(pairs) / n, "first_word": first, "last_word": last, "score": 2 * len(pairs) - n - (span - len(pairs))}
+
+
+def candidates(words: list[str], t: Template, min_coverage: float = MIN_COVERAGE, min_explained: float = MIN_EXPLAINED) -> Iterator[tuple[int, int]]:
+    """Stretches (lo, hi) that hold every possible match: windows as long as a match can be, wherever they have enough of the template's words, in small steps."""
+    n = len(t.words)
+    width, need, want = int(n / min_explained) + 1, min_coverage * n, Counter(t.words)
+    step = max(1, width // 16)
+    have: Counter = Counter()
+    common, last = 0, None  # last: the end of the window before, in this run of full windows
+    for end in range(len(words) + width):
+        if end < len(words) and (w := words[end]) in want:
+            have[w] += 1
+            common += have[w] <= want[w]
+        start = end - width
+        if start >= 0 and (w := words[start]) in want:
+            common -= have[w] <= want[w]
+            have[w] -= 1
+        full = common >= need
+        if full and (last is None or end - last >= step) or not full and last is not None:
+            yield max(0, end - width - step), min(len(words), end + 1)
+            last = end
+        if not full:
+            last = None
 
-def find_licenses(text: str | None, templates: list[Template], min_coverage: float = MIN_COVERAGE) -> list[dict]:
-    """For each template found: name, coverage, and the words of the text from first to last aligned one (word indexes)."""
-    low, out = (text or "").lower(), []
+
+def find_licenses(text: str | None, templates: list[Template], min_coverage: float = MIN_COVERAGE, min_explained: float = MIN_EXPLAINED) -> list[dict]:
+    """Every stretch that is a license: name, coverage, the words of the text from first to last aligned one (word indexes).
+
+    Of findings that overlap, the one with the most aligned words less the unexplained ones (of the template
+    and of the stretch) stays; ties go to the name that sorts first. Best covered first.
+    """
+    low, found = (text or "").lower(), []
     hit = [t for t in templates if any(s in low for s in t.seeds)]
     words = WORD.findall(low) if hit else []
     for t in hit:
-        n, best, at = len(t.words), None, [i for i, w in enumerate(words) if w in t.seeds]
-        windows: list[list[int]] = []
-        for i in at:
-            if windows and i - n <= windows[-1][1]:
-                windows[-1][1] = i + n
-            else:
-                windows.append([max(0, i - n), i + n])
-        for lo, hi in windows:
-            window = words[lo : hi + 1]
-            if sum((Counter(window) & Counter(t.words)).values()) < min_coverage * n:
-                continue
-            pairs = patience_align(window, list(t.words))
-            if len(pairs) >= min_coverage * n and (best is None or len(pairs) / n > best["coverage"]):
-                best = {"license": t.name, "coverage": len(pairs) / n, "first_word": lo + pairs[0][0], "last_word": lo + pairs[-1][0]}
-        if best:
-            out.append(best)
-    return sorted(out, key=lambda f: (-f["coverage"], f["license"]))
+        seen = set()
+        for lo, hi in candidates(words, t, min_coverage, min_explained):
+            f = fit(words, lo, hi, t, min_coverage, min_explained)
+            if f and (f["first_word"], f["last_word"]) not in seen:
+                seen.add((f["first_word"], f["last_word"]))
+                found.append(f)
+    return settle(found)
+
+
+def settle(found: list[dict]) -> list[dict]:
+    """Of findings that overlap the best; without their scores."""
+    kept: list[dict] = []
+    for f in sorted(found, key=lambda f: (-f["score"], -f["coverage"], f["license"], f["first_word"])):
+        if all(f["last_word"] < k["first_word"] or k["last_word"] < f["first_word"] for k in kept):
+            kept.append(f)
+    return [{k: v for k, v in f.items() if k != "score"} for f in sorted(kept, key=lambda f: (-f["coverage"], f["license"], f["first_word"]))]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE, doc_id="doc_id", text="text") -> DataFrame:
     """doc_id, license (the best covered, else null), coverage (0 if none), licenses array of struct(license, coverage, first_word, last_word).
 
-    Every row of docs, whole texts; null texts have none; ties go to the name that sorts first; repeated
-    rows stay; an empty table gives no rows. Each batch of rows stands alone: no shuffle.
+    Every row of docs, whole texts, every stretch of them that is a license, very long ones too; null texts
+    have none; ties go to the name that sorts first; repeated rows stay; an empty table gives no rows. Each batch of rows stands alone: no shuffle.
     """
     known = [Template.of(name, body, min_coverage) for name, body in templates.items()]
     found_type = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
