@@ -13,13 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import words_of
 
 SHINGLE, FRACTION = 5, 1 / 8
-MAX_BUCKETS = 8192
+#: Buckets of ids are as many as partitions, or more, of about so many bytes of text; their bounds are a tree in the plan.
+MAX_BUCKETS, BUCKET_BYTES = 2048, 64 << 20
 PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _S = np.uint64(33)
@@ -78,14 +79,38 @@ def from_text(s: str) -> np.ndarray:
 
 
 def fingerprint_documents(docs: DataFrame, fraction: float = FRACTION, doc_id="doc_id", text="text") -> DataFrame:
-    """doc_id, n_chars, fingerprint for every row; null texts count as empty, repeated rows stay."""
+    """doc_id, n_chars, fingerprint, hashes array<long>, complete for every row; null texts count as empty, repeated rows stay.
+
+    hashes are the retained ones; complete is false where none is under the threshold, so that the least
+    stands in: such a sketch tells equal texts, but no containment.
+    """
+    limit = np.uint64(min(int(fraction * 2**64), 2**64 - 1))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([to_text(sketch(t, fraction)) for t in texts], pa.string())], names=["doc_id", "n_chars", "fingerprint"])
+            found = [sketch(t, fraction) for t in texts]
+            columns = [
+                batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(map(to_text, found), pa.string()),
+                pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), pa.array([bool(len(h) and h[0] < limit) for h in found]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "fingerprint", "hashes", "complete"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, n_chars long, fingerprint string, hashes array<long>, complete boolean")
+
+
+def merge_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """(by..., hashes): the sketch of all documents of each group together, from fingerprint_documents' columns and the grouping ones.
+
+    The union of the complete sketches, made distinct before the groups are gathered; a group without one has no row.
+    """
+    rows = sketches.filter("complete").select(*by, F.explode("hashes").alias("h")).distinct()
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_list("h")).alias("hashes"))
+
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, n_chars long, fingerprint string")
+def containment_column(a: Column, complete: Column, b: Column) -> Column:
+    """Estimated share of the shingles behind sketch a (array<long>) that are behind b; null where a isn't complete."""
+    return F.when(complete & (F.size(a) > 0), F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def _rank(value: Column, bounds: list[int], at: int = 0) -> Column:
@@ -106,7 +131,8 @@ def in_order(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = min(MAX_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    n = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))
     found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(n)], 10 * n).alias("b"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     least = None if found["nulls"] else found["least"]
     bounds = sorted({b for b in found["b"] or () if b != found["least"] or found["nulls"]})
@@ -120,7 +146,19 @@ def in_order(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
         F.when(first, F.struct(F.lit(len(bounds)).alias("bucket"), F.lit(1).alias("ahead"))),
     )
     rows = rows.select(F.explode(F.filter(places, lambda p: p.isNotNull())).alias("place"), "doc_id", "text").select("place.bucket", "place.ahead", "doc_id", "text")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "ahead", F.col("doc_id").asc_nulls_first(), "text")
+    slot = F.element_at(F.array(*map(F.lit, _slots(spark, n))), F.col("bucket") + 1)
+    return rows.repartition(n, slot).sortWithinPartitions("bucket", "ahead", F.col("doc_id").asc_nulls_first(), "text")
+
+
+def _slots(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash partitioning puts there, so that each bucket gets a partition of its own."""
+    one_of: dict[int, int] = {}
+    upto = 0
+    while len(one_of) < n:
+        ids = spark.range(upto, upto + 16 * n).select(F.col("id").cast("int").alias("i"))
+        one_of |= {r["p"]: r["i"] for r in ids.groupBy(F.pmod(F.hash("i"), F.lit(n)).alias("p")).agg(F.min("i").alias("i")).collect()}
+        upto += 16 * n
+    return [one_of[p] for p in range(n)]
 
 
 def edited(text: str, following: str) -> str:
