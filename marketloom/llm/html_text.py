@@ -1,9 +1,9 @@
 """Main text of web pages, with subtrees deleted that a site repeats on many of its pages.
 
-Every block element's markup is hashed; Spark counts the pages of each host that have it; the
-elements that recur, and those whose tag, role or class says menu, notice, advert and the like, are
-deleted before the text is read. Paragraphs and other text blocks inside an article are never deleted
-for recurring: copies of an article and shared passages are text, not template.
+Every block element's markup is hashed; Spark counts, for each host, with how many different articles it
+occurs; the elements that recur, and those whose tag, role or class says menu, notice, advert and the like, are
+deleted before the text is read. What holds the article is never deleted. Paragraphs and other text blocks
+inside an article are never deleted for recurring: passages that articles share are text, not template.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_side, stash
 from .url_filter import url_host
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: A quotation mark quotes only behind an equals sign.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Element names by their part in HTML.
 RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp template".split())
 DROPPED = RAW | frozenset("nav footer aside form dialog menu button select svg canvas object embed audio video head".split())
@@ -34,12 +35,22 @@ TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tb
 #: A start tag of the key closes an open element of the value.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = frozenset("ul ol dl table body html article section div td th".split())
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-bar|comments?|respond|disqus|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|breadcrumbs?|menu|nav|navbar|navigation|footer|header|masthead|topbar|popup|modal|overlay|paywall|toolbar|widget|pagination|pager)(?:$|[\s_-])",
-    re.I,
+#: What a class or id names a part of the page by: alone, or as the last word of a compound (site-footer).
+PARTS = frozenset(
+    "ad ads advert adverts advertisement adsense sponsor sponsored promo promos banner sidebar comments comment respond disqus cookies cookie consent gdpr notice notices alert newsletter subscribe signup share sharing social related recommended recommendations breadcrumb breadcrumbs menu nav navbar navigation footer header masthead topbar popup modal overlay paywall toolbar widget widgets pagination pager".split()
 )
+#: Those that name it also as the first word (ad-slot, comment-list), and whole compounds.
+FIRST = frozenset("ad ads advert sponsored comment comments cookie cookies nav navbar menu sidebar footer breadcrumb breadcrumbs newsletter disqus gdpr popup modal".split())
+WHOLE = frozenset("side-bar related-posts related-articles share-buttons sharing-buttons social-links".split())
+#: Inside an article only these, alone or as the first word, and on no text block.
+INSIDE = frozenset("ad ads advert adverts advertisement adsense adsbygoogle sponsored promo comments comment respond disqus newsletter subscribe signup popup paywall sidebar pagination breadcrumbs".split())
+#: A first word that makes a class a trait of the page's layout (no-sidebar, with-sidebar).
+LAYOUT = frozenset("no with has without is hide show".split())
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+SPLIT = re.compile(r"[-_]+")
 ROLES = frozenset("navigation banner contentinfo complementary dialog alertdialog alert search menu menubar toolbar".split())
-TEMPLATE_PAGES, TEMPLATE_SHARE = 5, 0.2
+#: Subtrees with at least so many different articles of a host around them are its template, however many pages it has.
+TEMPLATE_PAGES = 5
 
 
 @dataclass(slots=True)
@@ -51,16 +62,31 @@ class Element:
     in_article: bool
     end: int = -1
     parts: list = field(default_factory=list)  # texts and indexes of children
+    holds: bool = False  # the article, or where there is none most of the page's text
 
     def dropped(self) -> bool:
-        """Whether tag, role or class names a part of the page that isn't its main text."""
+        """Whether tag, role or class names a part of the page that isn't its main text; never of what holds the article."""
+        if self.holds:
+            return False
         if self.tag in DROPPED or self.tag == "header" and not self.in_article:
             return True
         if not self.attributes or self.tag in ("html", "body", "main"):
             return False
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(self.attributes)}
-        names = " ".join(found.get(k, "") for k in ("class", "id"))
-        return bool(found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or self.tag != "article" and BOILERPLATE.search(names) or self.tag == "article" and re.search(r"comment", names, re.I))
+        if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or HIDING.search(found.get("style", "")):
+            return True
+        names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+        if self.tag == "article":
+            return any(SPLIT.split(n)[0] in ("comment", "comments") for n in names)
+        return any(map(self._named, names))
+
+    def _named(self, name: str) -> bool:
+        words = [w for w in SPLIT.split(name) if w]
+        if not words or len(words) > 1 and words[0] in LAYOUT:
+            return False
+        if self.in_article:
+            return self.tag not in TEXT_BLOCKS - {"ul", "ol", "table", "figure"} and self.tag != "header" and words[0] in INSIDE
+        return words[-1] in PARTS or words[0] in FIRST or name in WHOLE
 
 
 def parse(page: str) -> list[Element]:
@@ -102,9 +128,31 @@ def parse(page: str) -> list[Element]:
     while at:
         nodes[at].end, at = n, nodes[at].parent
     nodes[0].end = n
+    _mark_holders(nodes)
     return nodes
 
 
+def _mark_holders(nodes: list[Element]) -> None:
+    """Set holds above every article and main element that isn't a comment; without any, above what holds most of the text outside of dropped tags."""
+    found = [i for i, e in enumerate(nodes) if e.tag in ("article", "main") and not e.dropped()]
+    if found:
+        for i in found:
+            k = nodes[i].parent
+            while k > 0 and not nodes[k].holds and nodes[k].tag not in DROPPED:
+                nodes[k].holds = True
+                k = nodes[k].parent
+        return
+    size = [0] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):  # children come after their parents
+        e = nodes[i]
+        if e.tag not in DROPPED and e.tag != "header":
+            size[i] += sum(len(p.strip()) for p in e.parts if isinstance(p, str))
+            if i:
+                size[e.parent] += size[i]
+    for i, e in enumerate(nodes):
+        e.holds = e.tag not in DROPPED and e.tag != "header" and 2 * size[i] > size[0] > 0
+
+
 def _close_implied(nodes: list[Element], at: int, tag: str, pos: int) -> int:
     closing, k = CLOSES.get(tag, set()), at
     if nodes[at].tag == "p" or closing:
@@ -120,15 +168,17 @@ def _close_implied(nodes: list[Element], at: int, tag: str, pos: int) -> int:
 
 
 def subtree_hashes(page: str, nodes: list[Element]) -> dict[int, int]:
-    """The hash of the markup of each element that may be template, by the element's index."""
-    keeps = set()
+    """The hash of the markup of each element that may be template, by the element's index: nothing that is deleted anyway, holds the article or is a text block of it."""
+    keeps, gone = set(), set()
     for i, e in enumerate(nodes):
-        if e.tag in ("article", "main", "body", "html", ""):
+        if e.parent in gone or i and e.dropped():
+            gone.add(i)
+        elif e.tag in ("article", "main", "body", "html", ""):
             k = i
             while k >= 0 and k not in keeps:
                 keeps.add(k)
                 k = nodes[k].parent
-    return {i: xxhash.xxh3_64_intdigest(page[e.start : e.end].encode()) - 2**63 for i, e in enumerate(nodes) if i not in keeps and not (e.in_article and e.tag in TEXT_BLOCKS)}
+    return {i: xxhash.xxh3_64_intdigest(page[e.start : e.end].encode()) - 2**63 for i, e in enumerate(nodes) if i not in keeps and i not in gone and not (e.in_article and e.tag in TEXT_BLOCKS)}
 
 
 def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
@@ -145,6 +195,7 @@ def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset
             i = nodes[i].parent
         return True
 
+    # articles, not those in one that is read already
     roots: list[int] = []
     for kind in ("article", "main"):
         roots = [i for i, e in enumerate(nodes) if e.tag == kind and not (e.in_article and _inside(nodes, i, kind)) and usable(i)]
@@ -179,41 +230,54 @@ def _inside(nodes: list[Element], i: int, tag: str) -> bool:
     return i > 0
 
 
-def site_templates(pages: DataFrame, min_pages: int = TEMPLATE_PAGES, min_share: float = TEMPLATE_SHARE, url="url", page="html") -> DataFrame:
-    """(host, templates array<long>): the subtree hashes on at least min_pages pages and min_share of the pages of a host.
+def _page_hashes(page: str | None) -> tuple[int, set[int]]:
+    """(hash of the main text, hashes of the subtrees that may be template)."""
+    if not page:
+        return 0, set()
+    return xxhash.xxh3_64_intdigest(main_text(page).encode()) - 2**63, set(subtree_hashes(page, parse(page)).values())
+
+
+def page_key(page: Column) -> Column:
+    return F.md5(F.coalesce(page, F.lit("")))
+
+
+def site_templates(pages: DataFrame, min_pages: int = TEMPLATE_PAGES, url="url", page="html") -> DataFrame:
+    """(host, key, templates array<long>): for each page, by the hash of its markup, its subtrees that its host repeats around at least min_pages different articles.
 
-    A host has at most (mean hashes of a page) / min_share of them, however many pages it has. Only
-    hashes are shuffled, counted before the shuffle.
+    Copies of an article count once. Only hashes are shuffled; what is gathered is no more than one page's own subtrees.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {None} if not text else {None, *subtree_hashes(text, parse(text)).values()}
-                hosts += [host] * len(own)
-                hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+            out: list[tuple] = []
+            for host, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                article, own = _page_hashes(text)
+                out += [(host, key, article, h) for h in own]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "key", "article", "hash"])
 
-    hashed = pages.select(url_host(F.col(url)).alias("host"), F.col(page).alias("html")).mapInArrow(rows, "host string, hash long")
-    counts = stash(hashed.groupBy("host", "hash").count().filter(F.col("hash").isNull() | (F.col("count") >= min_pages)))
-    sizes = stash(counts.filter("hash IS NULL").select("host", F.col("count").alias("n_pages")))
-    recurring = counts.filter("hash IS NOT NULL").join(small_side(sizes), "host").filter(F.col("count") >= min_share * F.col("n_pages"))
-    return recurring.groupBy("host").agg(F.collect_list("hash").alias("templates"))
+    hashed = pages.select(url_host(F.col(url)).alias("host"), page_key(F.col(page)).alias("key"), F.col(page).alias("html"))
+    hashed = stash(hashed.mapInArrow(rows, "host string, key string, article long, hash long"))
+    around = hashed.select("host", "hash", "article").distinct().groupBy("host", "hash").count()
+    recurring = stash(around.filter(F.col("count") >= min_pages).select("host", "hash"))
+    own = hashed.select("host", "key", "hash").distinct().join(small_side(recurring), ["host", "hash"])
+    return own.groupBy("host", "key").agg(F.collect_list("hash").alias("templates"))
 
 
 def extract_pages(pages: DataFrame, page_id="page_id", url="url", page="html") -> DataFrame:
     """page_id, url, text, n_chars for every row.
 
-    Null html counts as empty and gives an empty text; a null url belongs to the empty host; repeated
-    rows stay (and count as pages of their host); other columns are ignored; an empty table gives no rows.
+    Null html counts as empty and gives an empty text; a null url belongs to the empty host; very long
+    pages are read whole; repeated rows stay (and count once as pages of their host); other columns are ignored; an
+    empty table gives no rows.
     """
     templates = stash(site_templates(pages, url=url, page=page))
     rows_in = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
     if templates.isEmpty():
         rows_in = rows_in.withColumn("templates", F.lit(None).cast("array<long>"))
     else:
-        rows_in = rows_in.withColumn("host", url_host(F.col("url"))).join(small_side(templates, 100_000), "host", "left").select("page_id", "url", "html", "templates")
+        keyed = rows_in.withColumn("host", url_host(F.col("url"))).withColumn("key", page_key(F.col("html")))
+        rows_in = keyed.join(small_side(templates, 100_000), ["host", "key"], "left").select("page_id", "url", "html", "templates")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
