@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
@@ -25,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, small_side, stash
+from .common import BROADCAST_ROWS, small_side, stash, widened
 
 CAPACITY, END_ID = 2048, 0
+#: A rank takes so many bits beside its length in one number: 2 ** 44 pieces of a length.
+RANK_BITS = 44
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -216,13 +219,22 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = parts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    where = places(local_search(best_fit(counts, capacity), capacity))
-    table = spark.createDataFrame(where, "length long, lo long, hi long, base long, offset long")
-    # bins that differ in their lengths, not documents, decide its size
-    table = F.broadcast(table) if len(where) <= BROADCAST_ROWS else table
-    ranked = pieces.join(small_side(first), ["length", "part"]).withColumn("rank", F.col("first") + F.col("nth"))
-    placed = ranked.join(table, (ranked["length"] == table["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).drop(table["length"])
-    return placed.withColumn("sequence_id", F.col("base") + F.col("rank") - F.col("lo")).drop("part", "nth", "first", "rank", "lo", "hi", "base")
+    where = np.array(places(local_search(best_fit(counts, capacity), capacity)), np.int64).reshape(-1, 5)
+    ranked = pieces.join(small_side(first), ["length", "part"]).withColumn("rank", F.col("first") + F.col("nth")).drop("part", "nth", "first")
+    if len(where) > BROADCAST_ROWS:  # bins that differ in their lengths, not documents, decide its size
+        table = spark.createDataFrame(pd.DataFrame(where, columns=["own", "lo", "hi", "base", "at"]))
+        placed = ranked.join(table, (F.col("length") == F.col("own")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+        return placed.withColumn("sequence_id", F.col("base") + F.col("rank") - F.col("lo")).withColumnRenamed("at", "offset").drop("own", "rank", "lo", "hi", "base")
+    where = where[np.lexsort((where[:, 1], where[:, 0]))]
+    starts, names = where[:, 0] << RANK_BITS | where[:, 1], ranked.columns
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, rank = (batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            at = np.searchsorted(starts, length << RANK_BITS | rank, "right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where[at, 3] + rank - where[at, 1]), pa.array(where[at, 4])], names=[*names, "sequence_id", "offset"])
+
+    return ranked.mapInArrow(rows, widened(ranked, "sequence_id long, offset long")).drop("rank")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, doc_id="doc_id", text="text") -> DataFrame:
