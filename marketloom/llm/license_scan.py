@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -213,14 +214,27 @@ def candidates(words: list[str], t: Template, min_coverage: float = MIN_COVERAGE
             last = None
 
 
-def find_licenses(text: str | None, templates: list[Template], min_coverage: float = MIN_COVERAGE, min_explained: float = MIN_EXPLAINED) -> list[dict]:
+def seed_index(templates: list[Template]) -> ahocorasick.Automaton:
+    """The templates' seeds, to be looked for in one pass over a text."""
+    at: dict[str, list[int]] = {}
+    for i, t in enumerate(templates):
+        for s in t.seeds:
+            at.setdefault(s, []).append(i)
+    index = ahocorasick.Automaton()
+    for s, own in at.items():
+        index.add_word(s, own)
+    index.make_automaton()
+    return index
+
+
+def find_licenses(text: str | None, templates: list[Template], min_coverage: float = MIN_COVERAGE, min_explained: float = MIN_EXPLAINED, index: ahocorasick.Automaton | None = None) -> list[dict]:
     """Every stretch that is a license: name, coverage, the words of the text from first to last aligned one (word indexes).
 
     Of findings that overlap, the one with the most aligned words less the unexplained ones (of the template
     and of the stretch) stays; ties go to the name that sorts first. Best covered first.
     """
     low, found = (text or "").lower(), []
-    hit = [t for t in templates if any(s in low for s in t.seeds)]
+    hit = [templates[i] for i in sorted({i for _, own in (index or seed_index(templates)).iter(low) for i in own})]
     words = WORD.findall(low) if hit else []
     for t in hit:
         seen = set()
@@ -251,8 +265,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_co
     found_type = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = seed_index(known)
         for batch in batches:
-            found = [find_licenses(t, known, min_coverage) for t in batch.column(1).to_pylist()]
+            found = [find_licenses(t, known, min_coverage, index=index) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0]["license"] if f else None for f in found], pa.string()), pa.array([f[0]["coverage"] if f else 0.0 for f in found], pa.float64()), pa.array(found, found_type)],
                 names=["doc_id", "license", "coverage", "licenses"],
