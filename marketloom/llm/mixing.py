@@ -16,6 +16,7 @@ import math
 import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, stash, widened
-from .packing import default_tokenizer, encoder
+from .packing import default_tokenizer, encode, encoder
 from .toxicity import Toxicity, fit_toxicity, is_held_out
 
 DOMAINS = ("high", "low", "toxic_high", "toxic_low")
@@ -35,6 +36,8 @@ FEATURES = 12
 MAX_STEPS, TOLERANCE, PATIENCE = 120, 1e-5, 6
 #: A default total may be reduced to this share of its first value, to be within reach of rates of at most `most`; below, the nearest mix is kept.
 LEAST_SHARE, WITHIN = 0.02, 0.97
+#: A step takes a task for about so many documents' numbers, not one for each file.
+TASK_ROWS = 1_000_000
 #: Share of all documents' Gram matrix in a step's weights, beside that of the documents whose rates are free to move.
 RIDGE = 0.02
 
@@ -45,7 +48,7 @@ def features(text: str | None, toxic: Toxicity) -> list[float]:
     words = t.split()
     n, c = len(words), len(t)
     lines = [x for x in t.split("\n") if x]
-    rough = [w for w in words if not w.isalnum()]
+    rough = list(filterfalse(str.isalnum, words))
     upper = sum(map(str.isupper, words))
     ends = sum(not w[-1].isalnum() for w in rough)
     odd = sum(not w[-2:-1].isalnum() and not w[-2:].isalnum() for w in rough)
@@ -68,7 +71,7 @@ def features(text: str | None, toxic: Toxicity) -> list[float]:
 
 def count_tokens(text: str | None, tokenizer: str) -> int:
     """The tokens of a text as the packing counts them, with its end token."""
-    return len(encoder(tokenizer).encode(text or "", allowed_special="all")) + 1
+    return len(encode(encoder(tokenizer), text or "")) + 1
 
 
 @dataclass(frozen=True)
@@ -129,7 +132,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS, do
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
     # the labels are a bounded sample of narrow rows, so they may be broadcast
-    got = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(known), "__id").select("text", "y").mapInArrow(rows, "x array<double>, y int").orderBy("x", "y").collect()
+    got = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(known), "__id").select("text", "y").mapInArrow(rows, "x array<double>, y int")
+    got = sorted(got.collect())
     if not got:
         k = len(DOMAINS)
         return DomainModel(tuple((0.0,) * k for _ in range(FEATURES + 1)), (0.0,) * FEATURES, (1.0,) * FEATURES, toxic)
@@ -198,6 +202,7 @@ def fit_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, total: fl
     TOLERANCE of the total. An empty table gets rate 1.
     """
     k, n = len(names), F.col(tokens).cast("double")
+    tasks = max(members.sparkSession.sparkContext.defaultParallelism, members.count() // TASK_ROWS)
     share = np.array([weights.get(a, 0.0) for a in names])
     share = share / share.sum()
     top = math.inf if most is None else most
@@ -218,7 +223,7 @@ def fit_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, total: fl
                 got += np.concatenate([(r * n) @ p, (free.T @ p).ravel(), [reach]])
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in got], names=[f"s{i}" for i in range(len(got))])
 
-        sums = members.select(n, *names).mapInArrow(partial, ", ".join(f"s{i} double" for i in range(k + k * k + 1)))
+        sums = members.select(n, *names).coalesce(tasks).mapInArrow(partial, ", ".join(f"s{i} double" for i in range(k + k * k + 1)))
         got = np.array(sums.agg(*(F.sum(c) for c in sums.columns)).first(), float)
         return got[:k], got[k:-1].reshape(k, k), float(got[-1])
 

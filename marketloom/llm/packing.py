@@ -61,6 +61,11 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def encode(e: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text, those of added tokens included."""
+    return e.encode(text, allowed_special="all") if any(t in text for t in e.special_tokens_set) else e.encode_ordinary(text)
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: whole pieces of capacity, the first may be shorter."""
     first = (n - 1) % capacity + 1
@@ -73,14 +78,14 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     names = [f.split()[0] for f in PIECES.split(", ")] + ["part", "nth"] + ["ids"] * with_ids
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = encoder(path), TaskContext.get().partitionId(), Counter()
+        own, part, seen = encoder(path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out: list[tuple] = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array([*encode.encode(t or "", allowed_special="all"), END_ID], "<u4")
+                ids = np.array([*encode(own, t or ""), END_ID], "<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
-                    own = ids[start : start + length]
-                    out.append((i, k, start, length, zlib.crc32(own.tobytes()), part, seen[length], *([own] if with_ids else [])))
+                    some = ids[start : start + length]
+                    out.append((i, k, start, length, zlib.crc32(some.tobytes()), part, seen[length], *([some] if with_ids else [])))
                     seen[length] += 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * len(names), kinds)], names=names)

@@ -336,7 +336,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS, d
             x = [[v for pair in halves for v in pair[1 - h].features(s)] for s, h in zip(texts, own)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(2).cast(pa.int32())], names=["x", "y"])
 
-    got = train.mapInArrow(crossed, "x array<double>, y int").orderBy("x", "y").collect()
+    got = sorted(train.mapInArrow(crossed, "x array<double>, y int").collect())
     x, y = np.array([r["x"] for r in got], float).reshape(len(got), len(SURE), len(FEATURES)), np.array([r["y"] for r in got], float)
     fits = [_fit_weights(x[:, k], y) for k in range(len(SURE))]
     k = min(range(len(SURE)), key=lambda k: _log_loss(x[:, k], y, fits[k]))
