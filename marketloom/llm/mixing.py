@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, stash, widened
-from .packing import default_tokenizer, encode, encoder
+from .packing import count_tokens, default_tokenizer
 from .toxicity import Toxicity, fit_toxicity, is_held_out
 
 DOMAINS = ("high", "low", "toxic_high", "toxic_low")
@@ -69,11 +69,6 @@ def features(text: str | None, toxic: Toxicity) -> list[float]:
     ]
 
 
-def count_tokens(text: str | None, tokenizer: str) -> int:
-    """The tokens of a text as the packing counts them, with its end token."""
-    return len(encode(encoder(tokenizer), text or "")) + 1
-
-
 @dataclass(frozen=True)
 class DomainModel:
     """Softmax weights over DOMAINS (columns) of standardised features and a bias (rows), and the scorer of one feature."""

@@ -66,6 +66,11 @@ def encode(e: tiktoken.Encoding, text: str) -> list[int]:
     return e.encode(text, allowed_special="all") if any(t in text for t in e.special_tokens_set) else e.encode_ordinary(text)
 
 
+def count_tokens(text: str | None, path: str) -> int:
+    """The number of a text's ids, the end token included."""
+    return len(encoder(path).encode_to_numpy(text or "", allowed_special="all")) + 1
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: whole pieces of capacity, the first may be shorter."""
     first = (n - 1) % capacity + 1

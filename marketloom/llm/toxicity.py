@@ -185,8 +185,8 @@ class Toxicity:
 
     def features(self, text: str | None) -> list[float]:
         """Clauses by the kinds of their matches (log scale), the heaviest match, the sum of all. Very long texts are read whole, clause by clause."""
-        low = (text or "").lower().replace("’", "'")
-        return self.matches(low) if self.hit(low) else [0.0] * len(FEATURES)
+        low = (text or "").lower()
+        return self.matches(low.replace("’", "'")) if self.hit(low) else [0.0] * len(FEATURES)
 
     def matches(self, low: str) -> list[float]:
         _, words, prefixes, table = self.machine()

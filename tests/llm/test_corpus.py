@@ -264,6 +264,15 @@ def test_added_tokens_are_encoded_as_the_tokenizers_library_does(spark):
     assert 50256 in rows[0]["ids"]
 
 
+def test_counts_are_those_of_the_ids(small_dir):
+    import duckdb
+
+    path = P.default_tokenizer()
+    texts = [t for (t,) in duckdb.execute(f"SELECT text FROM '{small_dir}/documents.parquet'").fetchall()] + [None, "", "  a   b\n\n c\t", "it's   ", "x <|endoftext|>  y", "é😀  ü\u00a0\u3000z", "\r\n \r\n", "1 22  333"]
+    for t in texts:
+        assert P.count_tokens(t, path) == len(P.encode(P.encoder(path), t or "")) + 1
+
+
 def test_packing_edges(spark):
     docs = [(1, None), (2, ""), (3, "<|endoftext|> x"), (4, "word " * 30_000), (None, "é😀")]
     frame = spark.createDataFrame([(i, t, "en", "s", 1, "x", 1) for i, t in docs], DOCS)
