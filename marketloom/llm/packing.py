@@ -61,14 +61,14 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def encode(e: tiktoken.Encoding, text: str) -> list[int]:
+def encode(e: tiktoken.Encoding, text: str) -> np.ndarray:
     """The ids of a text, those of added tokens included."""
-    return e.encode(text, allowed_special="all") if any(t in text for t in e.special_tokens_set) else e.encode_ordinary(text)
+    return e.encode_to_numpy(text, allowed_special="all")
 
 
 def count_tokens(text: str | None, path: str) -> int:
     """The number of a text's ids, the end token included."""
-    return len(encoder(path).encode_to_numpy(text or "", allowed_special="all")) + 1
+    return len(encode(encoder(path), text or "")) + 1
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -87,7 +87,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         for batch in batches:
             out: list[tuple] = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array([*encode(own, t or ""), END_ID], "<u4")
+                ids = np.append(encode(own, t or ""), END_ID).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     some = ids[start : start + length]
                     out.append((i, k, start, length, zlib.crc32(some.tobytes()), part, seen[length], *([some] if with_ids else [])))
