@@ -263,4 +263,4 @@ def opinion(p: Column, mode: str = "direction", primary: Column | None = None, t
     if mode == "meta_label":
         sure = (p >= threshold) & primary.isNotNull()
         return F.struct(F.when(sure, primary).otherwise("NEUTRAL").alias("signal"), F.round(p * 100).cast("int").alias("confidence"))
-    return F.struct(F.when(p >= 0.5, "UP").otherwise("DOWN").alias("signal"), F.round(F.greatest(p, 1 - p) * 100).cast("int").alias("confidence"))
+    return F.struct(F.when(p >= 0.5, "UP").otherwise("DOWN").alias("signal"), F.round(F.abs(p - 0.5) * 200).cast("int").alias("confidence"))

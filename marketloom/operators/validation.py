@@ -17,19 +17,18 @@ from marketloom.sources.bars import by_symbol
 
 
 def walk_forward(n: int, n_splits: int = 5, horizon: int = 12, embargo: int = 6, min_train: int = 500, expanding: bool = True, least_test: int = 20) -> list[tuple[int, int, int, int, int]]:
-    """(fold, train_lo, train_hi, test_lo, test_hi), ends exclusive, with horizon + embargo rows between train and test."""
-    gap = horizon + embargo
-    size = (n - gap - min_train) // n_splits
-    if n - gap <= min_train + n_splits or size < least_test:
-        raise ValueError(f"{n} rows are too few for {n_splits} folds of at least {least_test} after {min_train}")
-    out = []
-    for k in range(n_splits):
-        end = min_train + k * size
-        lo, hi = end + gap, min(end + gap + size, n)
-        if hi - lo < least_test:
-            break
-        out.append((k, 0 if expanding else max(0, end - min_train), end, lo, hi))
-    return out
+    """(fold, train_lo, train_hi, test_lo, test_hi), ends exclusive.
+
+    With g = horizon + embargo, what min_train and g leave of the n rows is dealt into n_splits tests of equal length
+    t. Fold k tests rows from min_train + g + k * t; it trains on the rows up to g before them, or only the last
+    min_train of those. Raises ValueError where t would be under least_test or under 1.
+    """
+    purged = horizon + embargo
+    t = (n - min_train - purged) // n_splits
+    if t < max(1, least_test):
+        raise ValueError(f"{n_splits} tests of {least_test} rows, after {min_train} to train on and {purged} purged, need more than {n} rows")
+    ends = range(min_train, min_train + n_splits * t, t)
+    return [(fold, 0 if expanding else end - min_train, end, end + purged, end + purged + t) for fold, end in enumerate(ends)]
 
 
 def combinatorial(n: int, n_groups: int = 6, n_test: int = 2, horizon: int = 12, embargo: int = 6) -> list[tuple[int, str, int, int]]:
@@ -207,7 +206,10 @@ def overfitting_splits(perf: DataFrame, periods: list[int]) -> DataFrame:
     """perf(config, period, value): for each half of the periods, the best config there, its rank on the other half and the logit.
 
     An odd number of periods drops the oldest. Configs and periods are few; the halves are a broadcast table.
+    Raises ValueError for fewer than 4 periods.
     """
+    if len(periods) < 4:
+        raise ValueError("fewer than 4 periods have no halves to compare")
     periods = sorted(periods)[len(periods) % 2 :]
     halves = [(s, p, p in chosen) for s, chosen in enumerate(combinations(periods, len(periods) // 2)) for p in periods]
     table = perf.sparkSession.createDataFrame(halves, "split int, period int, inside boolean")

@@ -19,8 +19,9 @@ def bars(spark: SparkSession, sf_dir: str, width: str = "1 hour") -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse events as an irregular series: (symbol, event_time, funding)."""
-    return table(spark, sf_dir, "events").filter("user_id % 20 = 0").select(F.col("event_type").alias("symbol"), F.col("ts").alias("event_time"), (F.col("value") / 1000).alias("funding"))
+    """Events as an irregular series, one point a time, the greatest of those at one time: (symbol, event_time, funding)."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").alias("event_time"), (F.col("value") / 1000).alias("funding"))
+    return rows.groupBy("symbol", "event_time").agg(F.max("funding").alias("funding"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def r6(c: Column | str, name: str | None = None, digits: int = 6) -> Column:
 BARS = """t AS (SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS open_time, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
   arg_max(value, ts) AS close, CASE WHEN event_type = 'signup' THEN 0.0::DOUBLE ELSE count(*)::DOUBLE END AS volume FROM events WHERE value > 0 GROUP BY event_type, time_bucket(INTERVAL '1 hour', ts)),
 b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS idx FROM t)"""
-POINTS = "pts AS (SELECT event_type AS symbol, ts AS event_time, value / 1000 AS funding FROM events WHERE user_id % 20 = 0)"
+POINTS = "pts AS (SELECT event_type AS symbol, ts AS event_time, max(value / 1000) AS funding FROM events GROUP BY ALL)"
 PREDICTIONS = """p AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 4 <> 0 THEN o_custkey END AS user_id, o_orderpriority AS symbol,
   CASE o_orderkey % 3 WHEN 0 THEN 'UP' WHEN 1 THEN 'DOWN' ELSE 'NEUTRAL' END AS predicted_direction, CAST(30 + o_orderkey % 60 AS INTEGER) AS confidence, o_totalprice AS price_at_prediction,
   CASE o_orderstatus WHEN 'F' THEN 'CORRECT' WHEN 'O' THEN 'INCORRECT' ELSE 'PENDING' END AS actual_result, o_orderdate AS created_at FROM orders)"""

@@ -151,28 +151,29 @@ def overfitting_probability(spark, d):
 # --- splits -----------------------------------------------------------------------------------------------------------------
 
 
-def _folds_sql(folds) -> str:
-    rows = ", ".join(f"({k}, '{role}', {lo}, {hi})" for k, a, b, c, e in folds for role, lo, hi in (("train", a, b), ("test", c, e)))
-    return f"fr(fold, role, lo, hi) AS (VALUES {rows})"
+#: Folds over all bars of the longest symbol; the same ranges in SQL from the counted rows.
+_N = "n AS (SELECT max(idx) + 1 AS n FROM b)"
+_WF = f"""{_N}, z AS (SELECT (n - 118) // 4 AS t FROM n), fr AS (SELECT k AS fold, 'train' AS role, 0 AS lo, 100 + k * t AS hi FROM z, range(4) r(k) UNION ALL SELECT k, 'test', 118 + k * t, 118 + (k + 1) * t FROM z, range(4) r(k))"""
 
 
-#: n rows and the parameters of the splits shown; the ranges are those of the formula, here by hand for SQL.
-_WF = [(k, 0, 100 + k * 100, 118 + k * 100, 218 + k * 100) for k in range(4)]
+def _longest(rows) -> int:
+    return rows.agg(F.max("idx")).first()[0] + 1
 
 
-@query("walk_forward_folds", f"WITH {BARS}, {_folds_sql(_WF)} SELECT CAST(fold AS INTEGER) AS fold, role, symbol, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx FROM b JOIN fr ON idx >= lo AND idx < hi GROUP BY ALL")
+@query("walk_forward_folds", f"WITH {BARS}, {_WF} SELECT CAST(fold AS INTEGER) AS fold, role, symbol, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx FROM b JOIN fr ON idx >= lo AND idx < hi GROUP BY ALL")
 def walk_forward_folds(spark, d):
-    folds = V.fold_ranges(spark, V.walk_forward(518, n_splits=4, min_train=100))
-    rows = V.assign(bars(spark, d), folds, "idx")
+    rows = bars(spark, d)
+    rows = V.assign(rows, V.fold_ranges(spark, V.walk_forward(_longest(rows), n_splits=4, min_train=100)), "idx")
     return rows.groupBy("fold", "role", "symbol").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
 
 
-@query("combinatorial_folds", f"""WITH {BARS}, blk AS (SELECT i AS g, 600 * i // 6 AS lo, 600 * (i + 1) // 6 AS hi FROM range(6) t(i)), ch AS (SELECT row_number() OVER (ORDER BY x.g, y.g) - 1 AS fold, x.lo AS l1, x.hi AS h1, y.lo AS l2, y.hi AS h2 FROM blk x JOIN blk y ON x.g < y.g),
-    a AS (SELECT fold, symbol, idx, (idx >= l1 AND idx < h1) OR (idx >= l2 AND idx < h2) AS t, (idx >= l1 - 18 AND idx < h1 + 18) OR (idx >= l2 - 18 AND idx < h2 + 18) AS near FROM b, ch WHERE idx < 600)
+@query("combinatorial_folds", f"""WITH {BARS}, {_N}, blk AS (SELECT i AS g, n * i // 6 AS lo, n * (i + 1) // 6 AS hi FROM n, range(6) t(i)), ch AS (SELECT row_number() OVER (ORDER BY x.g, y.g) - 1 AS fold, x.lo AS l1, x.hi AS h1, y.lo AS l2, y.hi AS h2 FROM blk x JOIN blk y ON x.g < y.g),
+    a AS (SELECT fold, symbol, idx, (idx >= l1 AND idx < h1) OR (idx >= l2 AND idx < h2) AS t, (idx >= l1 - 18 AND idx < h1 + 18) OR (idx >= l2 - 18 AND idx < h2 + 18) AS near FROM b, ch)
     SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN t THEN 'test' ELSE 'train' END AS role, symbol, count(*) AS n FROM a WHERE t OR NOT near GROUP BY ALL""")
 def combinatorial_folds(spark, d):
-    ranges = spark.createDataFrame(V.combinatorial(600), "fold int, role string, lo long, hi long")
-    return V.assign(bars(spark, d), ranges, "idx").groupBy("fold", "role", "symbol").agg(F.count("*").alias("n"))
+    rows = bars(spark, d)
+    ranges = spark.createDataFrame(V.combinatorial(_longest(rows)), "fold int, role string, lo long, hi long")
+    return V.assign(rows, ranges, "idx").groupBy("fold", "role", "symbol").agg(F.count("*").alias("n"))
 
 
 @query("pooled_train", f"WITH {BARS} SELECT symbol, count(*) AS n FROM b WHERE (symbol = 'view' AND idx < 200) OR symbol <> 'view' GROUP BY symbol")
