@@ -163,7 +163,7 @@ def _longest(rows) -> int:
 @query("walk_forward_folds", f"WITH {BARS}, {_WF} SELECT CAST(fold AS INTEGER) AS fold, role, symbol, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx FROM b JOIN fr ON idx >= lo AND idx < hi GROUP BY ALL")
 def walk_forward_folds(spark, d):
     rows = bars(spark, d)
-    rows = V.assign(rows, V.fold_ranges(spark, V.walk_forward(_longest(rows), n_splits=4, min_train=100)), "idx")
+    rows = V.assign(rows, V.fold_ranges(spark, V.walk_forward(_longest(rows), n_splits=4, min_train=100, least_test=5)), "idx")
     return rows.groupBy("fold", "role", "symbol").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
 
 
