@@ -62,49 +62,59 @@ def stateful_indicators(ticks: DataFrame, rsi: int = 14, ema: int = 12, vol: int
     return keyed.applyInPandasWithState(step, INDICATORS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-class TableStore:
-    """Two generations of a Parquet table: a write goes to the one not in use, then becomes current, so a lost job leaves the old one whole."""
+class BatchLog:
+    """Rows by key as a log of batches in one Parquet folder: a batch appends what it changes, the latest batch's row of a key counts.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema, self.version = spark, path, schema, 0
+    Nothing is held in memory: a restarted query finds what was written, a batch that comes twice overwrites its own part.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str]):
+        self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=-1")
 
-    def read(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.version}")
+    def read(self, upto: int | None = None) -> DataFrame:
+        """The rows after batch upto (all by default), by a maximum that is aggregated before the shuffle."""
+        log = self.spark.read.schema(f"{self.schema}, batch long").option("basePath", self.path).parquet(self.path)
+        if upto is not None:
+            log = log.filter(F.col("batch") <= upto)
+        row = F.struct(*(c for c in log.columns if c != "batch"))
+        return log.groupBy(*(F.col(k).alias(f"__{k}") for k in self.keys)).agg(F.max_by(row, "batch").alias("r")).select("r.*")
 
-    def write(self, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
+    def write(self, rows: DataFrame, batch: int) -> None:
+        """rows, one for each key, as what batch changes."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
 
 SNAPSHOTS = "symbol string, open_time timestamp, open double, high double, low double, close double, volume double"
 PREDICTIONS = "id string, symbol string, predicted_direction string, confidence int, price_at_prediction double, actual_result string, created_at timestamp, move_pct double, price_at_resolution double"
 
 
-def tick_loop(snapshots: TableStore, predictions: TableStore, predict: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function over bars: upsert snapshots, grade what is due at the newest time, log new calls. Four set-based steps.
+def tick_loop(snapshots: BatchLog, predictions: BatchLog, predict: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over bars: upsert snapshots, grade what is due at the newest time, log new calls. Set-based steps.
 
-    predict(latest rows) -> (symbol, predicted_direction, confidence). A batch that comes twice changes nothing.
+    predict(latest rows) -> (symbol, predicted_direction, confidence). A batch that comes twice changes nothing,
+    as it starts from the state after the batch before; of bars of one key in a batch any one counts.
     """
 
     def run(bars: DataFrame, batch: int) -> None:
         fresh = bars.persist()
-        if fresh.isEmpty():
-            return
-        snapshots.write(T.upsert(snapshots.read(), fresh.select(*snapshots.read().columns), ["symbol", "open_time"]))
-        now = latest(snapshots.read())
-        as_of = F.lit(now.agg(F.max("open_time")).first()[0])
-        old = predictions.read()
-        pending = T.due(old, as_of, limit=None)
-        graded = T.grade(pending.drop("move_pct", "price_at_resolution"), now.select("symbol", F.col("close").alias("price"))).select(*old.columns)
-        calls = predict(now).join(now.select("symbol", "open_time", "close"), "symbol")
-        new = T.predictions_to_log(calls).select(
-            F.concat_ws("@", "symbol", F.col("open_time").cast("string")).alias("id"), "symbol", "predicted_direction", "confidence", F.col("close").alias("price_at_prediction"),
-            F.lit("PENDING").alias("actual_result"), F.col("open_time").alias("created_at"), F.lit(None).cast("double").alias("move_pct"), F.lit(None).cast("double").alias("price_at_resolution"),
-        )
-        predictions.write(T.upsert(T.upsert(old, graded, ["id"]), new, ["id"], policy="ignore"))
-        fresh.unpersist()
+        try:
+            if fresh.isEmpty():
+                return
+            snapshots.write(fresh.select(*snapshots.read().columns).dropDuplicates(snapshots.keys), batch)
+            now = latest(snapshots.read(batch))
+            as_of = F.lit(now.agg(F.max("open_time")).first()[0])
+            old = predictions.read(batch - 1)
+            pending = T.due(old, as_of, limit=None)
+            graded = T.grade(pending.drop("move_pct", "price_at_resolution"), now.select("symbol", F.col("close").alias("price"))).select(*old.columns)
+            calls = predict(now).join(now.select("symbol", "open_time", "close"), "symbol")
+            new = T.predictions_to_log(calls).select(
+                F.concat_ws("@", "symbol", F.col("open_time").cast("string")).alias("id"), "symbol", "predicted_direction", "confidence", F.col("close").alias("price_at_prediction"),
+                F.lit("PENDING").alias("actual_result"), F.col("open_time").alias("created_at"), F.lit(None).cast("double").alias("move_pct"), F.lit(None).cast("double").alias("price_at_resolution"),
+            )
+            predictions.write(graded.unionByName(new.dropDuplicates(["id"]).join(old.select("id"), "id", "left_anti").select(*old.columns)), batch)
+        finally:
+            fresh.unpersist()
 
     return run
 

@@ -137,7 +137,7 @@ def test_stateful_indicators_equal_batch(spark, tiny_dir, tmp_path):
 
 
 def test_tick_loop_upserts_grades_and_repeats_safely(spark, tmp_path):
-    snapshots, predictions = live.TableStore(spark, str(tmp_path / "s"), live.SNAPSHOTS), live.TableStore(spark, str(tmp_path / "p"), live.PREDICTIONS)
+    snapshots, predictions = live.BatchLog(spark, str(tmp_path / "s"), live.SNAPSHOTS, ["symbol", "open_time"]), live.BatchLog(spark, str(tmp_path / "p"), live.PREDICTIONS, ["id"])
     loop = live.tick_loop(snapshots, predictions, lambda now: now.select("symbol", F.lit("UP").alias("predicted_direction"), F.lit(50).alias("confidence")))
     t0 = datetime.datetime(2024, 1, 1)
     bar = lambda h, c: spark.createDataFrame([("A", t0 + datetime.timedelta(hours=h), c, c, c, c, 1.0)], live.SNAPSHOTS)
@@ -147,6 +147,14 @@ def test_tick_loop_upserts_grades_and_repeats_safely(spark, tmp_path):
     loop(bar(2, 110.0), 1)
     got = {r["id"]: r["actual_result"] for r in predictions.read().collect()}
     assert sorted(got.values()) == ["CORRECT", "PENDING"] and snapshots.read().count() == 2
+    again = live.BatchLog(spark, str(tmp_path / "s"), live.SNAPSHOTS, ["symbol", "open_time"]), live.BatchLog(spark, str(tmp_path / "p"), live.PREDICTIONS, ["id"])
+    loop = live.tick_loop(*again, lambda now: now.select("symbol", F.lit("UP").alias("predicted_direction"), F.lit(50).alias("confidence")))
+    before = sorted(again[1].read().collect())
+    assert {r["id"]: r["actual_result"] for r in before} == got
+    loop(bar(2, 110.0), 1)
+    assert sorted(again[1].read().collect()) == before and again[0].read().count() == 2
+    loop(bar(0, 90.0), 2)
+    assert {r["close"] for r in again[0].read().collect()} == {90.0, 110.0} and again[1].read().count() == 2
 
 
 def test_retraining(spark):
