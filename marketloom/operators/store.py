@@ -15,9 +15,19 @@ PLANS = {"free": (FREE, 1), "basic": (BASIC, 7), "pro": (None, 30)}
 DEAD_BAND, DUE_MINUTES, MIN_LOGGED = 0.15, 60, 40
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: str = "replace") -> DataFrame:
-    """old and new by key: policy replace keeps the new row, ignore the old one; repeated new rows keep any one of them."""
-    fresh = new.dropDuplicates(keys)
+def _last_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row of the greatest order of each key, by a maximum that is aggregated before the shuffle."""
+    at = F.struct(F.col(order).isNotNull(), F.col(order))
+    return rows.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.max_by(F.struct(*rows.columns), at).alias("r")).select("r.*")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: str = "replace", order: str | None = None) -> DataFrame:
+    """old and new by key: policy replace keeps the new row, ignore the old one.
+
+    Of repeated new rows the last write, that of the greatest order, wins; without order any one of them stays.
+    A null order comes before all others; rows with a null in a key match no old row, and one stays for each such key.
+    """
+    fresh = new.dropDuplicates(keys) if order is None else _last_of_each(new, keys, order)
     if policy == "ignore":
         return old.unionByName(fresh.join(old.select(*keys), keys, "left_anti").select(*old.columns))
     return old.join(fresh.select(*keys), keys, "left_anti").select(*old.columns).unionByName(fresh.select(*old.columns))

@@ -109,6 +109,15 @@ def test_upsert_policies(spark):
     assert sorted(map(tuple, T.upsert(old, new, ["k"], "ignore").collect())) == [("a", 1), ("b", 2), ("c", 4)]
 
 
+def test_upsert_keeps_the_last_write(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    new = spark.createDataFrame([("b", 7, 2), ("b", 8, 3), ("b", 9, None), ("c", 5, None), (None, 6, 1), (None, 4, 2)], "k string, v int, at int")
+    last = lambda policy: sorted(map(tuple, T.upsert(old, new, ["k"], policy, "at").collect()), key=str)
+    assert last("replace") == [("a", 1), ("b", 8), ("c", 5), (None, 4)]
+    assert last("ignore") == [("a", 1), ("b", 2), ("c", 5), (None, 4)]
+    assert T.upsert(old, new.limit(0), ["k"], order="at").count() == 2
+
+
 @pytest.mark.parametrize("direction, price, result", [("UP", 101.0, "CORRECT"), ("DOWN", 101.0, "INCORRECT"), ("NEUTRAL", 100.1, "CORRECT"), ("UP", 100.1, "INCORRECT"), ("DOWN", 99.0, "CORRECT")])
 def test_grading(spark, direction, price, result):
     pending = spark.createDataFrame([("A", direction, 100.0, "PENDING")], "symbol string, predicted_direction string, price_at_prediction double, actual_result string")
