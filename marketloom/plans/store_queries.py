@@ -250,6 +250,16 @@ def series_landed(spark, d):
     return B.series_to_bars(landed)[0].select("symbol", F.col("open_time").cast("timestamp_ntz").alias("open_time"), "close", "volume")
 
 
+@query("metric_landed", "SELECT event_type AS symbol, date_trunc('day', ts) AS time, count(*)::DOUBLE AS value FROM events GROUP BY ALL")
+def metric_landed(spark, d):
+    """Daily counts written as JSON points with epoch seconds, a body for each symbol and month, and read back."""
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    daily = table(spark, d, "events").groupBy(F.col("event_type").alias("symbol"), day.alias("day")).agg(F.count("*").cast("double").alias("v"))
+    point = F.struct(F.unix_seconds("day").alias("t"), "v")
+    landed = daily.groupBy("symbol", F.date_trunc("month", "day").alias("month")).agg(F.to_json(F.collect_list(point)).alias("body"))
+    return B.metric_of_json(landed).select("symbol", F.col("time").cast("timestamp_ntz").alias("time"), "value")
+
+
 @query("instrument_registry")
 def instrument_registry(spark, d):
     return B.instruments(spark)

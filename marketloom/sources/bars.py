@@ -58,6 +58,16 @@ def series_to_bars(landed: DataFrame, body="body") -> tuple[DataFrame, DataFrame
     return valid_bars(bars), failed
 
 
+def metric_of_json(landed: DataFrame, symbol="symbol", body="body") -> DataFrame:
+    """(symbol, time, value) of JSON arrays of {t: epoch seconds, v: number}; points without a time or number go, of repeated times the last in a body stays.
+
+    A null or empty body has no points; times that come again in another body of a symbol keep the greatest value.
+    """
+    rows = landed.select(F.col(symbol).alias("symbol"), F.posexplode(F.from_json(F.col(body), "array<struct<t: long, v: double>>")).alias("seq", "p"))
+    rows = rows.filter("p.t IS NOT NULL AND p.v IS NOT NULL AND NOT isnan(p.v)")
+    return rows.groupBy("symbol", F.timestamp_seconds("p.t").alias("time")).agg(F.max_by("p.v", F.struct("seq", "p.v")).alias("value"))
+
+
 def candles_of_cache(cache: DataFrame) -> DataFrame:
     """Bars of cached candle arrays (symbol, candles)."""
     rows = cache.select("symbol", F.inline("candles"))

@@ -1,4 +1,4 @@
-"""The model report on hand-made scores and on none."""
+"""The model report on hand-made scores and on none; metrics that land as JSON."""
 
 import math
 
@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.operators import reports as P
+from marketloom.sources import bars as B
 
 SCORES = "model string, fold int, row_idx long, y_true int, y_pred int, y_prob double, fwd_ret double"
 
@@ -24,3 +25,9 @@ def test_report_of_hand_made_scores(spark):
     tied = P.model_report(frame.filter("model = 'right'").unionByName(frame.filter("model = 'right'").withColumn("model", F.lit("also")))).collect()
     assert [r["model"] for r in tied if r["best"]] == ["also"]
     assert P.model_report(frame.limit(0)).count() == 0
+
+
+def test_metrics_of_json(spark):
+    bodies = [("A", '[{"t": 60, "v": 1}, {"t": 60, "v": 0.5}, {"t": 120, "v": null}, {"v": 3}, {"t": 180, "v": 2, "more": 1}]'), ("B", "[]"), ("C", None)]
+    got = B.metric_of_json(spark.createDataFrame(bodies, "symbol string, body string")).select("symbol", F.unix_seconds("time"), "value").collect()
+    assert sorted(map(tuple, got)) == [("A", 60, 0.5), ("A", 180, 2.0)]
