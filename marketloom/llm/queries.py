@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_text, license_scan, mixing, packing, simhash, sketch, toxicity, transport_stream, url_filter
+from . import chat_format, html_text, license_scan, merkle, mixing, packing, quality, simhash, sketch, token_alignment, toxicity, transport_stream, url_filter
 from .common import read_table
 
 
@@ -58,13 +58,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, held against rows whose texts were lower-cased where 5 divides the id's checksum."""
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lower = F.translate("text", merkle.UPPER, merkle.UPPER.lower())
+    held = F.when(changed, merkle.leaf_digest(*(lower if c == "text" else F.col(c) for c in merkle.LEAF_COLUMNS)))
+    return merkle.manifest(read_table(spark, sf_dir, "documents"), held)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_transport_stream, op4_toxicity, op5_license_scan, op6_sketch, op7_html_text, op8_mixing, op9_simhash, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_transport_stream, op4_toxicity, op5_license_scan, op6_sketch, op7_html_text, op8_mixing, op9_simhash, op10_packing, op11_merkle, op12_token_alignment, op13_quality, pipeline)}
 
 #: Rows by turn; a turn is escaped where its text or role conflicts with the grammar.
 _OP1_SQL = r"""
