@@ -29,6 +29,8 @@ from .packing import default_tokenizer, encoder
 
 #: Bytes of text in a chunk, if no single text has more; characters that are encoded at once.
 CHUNK_BYTES, AT_ONCE = 16 << 20, 4_000
+#: Distinct words that are given to DuckDB at once; the interval tables of so many stay under about 50 MB.
+WORDS_AT_ONCE = 1 << 16
 #: A single space between two other characters: no token of either kind goes across its left side.
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 #: Any white space; where a plain split at spaces would differ from BOUNDARY; words that may not be joined to others.
@@ -140,7 +142,7 @@ def numbered_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.n
 
 def _table(intervals: tuple, good: np.ndarray) -> pa.Table:
     kept = good[intervals[0]]
-    return pa.table({n: c[kept] for n, c in zip(("word", "id", "lo", "hi"), intervals)})
+    return pa.table({n: c[kept].astype(np.int32) for n, c in zip(("word", "id", "lo", "hi"), intervals)})
 
 
 def _said(word: np.ndarray, ids: np.ndarray, side: np.ndarray, g: np.ndarray) -> list[str]:
@@ -156,18 +158,25 @@ def _said(word: np.ndarray, ids: np.ndarray, side: np.ndarray, g: np.ndarray) ->
 
 
 def align_words(words: list[str], a_path: str, b_path: str) -> tuple:
-    """For each word: valid, n_a, n_b, n_groups, text of its groups; and word, a, b of every link, by word."""
+    """For each word: valid, n_a, n_b, n_groups, text of its groups; and word, a, b of every link, by word. Some words at a time, which bounds the memory."""
+    parts = [_align(words[i : i + WORDS_AT_ONCE], a_path, b_path) for i in range(0, max(1, len(words)), WORDS_AT_ONCE)]
+    shifts = [np.full(len(p[5]), i * WORDS_AT_ONCE) for i, p in enumerate(parts)]
+    good, n_a, n_b, n_groups = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    return good, n_a, n_b, n_groups, [x for p in parts for x in p[4]], np.concatenate([p[5] + s for p, s in zip(parts, shifts)]), *(np.concatenate([p[k] for p in parts]) for k in (6, 7))
+
+
+def _align(words: list[str], a_path: str, b_path: str) -> tuple:
     sides = [byte_side(a_path).intervals(words), piece_side(b_path).intervals(words)]
     n_a, n_b = (np.bincount(s[0], minlength=len(words)) for s in sides)
     good = (n_a > 0) & (n_b > 0)
     with duckdb.connect(config={"threads": 1}) as con:
-        con.register("a_view", _table(sides[0], good))
-        con.register("b_view", _table(sides[1], good))
-        con.execute("CREATE TEMP TABLE a AS FROM a_view; CREATE TEMP TABLE b AS FROM b_view")
+        con.register("a", _table(sides[0], good))
+        con.register("b", _table(sides[1], good))
         links = con.execute(LINKS_SQL).fetchnumpy()
         word, ids, side, g = con.execute(GROUPS_SQL).fetchnumpy().values()
-    n_groups = np.bincount(word[np.append(np.diff(g) != 0, True)[: len(g)]], minlength=len(words))
-    said = dict(zip(word[np.append(np.diff(word) != 0, True)[: len(word)]].tolist(), _said(word, ids, side, g)))
+    n_groups, said = np.bincount(word[np.append(np.diff(g) != 0, True)[: len(g)]], minlength=len(words)), [""] * len(words)
+    for w, text in zip(word[np.append(np.diff(word) != 0, True)[: len(word)]].tolist(), _said(word, ids, side, g)):
+        said[w] = text
     order = np.argsort(links["word"], kind="stable")
     return good, n_a, n_b, n_groups, said, *(np.asarray(links[k])[order].astype(np.int64) for k in ("word", "a", "b"))
 
