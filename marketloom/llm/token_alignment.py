@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from .common import stash
 from .packing import default_tokenizer, encoder
 
 #: Bytes of text in a chunk, if no single text has more; characters that are encoded at once.
-CHUNK_BYTES, AT_ONCE = 16 << 20, 4_000
+CHUNK_BYTES, AT_ONCE = 6 << 20, 4_000
 #: Distinct words that are given to DuckDB at once; the interval tables of so many stay under about 50 MB.
 WORDS_AT_ONCE = 1 << 16
 #: A single space between two other characters: no token of either kind goes across its left side.
@@ -189,6 +190,14 @@ _CHUNK_DDL = (
 )
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype(np.int32).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int32)
+
+
 def _sums(values: np.ndarray, words: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
     """For each document, the sum of its words' values."""
     run = np.concatenate([[0], np.cumsum(values[words])])
@@ -211,7 +220,7 @@ def _chunk_row(chunk: int, ids: list, texts: list, a_path: str, b_path: str) ->
     columns = [_sums(v, words, first, after).tolist() for v in (n_a, n_b, n_groups, np.diff(link_starts))]
     digests = [hashlib.sha256(";".join([said[i] for i in words[f:e].tolist()]).encode()).hexdigest() if e > f else "" for f, e in zip(first, after)]
     docs = [dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "first", "after"), x)) for x in zip(ids, *columns, digests, first.tolist(), after.tolist())]
-    row = {"chunk": chunk, "docs": docs, "words": words.tobytes(), "link_starts": link_starts.astype(np.int32).tobytes(), "links": links.astype(np.int32).tobytes(), "pairs": pairs.tolist(), "times": times.tolist()}
+    row = {"chunk": chunk, "docs": docs, "words": _packed(words), "link_starts": _packed(link_starts), "links": _packed(links), "pairs": pairs.tolist(), "times": times.tolist()}
     return pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in _CHUNK.items()], names=list(_CHUNK))
 
 
@@ -245,7 +254,7 @@ def pair_counts(chunks: DataFrame) -> DataFrame:
 
 def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
     row = {k: left.column(k)[0].as_py() for k in ("docs", "words", "link_starts", "links")}
-    words, starts, links = (np.frombuffer(row[k], np.int32) for k in ("words", "link_starts", "links"))
+    words, starts, links = (_unpacked(row[k]) for k in ("words", "link_starts", "links"))
     size = int(links.max()) + 1 if len(links) else 0
     n, best = np.zeros(size, np.int64), np.zeros(size, np.int64)
     at = right.column("at").to_numpy()
