@@ -21,7 +21,7 @@ PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, ES_PID, PROGRAM, STREAM_TYPE = 0, 0x1000, 0x100, 1, 0x06
 UNIT, TICKS, RAP_EVERY = 16_384, 3_600, 8  # bytes of an access unit, 90 kHz ticks from one to the next, units from one random-access point to the next
 BLOCK = 64
-MEDIA_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+MEDIA_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps array<long>, random_access array<long>, clocks array<long>"
 
 
 @lru_cache(1)
@@ -64,31 +64,35 @@ def _pts_bytes(pts: int) -> bytes:
     return bytes([0x21 | (pts >> 29) & 0x0E]) + ((pts >> 14) & 0xFFFE | 1).to_bytes(2, "big") + ((pts << 1) & 0xFFFE | 1).to_bytes(2, "big")
 
 
+def _clock_bytes(base: int) -> bytes:
+    """A program clock reference of 90 kHz ticks, extension 0."""
+    return (base << 15 | 0x3F << 9).to_bytes(6, "big")
+
+
 def _unit_packets(unit: bytes, pts: int, rap: bool, count: int) -> bytes:
-    """One access unit as transport packets; count is the first continuity counter."""
+    """One access unit as transport packets; count is the first continuity counter. A random-access point carries the clock."""
     pes = b"\x00\x00\x01\xbd" + (len(unit) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _pts_bytes(pts) + unit
-    first = 182 if rap else 184  # a random-access point carries an adaptation field of two bytes
-    rest = max(0, len(pes) - first)
-    n = 1 + -(-rest // 184)
+    head = 8 if rap else 0  # an adaptation field: its length, its flags, the clock
+    n = 1 + -(-max(0, len(pes) - (184 - head)) // 184)
     out = np.full((n, PACKET), 0xFF, np.uint8)
     out[:, 0], out[:, 1], out[:, 2] = SYNC, ES_PID >> 8, ES_PID & 255
     out[0, 1] |= 0x40
     out[:, 3] = 0x10 | (count + np.arange(n)) & 15
     room = np.full(n, 184)
-    room[0] = first
+    room[0] -= head
     if rap:
         out[0, 3] |= 0x20
-        out[0, 4:6] = 1, 0x40
+        out[0, 4:6] = head - 1, 0x50
+        out[0, 6:12] = np.frombuffer(_clock_bytes(pts), np.uint8)
     spare = int(room.sum()) - len(pes)
     if spare:  # stuffing goes into the last packet's adaptation field
+        before = head if n == 1 else 0
         out[-1, 3] |= 0x20
-        length = 184 - int(room[-1]) + spare - 1
-        out[-1, 4] = length
-        if length:
-            out[-1, 5] = 0x40 if rap and n == 1 else 0
+        out[-1, 4] = before + spare - 1
+        if not before and spare > 1:
+            out[-1, 5] = 0
         room[-1] -= spare
-    start = PACKET - room
-    out[np.arange(PACKET) >= start[:, None]] = np.frombuffer(pes, np.uint8)
+    out[np.arange(PACKET) >= (PACKET - room)[:, None]] = np.frombuffer(pes, np.uint8)
     return out.tobytes()
 
 
@@ -117,9 +121,11 @@ def _read_section(payload: bytes) -> bytes:
 def demux(stream: bytes) -> dict:
     """Read a transport stream back: its programs, continuity errors and elementary streams.
 
-    {"programs": {number: {"pmt_pid", "streams": {pid: type}}}, "packets", "continuity_errors",
-    "streams": {pid: [{"pts", "random_access", "data"}]}}. Duplicate packets are dropped; a gap in a
-    PID's counters counts as one error. Raises ValueError on lost sync or a bad table.
+    {"programs": {number: {"pmt_pid", "streams": {pid: type}}}, "packets", "continuity_errors", "length_errors", "clocks",
+    "streams": {pid: [{"pts", "random_access", "data"}]}}. A packet with the counter of the one before is a
+    repeat, and dropped, only if its bytes are the same; any other gap in a PID's counters counts as one error. Whole turns
+    of the counter don't show in it: a unit whose bytes are not as many as its length field says counts as
+    a length error. clocks: the references in order. Raises ValueError on lost sync or a bad table.
     """
     if len(stream) % PACKET:
         raise ValueError("not a whole number of packets")
@@ -132,13 +138,16 @@ def demux(stream: bytes) -> dict:
     begin = np.where(field, 5 + p[:, 4].astype(np.int32), 4)
     begin[(control & 1) == 0] = PACKET
     access = field & (p[:, 4] > 0) & ((p[:, 5] & 0x40) > 0)
-    out: dict = {"programs": {}, "packets": len(p), "continuity_errors": 0, "streams": {}}
+    out: dict = {"programs": {}, "packets": len(p), "continuity_errors": 0, "length_errors": 0, "streams": {}}
+    ticking = np.flatnonzero(field & (p[:, 4] >= 7) & ((p[:, 5] & 0x10) > 0))
+    out["clocks"] = [int.from_bytes(p[i, 6:12].tobytes(), "big") >> 15 for i in ticking]
     keep = {}
     for which in np.unique(pid):
         rows = np.flatnonzero((pid == which) & (begin < PACKET))
         step = (count[rows[1:]] - count[rows[:-1]]) & 15
-        again = np.concatenate([[False], step == 0])
-        out["continuity_errors"] += int(((step != 1) & (step != 0)).sum())
+        again = (step == 0) & (p[rows[1:]] == p[rows[:-1]]).all(axis=1)
+        out["continuity_errors"] += int(((step != 1) & ~again).sum())
+        again = np.concatenate([[False], again])
         keep[int(which)] = rows[~again]
     tables = {PAT_PID: None}
     for i in keep.get(PAT_PID, ()):
@@ -163,6 +172,7 @@ def demux(stream: bytes) -> dict:
                 own = rows[a:b]
                 pes = p[own][np.arange(PACKET) >= begin[own, None]].tobytes()
                 length = int.from_bytes(pes[4:6], "big")
+                out["length_errors"] += bool(length) and len(pes) != 6 + length
                 t, skip, pts = pes[9:14], 9 + pes[8], None
                 if pes[7] & 0x80:
                     pts = (t[0] & 0x0E) << 29 | (t[1] << 8 | t[2] & 0xFE) << 14 | (t[3] << 8 | t[4]) >> 1
@@ -176,7 +186,7 @@ def describe(parsed: dict) -> str:
     units = parsed["streams"].get(ES_PID, [])
     sizes = [len(u["data"]) for u in units]
     return (
-        f"programs={len(parsed['programs'])};packets={parsed['packets']};cc_errors={parsed['continuity_errors']};units={len(units)};"
+        f"programs={len(parsed['programs'])};packets={parsed['packets']};cc_errors={parsed['continuity_errors']};length_errors={parsed['length_errors']};clocks={len(parsed['clocks'])};units={len(units)};"
         f"rap={sum(u['random_access'] for u in units)};pts={units[0]['pts'] if units else ''}-{units[-1]['pts'] if units else ''};unit_max={max(sizes, default=0)}"
     )
 
@@ -190,22 +200,24 @@ def _media_row(text: str | None) -> tuple:
     raw = (text or "").encode()
     media = mux(padded(raw))
     parsed = demux(media)
-    payload = b"".join(u["data"] for u in parsed["streams"][ES_PID])
-    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), describe(parsed)
+    units = parsed["streams"][ES_PID]
+    payload = b"".join(u["data"] for u in units)
+    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), describe(parsed), [u["pts"] for u in units], [u["pts"] for u in units if u["random_access"]], parsed["clocks"]
 
 
 def media_digest(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """Each text as a stored stream, read back: the columns of MEDIA_SCHEMA.
 
-    A null text counts as empty and is stored as one block of zeros; equal texts give equal values;
+    timestamps are those of the access units, random_access those of the units that reading can begin at, clocks
+    the clock references. A null text counts as empty and is stored as one block of zeros; equal texts give equal values;
     repeated rows stay; an empty table gives no rows. No shuffle: each batch of rows stands alone.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_media_row(t) for t in batch.column(1).to_pylist()]
-            columns = list(zip(*found)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            columns = list(zip(*found)) or [()] * 10
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int64())] * 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[f.split()[0] for f in MEDIA_SCHEMA.split(", ")])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, MEDIA_SCHEMA)
