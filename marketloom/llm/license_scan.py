@@ -26,6 +26,15 @@ MIN_COVERAGE, MIN_EXPLAINED = 0.8, 0.8
 WORD = re.compile(r"[^\W_]+")
 #: Words that make another license of one.
 QUALIFIERS = frozenset("noncommercial nc sharealike sa noderivatives noderivs nd lesser library affero clear zero".split())
+#: Those that make another license of one of a family, by the family's names; words that end a license's name.
+FAMILIES = {
+    "cc": frozenset("noncommercial nc sharealike sa noderivatives noderivs nd".split()),
+    "gpl": frozenset("lesser library affero".split()), "lgpl": frozenset(["affero"]), "agpl": frozenset("lesser library".split()),
+    "bsd": frozenset(["clear"]), "mit": frozenset(["zero"]), "isc": frozenset(["zero"]),
+}
+NAME_ENDS = frozenset("license licence international unported".split())
+#: Marks that may stand inside a license's name, between two of its words.
+INSIDE_NAME = re.compile(r"[\s\-_/(,]*\Z")
 
 # License texts, notices and statements.
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
@@ -43,12 +52,21 @@ _APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License
 _APACHE_REST = """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 _GNU_NOTICE = """you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, {}"""
 _GNU_KINDS = (("gpl-2.0", "General Public License", "2"), ("gpl-3.0", "General Public License", "3"), ("lgpl-2.1", "Lesser General Public License", "2.1"), ("lgpl-3.0", "Lesser General Public License", "3"), ("agpl-3.0", "Affero General Public License", "3"))
+_APACHE_BODY = """Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."""
+_MPL_BODY = """Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license: under intellectual property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit its Contributions, either on an unmodified basis, with Modifications, or as part of a Larger Work"""
+_GNU_BODY = """The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public {} intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."""
+_GPL3_BODY = """The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users."""
 _CC_KINDS = (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"))
 
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": _APACHE_NOTICE,
     "apache-2.0-notice-whole": f"{_APACHE_NOTICE} {_APACHE_REST}",
+    "apache-2.0-body": _APACHE_BODY,
+    "mpl-2.0-body": _MPL_BODY,
+    "gpl-2.0-body": _GNU_BODY.format("License is"),
+    "lgpl-2.1-body": _GNU_BODY.format("Licenses are"),
+    "gpl-3.0-body": _GPL3_BODY,
     "mit": "Released under the MIT License.",
     "mit-grant": f"{_MIT_GRANT}, subject to the following conditions",
     "mit-text": f"{_MIT_GRANT}, {_MIT_REST} {_MIT_WARRANTY}",
@@ -169,9 +187,33 @@ class Template:
         """Whether a match can't lack this word of the template."""
         return word.isdigit() or word in QUALIFIERS
 
+    @property
+    def family(self) -> frozenset[str]:
+        """Words that make another license of this one."""
+        return FAMILIES.get(self.name.split("-")[0], frozenset())
 
-def fit(words: list[str], lo: int, hi: int, t: Template, min_coverage: float = MIN_COVERAGE, min_explained: float = MIN_EXPLAINED) -> dict | None:
-    """The template aligned with words[lo:hi]: a finding, if it covers enough, lacks no distinctive word and has no foreign qualifier."""
+    @property
+    def ends_in_name(self) -> bool:
+        return bool(self.words) and (self.words[-1].isdigit() or self.words[-1] in NAME_ENDS)
+
+
+def goes_on(words: list[str], marks: list[str], last: int, rest: tuple[str, ...], family: frozenset[str]) -> bool:
+    """Whether a license's name, aligned up to words[last], goes on with a word of its family: "CC BY 4.0 NC" is no CC BY.
+
+    rest: the template's words behind the last aligned one, which are passed over. marks[i]: what stands between words i and
+    i + 1; the name ends at a full stop or any other mark that no name has inside.
+    """
+    while last + 1 < len(words) and INSIDE_NAME.match(marks[last]):
+        last += 1
+        if words[last] in family:
+            return True
+        if words[last] not in rest:
+            return False
+    return False
+
+
+def fit(words: list[str], lo: int, hi: int, t: Template, min_coverage: float = MIN_COVERAGE, min_explained: float = MIN_EXPLAINED, marks: list[str] | None = None) -> dict | None:
+    """The template aligned with words[lo:hi]: a finding, if it covers enough, lacks no distinctive word and has no word inside, or behind its name, that makes another license of it."""
     pairs = patience_align(words[lo:hi], list(t.words))
     n = len(t.words)
     if len(pairs) < min_coverage * n:
@@ -183,10 +225,9 @@ def fit(words: list[str], lo: int, hi: int, t: Template, min_coverage: float = M
     of_text, of_template = {lo + i for i, _ in pairs}, {j for _, j in pairs}
     if any(j not in of_template and t.distinctive(w) for j, w in enumerate(t.words)):
         return None
-    if any(i not in of_text and words[i] in QUALIFIERS for i in range(first, last + 1)):
+    if any(i not in of_text and words[i] in t.family for i in range(first, last + 1)):
         return None
-    # words that belong to the name but stand just before or behind the stretch: "CC BY 4.0 NC" is no CC BY
-    if any(words[i] in QUALIFIERS for i in (first - 1, last + 1) if 0 <= i < len(words)) and n < 40:
+    if t.ends_in_name and goes_on(words, [" "] * len(words) if marks is None else marks, last, t.words[pairs[-1][1] + 1 :], t.family):
         return None
     return {"license": t.name, "coverage": len(pairs) / n, "first_word": first, "last_word": last, "score": 2 * len(pairs) - n - (span - len(pairs))}
 
@@ -235,11 +276,12 @@ def find_licenses(text: str | None, templates: list[Template], min_coverage: flo
     """
     low, found = (text or "").lower(), []
     hit = [templates[i] for i in sorted({i for _, own in (index or seed_index(templates)).iter(low) for i in own})]
-    words = WORD.findall(low) if hit else []
+    at = list(WORD.finditer(low)) if hit else []
+    words, marks = [m[0] for m in at], [low[m.end() : n.start()] for m, n in zip(at, at[1:])]
     for t in hit:
         seen = set()
         for lo, hi in candidates(words, t, min_coverage, min_explained):
-            f = fit(words, lo, hi, t, min_coverage, min_explained)
+            f = fit(words, lo, hi, t, min_coverage, min_explained, marks)
             if f and (f["first_word"], f["last_word"]) not in seen:
                 seen.add((f["first_word"], f["last_word"]))
                 found.append(f)
