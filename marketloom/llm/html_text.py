@@ -1,8 +1,8 @@
 """Main text of web pages, with subtrees deleted that a site repeats on many of its pages.
 
-Every block element's markup is hashed; Spark counts, for each host, with how many different articles it
-occurs; the elements that recur, and those whose tag, role or class says menu, notice, advert and the like, are
-deleted before the text is read. What holds the article is never deleted. Paragraphs and other text blocks
+Every block element's markup is hashed, menus and adverts included; Spark counts, for each host, with how many
+different articles it occurs; the elements that recur are deleted first. What doesn't recur but whose tag, role or
+class says menu, notice, advert and the like goes after them: on small hosts, or where each page has its own. What holds the article is never deleted. Paragraphs and other text blocks
 inside an article are never deleted for recurring: passages that articles share are text, not template.
 """
 
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, stash
+from .common import BROADCAST_ROWS, small_side, stash
 from .url_filter import url_host
 
 #: A quotation mark quotes only behind an equals sign.
@@ -42,8 +42,13 @@ PARTS = frozenset(
 #: Those that name it also as the first word (ad-slot, comment-list), and whole compounds.
 FIRST = frozenset("ad ads advert sponsored comment comments cookie cookies nav navbar menu sidebar footer breadcrumb breadcrumbs newsletter disqus gdpr popup modal".split())
 WHOLE = frozenset("side-bar related-posts related-articles share-buttons sharing-buttons social-links".split())
-#: Inside an article only these, alone or as the first word, and on no text block.
-INSIDE = frozenset("ad ads advert adverts advertisement adsense adsbygoogle sponsored promo comments comment respond disqus newsletter subscribe signup popup paywall sidebar pagination breadcrumbs".split())
+#: Inside an article only these, alone or as the first word, or a notice's name behind a word of NOTICES, and on no text block but a list.
+INSIDE = frozenset("ad ads advert adverts advertisement adsense adsbygoogle sponsored promo comments comment respond disqus newsletter subscribe signup popup modal overlay paywall sidebar pagination pager breadcrumb breadcrumbs menu nav navbar navigation cookie cookies consent gdpr share sharing toolbar".split())
+INSIDE_ALONE = frozenset("notice notices alert alerts banner social related recommended recommendations widget".split())
+NOTICES = frozenset("site page cookie consent gdpr privacy promo ad top legal service maintenance".split())
+INSIDE_WHOLE = WHOLE | frozenset("related-links related-stories related-content social-share social-media social-buttons recommended-posts recommended-articles".split())
+#: Names, alone, by which a paragraph or list item of an article isn't its text.
+INSIDE_PARAGRAPH = frozenset("ad ads advert adverts advertisement sponsored promo notice notices alert".split())
 #: A first word that makes a class a trait of the page's layout (no-sidebar, with-sidebar).
 LAYOUT = frozenset("no with has without is hide show".split())
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -85,7 +90,10 @@ class Element:
         if not words or len(words) > 1 and words[0] in LAYOUT:
             return False
         if self.in_article:
-            return self.tag not in TEXT_BLOCKS - {"ul", "ol", "table", "figure"} and self.tag != "header" and words[0] in INSIDE
+            if self.tag in ("p", "li") and name in INSIDE_PARAGRAPH:
+                return True
+            named = words[0] in INSIDE or name in INSIDE_ALONE or name in INSIDE_WHOLE or words[0] in NOTICES and words[-1] in INSIDE_ALONE
+            return self.tag not in TEXT_BLOCKS - {"ul", "ol", "table", "figure"} and self.tag != "header" and named
         return words[-1] in PARTS or words[0] in FIRST or name in WHOLE
 
 
@@ -168,29 +176,33 @@ def _close_implied(nodes: list[Element], at: int, tag: str, pos: int) -> int:
 
 
 def subtree_hashes(page: str, nodes: list[Element]) -> dict[int, int]:
-    """The hash of the markup of each element that may be template, by the element's index: nothing that is deleted anyway, holds the article or is a text block of it."""
-    keeps, gone = set(), set()
+    """The hash of the markup of every element that may be template, by the element's index: all but what holds the article and the text blocks of it."""
+    keeps = set()
     for i, e in enumerate(nodes):
-        if e.parent in gone or i and e.dropped():
-            gone.add(i)
-        elif e.tag in ("article", "main", "body", "html", ""):
+        if e.tag in ("article", "main", "body", "html", "") and not (i and e.dropped()):
             k = i
             while k >= 0 and k not in keeps:
                 keeps.add(k)
                 k = nodes[k].parent
-    return {i: xxhash.xxh3_64_intdigest(page[e.start : e.end].encode()) - 2**63 for i, e in enumerate(nodes) if i not in keeps and i not in gone and not (e.in_article and e.tag in TEXT_BLOCKS)}
+    return {i: xxhash.xxh3_64_intdigest(page[e.start : e.end].encode()) - 2**63 for i, e in enumerate(nodes) if i not in keeps and not (e.in_article and e.tag in TEXT_BLOCKS - {"ul", "ol", "table", "figure"})}
 
 
-def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's blocks, each with single spaces, joined by two line feeds; the body's where there is no article or main element."""
+def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset(), nodes: list[Element] | None = None, lists: bool = True) -> str:
+    """The article's blocks, each with single spaces, joined by two line feeds; the body's where there is no article or main element.
+
+    First what is in templates goes, then what tags and classes name, but with lists=False no more than raw elements (scripts, styles).
+    """
     page = page or ""
-    nodes = parse(page)
+    nodes = parse(page) if nodes is None else nodes
     hashes = subtree_hashes(page, nodes) if templates else {}
+
+    def gone(i: int) -> bool:
+        return hashes.get(i) in templates or (nodes[i].dropped() if lists else nodes[i].tag in RAW)
     out: list[str] = []
 
     def usable(i: int) -> bool:
         while i > 0:
-            if nodes[i].dropped() or hashes.get(i) in templates:
+            if gone(i):
                 return False
             i = nodes[i].parent
         return True
@@ -212,7 +224,7 @@ def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset
             elif isinstance(part, str):
                 current.append(part)
                 continue
-            elif nodes[part].dropped() or hashes.get(part) in templates:
+            elif gone(part):
                 pass
             else:
                 stack.append((part, iter(nodes[part].parts)))
@@ -234,7 +246,8 @@ def _page_hashes(page: str | None) -> tuple[int, set[int]]:
     """(hash of the main text, hashes of the subtrees that may be template)."""
     if not page:
         return 0, set()
-    return xxhash.xxh3_64_intdigest(main_text(page).encode()) - 2**63, set(subtree_hashes(page, parse(page)).values())
+    nodes = parse(page)
+    return xxhash.xxh3_64_intdigest(main_text(page, nodes=nodes).encode()) - 2**63, set(subtree_hashes(page, nodes).values())
 
 
 def page_key(page: Column) -> Column:
@@ -277,7 +290,8 @@ def extract_pages(pages: DataFrame, page_id="page_id", url="url", page="html") -
         rows_in = rows_in.withColumn("templates", F.lit(None).cast("array<long>"))
     else:
         keyed = rows_in.withColumn("host", url_host(F.col("url"))).withColumn("key", page_key(F.col("html")))
-        rows_in = keyed.join(small_side(templates, 100_000), ["host", "key"], "left").select("page_id", "url", "html", "templates")
+        held = templates.agg(F.sum(F.size("templates"))).first()[0]  # numbers in all arrays, of 8 bytes each, bound the table
+        rows_in = keyed.join(F.broadcast(templates) if held <= BROADCAST_ROWS else templates, ["host", "key"], "left").select("page_id", "url", "html", "templates")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
