@@ -140,10 +140,14 @@ def entry_windows(rows: DataFrame, as_of: Column, hours: int = 12, stop_percent:
     """The best entry of each symbol in the look-back before as_of: oversold and high volume score, ties to the earliest.
 
     rows need symbol, open_time, close, volume, rsi14. With a profile, its RSI counts instead, and the
-    stop is that of the profile and the symbol's class. Symbols without a bar with an RSI in the window have no row.
+    stop is that of the profile and the symbol's class. Bars after as_of don't count. Symbols have no row without a bar
+    with an RSI in the window, or with fewer bars up to as_of than the RSI's window and 5.
     """
-    rsi = F.col(f"rsi{p.rsi if p else 14}")
-    inside = rows.filter((F.col("open_time") >= as_of - F.expr(f"INTERVAL {hours} HOURS")) & rsi.isNotNull()).withColumn("entry_rsi", rsi)
+    length = p.rsi if p else 14
+    rsi = F.col(f"rsi{length}")
+    known = rows.filter(F.col("open_time") <= as_of)
+    enough = known.groupBy("symbol").agg(F.count(F.lit(1)).alias("__bars")).filter(F.col("__bars") >= length + 5).select("symbol")
+    inside = known.filter((F.col("open_time") >= as_of - F.expr(f"INTERVAL {hours} HOURS")) & rsi.isNotNull()).join(enough, "symbol", "left_semi").withColumn("entry_rsi", rsi)
     means = inside.groupBy("symbol").agg(F.avg(F.coalesce("volume", F.lit(0.0))).alias("mean_volume"), F.min_by("open_time", F.struct("entry_rsi", "open_time")).alias("lowest_rsi_time"), F.min("entry_rsi").alias("lowest_rsi"))
     ratio = F.when(F.col("mean_volume") > 0, F.coalesce("volume", F.lit(0.0)) / F.col("mean_volume")).otherwise(1.0)
     scored = inside.join(means, "symbol").withColumn("volume_ratio", ratio)

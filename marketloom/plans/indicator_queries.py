@@ -306,7 +306,7 @@ def signal_counts(spark, d):
 
 @query(
     "entry_window",
-    f"""WITH RECURSIVE {BARS}, {_STEP}, {_wilder('w', {'g': 'greatest(d, 0)', 'l': 'greatest(-d, 0)'}, 14)}, i AS (SELECT b.*, {_rsi_sql('g', 'l')} AS rsi FROM b JOIN w USING (symbol, idx) WHERE open_time >= {AS_OF_SQL} - INTERVAL 12 HOUR),
+    f"""WITH RECURSIVE {BARS}, {_STEP}, {_wilder('w', {'g': 'greatest(d, 0)', 'l': 'greatest(-d, 0)'}, 14)}, i AS (SELECT b.*, {_rsi_sql('g', 'l')} AS rsi FROM b JOIN w USING (symbol, idx) WHERE open_time BETWEEN {AS_OF_SQL} - INTERVAL 12 HOUR AND {AS_OF_SQL} AND symbol IN (SELECT symbol FROM b WHERE open_time <= {AS_OF_SQL} GROUP BY symbol HAVING count(*) >= 19)),
     j AS (SELECT *, avg(volume) OVER (PARTITION BY symbol) AS mv, min(rsi) OVER (PARTITION BY symbol) AS lowest_rsi FROM i), k AS (SELECT *, CASE WHEN mv > 0 THEN volume / mv ELSE 1 END AS vr FROM j),
     s AS (SELECT *, 0.65 * (100 - rsi) / 100 + 0.35 * least(vr, 3) / 3 AS score FROM k)
     SELECT symbol, open_time, close, {rr('rsi', 'rsi14')}, {rr('vr', 'volume_ratio')}, {rr('close * 0.97', 'stop_loss')}, {rr('lowest_rsi', 'lowest_rsi')}, CASE WHEN score >= 0.6 THEN 'strong' WHEN score >= 0.45 THEN 'moderate' ELSE 'weak' END AS quality

@@ -36,7 +36,7 @@ def snapshot_rows(spark, d):
 
 @query(
     "analysis_payload",
-    f"""WITH RECURSIVE {_LAST}, l AS (SELECT * FROM la {_LATEST}), ei AS (SELECT *, avg(volume) OVER (PARTITION BY symbol) AS mv FROM cf WHERE open_time >= {AS_OF_SQL} - INTERVAL 12 HOUR AND rsi IS NOT NULL),
+    f"""WITH RECURSIVE {_LAST}, l AS (SELECT * FROM la {_LATEST}), ei AS (SELECT *, avg(volume) OVER (PARTITION BY symbol) AS mv FROM cf WHERE open_time BETWEEN {AS_OF_SQL} - INTERVAL 12 HOUR AND {AS_OF_SQL} AND rsi IS NOT NULL AND symbol IN (SELECT symbol FROM cf WHERE open_time <= {AS_OF_SQL} GROUP BY symbol HAVING count(*) >= 19)),
     ej AS (SELECT symbol, open_time AS entry_time, 0.65 * (100 - rsi) / 100 + 0.35 * least(CASE WHEN mv > 0 THEN volume / mv ELSE 1 END, 3) / 3 AS es FROM ei), en AS (SELECT * FROM ej QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(es, 12) DESC, entry_time) = 1)
     SELECT symbol, close AS price, prev AS prev_close, {rr('CASE WHEN base <> 0 THEN (close - base) / base * 100 ELSE 0 END', 'change_24h')}, {rr('rsi', 'rsi')}, 50 AS sma_period, {rr('vola', 'volatility')}, {rr('m', 'middle')}, {rr('CASE WHEN sd > 0 THEN (close - m + 2 * sd) / (4 * sd) WHEN sd = 0 THEN 0.5 END', 'percent_b')},
     {_CALL}, open_time AS last_tick, entry_time, {rr('es', 'entry_score')} FROM l LEFT JOIN en USING (symbol)""",
