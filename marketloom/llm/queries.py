@@ -154,4 +154,51 @@ SELECT page_id, host, path, rule,
 FROM ruled LEFT JOIN judged USING (host)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1_SQL, "op2_url_filter": _OP2_SQL}
+#: A cyclic checksum by bits, over the bytes of the id's digits.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: ascii(d)::UBIGINT)), lambda c, x: list_reduce(list_prepend(xor(c, x), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)), 4294967295::UBIGINT)"
+
+
+def _leaf_sql(text: str) -> str:
+    said = [f"coalesce(CAST(strlen({c}) AS VARCHAR) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)]
+    return f"sha256({' || '.join(said)})"
+
+
+#: All nodes of all trees, level by level; a run's siblings are read off the list of its nodes.
+_OP11_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf_sql('text')} AS leaf,
+    CASE WHEN {_CRC32} % 5 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS held FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), nodes AS (
+  SELECT 0 AS level, tree, place, leaf AS node, n FROM placed
+  UNION ALL
+  SELECT level + 1, tree, place // 16, sha256(string_agg(node, '' ORDER BY place)), (n + 15) // 16 FROM nodes WHERE n > 1 GROUP BY level, tree, place // 16, n
+), subroots AS (
+  SELECT tree, node, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, place, node, n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 16, sha256(string_agg(node, '' ORDER BY place)), (n + 15) // 16 FROM tops WHERE n > 1 GROUP BY level, place // 16, n
+), runs AS (
+  SELECT 0 AS part, level, tree, place // 16 AS run, list(node ORDER BY place) AS members FROM nodes WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT 1, level, '', place // 16, list(node ORDER BY place) FROM tops WHERE n > 1 GROUP BY ALL
+), steps AS (
+  SELECT p.doc_id, p.leaf, p.place, p.tree, r.part, r.level, r.members, (p.place // CAST(power(16, r.level) AS BIGINT)) % 16 AS k
+  FROM placed p JOIN runs r ON r.part = 0 AND r.tree = p.tree AND r.run = p.place // CAST(power(16, r.level + 1) AS BIGINT)
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.place, p.tree, r.part, r.level, r.members, (s.place // CAST(power(16, r.level) AS BIGINT)) % 16
+  FROM placed p JOIN subroots s USING (tree) JOIN runs r ON r.part = 1 AND r.run = s.place // CAST(power(16, r.level + 1) AS BIGINT)
+), sides AS (
+  SELECT *, array_to_string(members[:k], '') AS before, array_to_string(members[k + 2:], '') AS after FROM steps
+), paths AS (
+  SELECT tree, place, sha256(string_agg(before || after, '' ORDER BY part, level)) AS proof, list(before || '|' || after ORDER BY part, level) AS path FROM sides GROUP BY tree, place
+), folded AS (
+  SELECT p.doc_id, p.leaf, s.node AS subroot, (SELECT node FROM tops WHERE n = 1) AS root, coalesce(q.proof, sha256('')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(p.held, p.leaf), coalesce(q.path, [])), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root
+  FROM placed p JOIN subroots s USING (tree) LEFT JOIN paths q ON q.tree = p.tree AND q.place = p.place
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1_SQL, "op2_url_filter": _OP2_SQL, "op11_merkle": _OP11_SQL}
