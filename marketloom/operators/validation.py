@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from marketloom.functions import windows as W
 from marketloom.functions.scalars import norm_cdf, norm_ppf
+from marketloom.operators.ranks import ranked
 from marketloom.sources.bars import by_symbol
 
 # --- splits: a table of ranges, joined by predicate; folds are few, so it is broadcast -----------------------------------
@@ -80,11 +81,11 @@ def standardise(rows: DataFrame, names: list[str], train: Column, by: str = "fol
 
 
 def auc(rows: DataFrame, by=("fold",), key: str = "row_idx") -> DataFrame:
-    """Rank-sum AUC; equal probabilities rank by key."""
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("y_prob", key)))
+    """Rank-sum AUC; equal probabilities rank by key. Ranks are found by ranges: no task has all rows of a group."""
+    placed = ranked(rows.select(*by, "y_true", "y_prob", key), list(by), ["y_prob", key], "__r")
     pos, neg = F.count_if(F.col("y_true") == 1), F.count_if(F.col("y_true") == 0)
     s = F.sum(F.when(F.col("y_true") == 1, F.col("__r")))
-    return ranked.groupBy(*by).agg(F.when((pos > 0) & (neg > 0), (s - pos * (pos + 1) / 2) / F.when((pos > 0) & (neg > 0), pos * neg)).alias("auc"))
+    return placed.groupBy(*by).agg(F.when((pos > 0) & (neg > 0), (s - pos * (pos + 1) / 2) / F.when((pos > 0) & (neg > 0), pos * neg)).alias("auc"))
 
 
 def class_metrics(rows: DataFrame, by=("fold",), cost_bps: float = 0.0, key: str = "row_idx") -> DataFrame:
@@ -92,9 +93,8 @@ def class_metrics(rows: DataFrame, by=("fold",), cost_bps: float = 0.0, key: str
     correct = (F.col("y_pred") == F.col("y_true")).cast("double")
     gross = F.when(F.col("y_pred") == 1, 1.0).otherwise(-1.0) * F.col("fwd_ret")
     net = gross - cost_bps / 10000
-    base = rows.withColumn("__c", correct).withColumn("__g", gross).withColumn("__n", net)
-    conf = Window.partitionBy(*by).orderBy(F.abs(F.col("y_prob") - 0.5).desc(), key)
-    base = base.withColumn("__k", F.row_number().over(conf)).withColumn("__all", F.count("*").over(Window.partitionBy(*by)))
+    base = rows.withColumn("__c", correct).withColumn("__g", gross).withColumn("__n", net).withColumn("__sure", -F.abs(F.col("y_prob") - 0.5))
+    base = ranked(base, list(by), ["__sure", key], "__k").join(rows.groupBy(*by).agg(F.count("*").alias("__all")), list(by))
     top = F.when((F.col("__all") >= 20) & (F.col("__k") <= F.greatest(F.lit(1), F.floor(F.col("__all") / 10))), F.col("__c"))
     sd = F.stddev_pop("__n")
     out = base.groupBy(*by).agg(

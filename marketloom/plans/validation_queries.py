@@ -265,8 +265,29 @@ def vol_expansion(spark, d):
 
 @query("model_walk_forward")
 def model_walk_forward(spark, d):
-    """Metrics by fold of the logistic model and the heuristic on triple-barrier labels."""
-    return M.evaluate(M.dataset(bars(spark, d)), n_splits=3, min_train=800).select("model", "fold", "n", r6("accuracy"), r6("edge"), r6("auc"), r6("brier"))
+    """Metrics by fold of the logistic model, the rules and the baselines on triple-barrier labels."""
+    return M.evaluate(M.dataset(bars(spark, d)), n_splits=3, min_train=800).select("model", "fold", "n", "coverage", r6("accuracy"), r6("edge"), r6("auc"), r6("brier"))
+
+
+@query("boosted_walk_forward")
+def boosted_walk_forward(spark, d):
+    """Metrics by fold of boosted trees of up to 150 rounds that a purged tail of the train rows stops."""
+    rows = M.settled(M.dataset(bars(spark, d)))
+    folds = V.walk_forward(rows.count(), n_splits=2, min_train=800)
+    return V.class_metrics(M.fold_scores(rows, folds, "gbm"), by=("model", "fold"), cost_bps=5.0).select("model", "fold", "n", r6("accuracy"), r6("edge"), r6("auc"), r6("brier"))
+
+
+@query("pooled_evaluation")
+def pooled_evaluation(spark, d):
+    """Metrics by symbol and fold of models that learn from all symbols."""
+    return M.evaluate_pooled(M.dataset(bars(spark, d)), n_splits=2, min_train=150).select("symbol", "fold", "n", "n_train", r6("accuracy"), r6("edge"), r6("auc"))
+
+
+@query("combinatorial_evaluation")
+def combinatorial_evaluation(spark, d):
+    """The edge over the combinatorial splits: mean and 90 % range."""
+    found = M.evaluate_combinatorial(M.dataset(bars(spark, d)), n_groups=5)
+    return found.agg(F.count("*").alias("n_splits"), F.avg("edge").alias("edge"), F.percentile("edge", F.array(F.lit(0.05), F.lit(0.95))).alias("p")).select("n_splits", r6("edge"), r6(F.col("p")[0], "low"), r6(F.col("p")[1], "high"))
 
 
 @query("calibration_choice")
@@ -274,14 +295,20 @@ def calibration_choice(spark, d):
     return M.compare_calibration(scored(spark, d), F.col("fold") < 3)
 
 
+@query("calibrated_report")
+def calibrated_report(spark, d):
+    """Calibrators fitted on a purged stretch behind the train rows, tried on the last rows."""
+    return M.calibrated_report(M.dataset(bars(spark, d))).select("method", "part", r6("brier"), r6("ece"), r6("mce"))
+
+
 @query("regime_models")
 def regime_models(spark, d):
-    return M.regime_models(M.dataset(bars(spark, d)))
+    return M.regime_models(M.dataset(bars(spark, d)), n_splits=2, min_train=800)
 
 
 @query("meta_labelling")
 def meta_labelling(spark, d):
-    return M.meta_labelling(M.dataset(bars(spark, d)))
+    return M.meta_labelling(M.dataset(bars(spark, d)), n_splits=3, min_train=800)
 
 
 @query("top_features")
@@ -291,9 +318,8 @@ def top_features(spark, d):
 
 @query("tuned_parameters")
 def tuned_parameters(spark, d):
-    return M.tune(M.dataset(bars(spark, d)), (0.01, 0.1), n_splits=3, min_train=800)
-
-
+    """The log of 50 trials of a sequential search over purged folds."""
+    return M.tune(M.dataset(bars(spark, d)), n_splits=2, min_train=800)
 
 
 @query("garch_volatility")
