@@ -73,12 +73,17 @@ def due(predictions: DataFrame, as_of: Column, limit: int | None = 200) -> DataF
     return rows if limit is None else rows.orderBy("created_at", "id").limit(limit)
 
 
+def result_of(direction: Column, move: Column) -> Column:
+    """CORRECT or INCORRECT for a move in percent: inside the dead band neutral was right."""
+    right = F.when(F.abs(move) < DEAD_BAND, direction == "NEUTRAL").when(move > 0, direction == "UP").otherwise(direction == "DOWN")
+    return F.when(right, "CORRECT").otherwise("INCORRECT")
+
+
 def grade(pending: DataFrame, prices: DataFrame) -> DataFrame:
     """pending with move_pct and its result against prices(symbol, price): inside the dead band neutral was right."""
     joined = pending.join(prices, "symbol").filter(F.col("price").isNotNull() & (F.col("price_at_prediction") != 0))
     move = (F.col("price") - F.col("price_at_prediction")) / F.col("price_at_prediction") * 100
-    right = F.when(F.abs(move) < DEAD_BAND, F.col("predicted_direction") == "NEUTRAL").when(move > 0, F.col("predicted_direction") == "UP").otherwise(F.col("predicted_direction") == "DOWN")
-    return joined.withColumn("move_pct", move).withColumn("actual_result", F.when(right, "CORRECT").otherwise("INCORRECT")).withColumn("price_at_resolution", F.col("price")).drop("price")
+    return joined.withColumn("move_pct", move).withColumn("actual_result", result_of(F.col("predicted_direction"), move)).withColumn("price_at_resolution", F.col("price")).drop("price")
 
 
 def missing_symbols(registry: DataFrame, present: DataFrame) -> DataFrame:

@@ -119,6 +119,23 @@ def tick_loop(snapshots: BatchLog, predictions: BatchLog, predict: Callable[[Dat
     return run
 
 
+def graded_stream(calls: DataFrame, prices: DataFrame, due: str = "60 minutes", until: str = "120 minutes", late: str = "2 hours") -> DataFrame:
+    """calls(id, symbol, predicted_direction, price_at_prediction, created_at) graded against the first of prices(symbol, time, seq, price) from `due` to `until` after each.
+
+    An interval join of two watermarked streams: its state on either side goes once no partner can come. The earliest
+    match of a call is known, and the call comes out, when the watermark has passed every price that could be
+    one: the result is that of a batch, whatever the order of arrival within `late`. Calls of price 0 and those without a price in time have no row.
+    """
+    c = calls.filter("price_at_prediction <> 0").withWatermark("created_at", late)
+    p = prices.select(F.col("symbol").alias("price_symbol"), F.col("time").alias("price_time"), F.col("seq").alias("price_seq"), "price").withWatermark("price_time", late)
+    near = (F.col("symbol") == F.col("price_symbol")) & (F.col("price_time") >= F.col("created_at") + F.expr(f"INTERVAL {due}")) & (F.col("price_time") < F.col("created_at") + F.expr(f"INTERVAL {until}"))
+    keys = ["id", "symbol", "predicted_direction", "price_at_prediction"]
+    first = c.join(p, near).groupBy(F.window("created_at", "1 hour"), *keys).agg(F.min_by("price", F.struct("price_time", "price_seq")).alias("price_at_resolution"))
+    move = (F.col("price_at_resolution") - F.col("price_at_prediction")) / F.col("price_at_prediction") * 100
+    graded = first.select(*keys, "price_at_resolution", move.alias("move_pct"))
+    return graded.withColumn("actual_result", T.result_of(F.col("predicted_direction"), F.col("move_pct")))
+
+
 def retrain_every(n: int, fit: Callable[[DataFrame], object], keep: int = 500) -> tuple[Callable[[DataFrame, int], None], list]:
     """A foreachBatch function that refits on the last rows after every n new ones, and the list of models, newest last."""
     models: list = []
