@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
-
-#: Seconds (or units of a numeric time) of a part of time.
-PART = 86_400
+from marketloom.sources.bars import PART
 
 
 def asof(bars: DataFrame, points: DataFrame, value: str, key="symbol", time="open_time", point_time="event_time") -> DataFrame:

@@ -2,7 +2,8 @@
 
 A bar's weight in them fades under 1e-17 within about 1,100 bars (the average directional index, two
 such recursions in a row, is the slowest). So a symbol's bars are computed in blocks, each begun HALO bars
-early: a task holds one block, however long the history, and the recursion itself is a matrix product.
+early: a task holds one block, however long the history, and the recursion itself is a matrix product. Blocks are
+dealt by symbol and block, so those of one symbol run on all cores at once.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from marketloom.sources.bars import with_index
+from marketloom.sources.bars import index_by_parts
 
 COLUMNS = ("rsi14", "rsi9", "ema12", "ema26", "macd", "macd_signal", "atr14", "adx14", "ewma_vol")
 #: Bars of a block, and how many bars early its recursions begin.
@@ -102,26 +103,29 @@ def measures(close, high, low, names: Iterable[str] = COLUMNS) -> dict[str, np.n
     return {name: by_name[name]() for name in names}
 
 
-def with_recursive(bars: DataFrame, names: Iterable[str] = COLUMNS, block: int = BLOCK, halo: int = HALO) -> DataFrame:
-    """bars with the named ones of COLUMNS behind; NULL while an indicator warms up. An empty table gives no rows.
-
-    Blocks are told by idx (numbered here if bars have none). A block's group lies with its symbol, so the
-    windows over symbols before and after share one shuffle.
-    """
-    names, kept = tuple(names), bars.columns
-    rows = bars if "idx" in kept else with_index(bars)
+def in_blocks(bars: DataFrame, block: int = BLOCK, halo: int = HALO) -> DataFrame:
+    """bars with __block, the block of their idx (numbered here if bars have none); a block's last `halo` bars come again in the next one."""
+    rows = bars if "idx" in bars.columns else index_by_parts(bars)
     own = F.floor(F.col("idx") / block)
     late = F.when(F.col("idx") % block >= block - halo, own + 1)
-    rows = rows.withColumn("__block", F.explode(F.array_compact(F.array(own, late))))
+    return rows.withColumn("__block", F.explode(F.array_compact(F.array(own, late)))).repartition("symbol", "__block")
+
+
+def with_recursive(bars: DataFrame, names: Iterable[str] = COLUMNS, block: int = BLOCK, halo: int = HALO) -> DataFrame:
+    """bars with the named ones of COLUMNS behind; NULL while an indicator warms up. An empty table gives no rows."""
+    names, kept = tuple(names), bars.columns
     schema = StructType([*bars.schema.fields, *(StructField(c, DoubleType()) for c in names)])
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("open_time", kind="stable")
-        found = measures(*(group[c].to_numpy(float) for c in ("close", "high", "low")), names)
-        group = group.assign(**{c: pd.Series(v, index=group.index).astype(object).where(np.isfinite(v), None) for c, v in found.items()})
-        return group[group["idx"] // block == group["__block"]][[*kept, *names]]
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("idx")
+        found = measures(*(table.column(c).cast(pa.float64()).to_numpy() for c in ("close", "high", "low")), names)
+        own = table.column("idx").to_numpy() // block == table.column("__block")[0].as_py()
+        out = table.select(kept).filter(pa.array(own))
+        for name, values in found.items():
+            out = out.append_column(name, pa.array(values[own], pa.float64(), mask=~np.isfinite(values[own])))
+        return out
 
-    return rows.groupBy("symbol", "__block").applyInPandas(one, schema)
+    return in_blocks(bars, block, halo).groupBy("symbol", "__block").applyInArrow(one, schema)
 
 
 def garch_path(r: np.ndarray, base: float, alpha: float, beta: float) -> np.ndarray:

@@ -104,7 +104,7 @@ def signal(p: Profile, price: Column, sma: Column, rsi: Column, bandwidth: Colum
 
 
 def with_signals(bars: DataFrame, p: Profile = PROFILES["conservative"], vwap_window: int = VWAP_BARS) -> DataFrame:
-    """bars with their indicators and signal: one shuffle on symbol, windows and the recursions share it."""
+    """bars with their indicators and signal: recursions run by block, windows share one shuffle on symbol."""
     rows = with_recursive(with_index(bars), (f"rsi{p.rsi}",))
     for name, column in bollinger(F.col("close"), p.bollinger).items():
         rows = rows.withColumn(f"bb_{name}", column)

@@ -12,10 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str, width: str = "1 hour") -> DataFrame:
-    """Bars of events with idx; the symbol signup has no volume, as spot forex has none."""
+def plain_bars(spark: SparkSession, sf_dir: str, width: str = "1 hour") -> DataFrame:
+    """Bars of events; the symbol signup has no volume, as spot forex has none."""
     rows = valid_bars(ticks_to_bars(table(spark, sf_dir, "events"), width))
-    return with_index(rows.withColumn("volume", F.when(F.col("symbol") == "signup", 0.0).otherwise(F.col("volume"))))
+    return rows.withColumn("volume", F.when(F.col("symbol") == "signup", 0.0).otherwise(F.col("volume")))
+
+
+def bars(spark: SparkSession, sf_dir: str, width: str = "1 hour") -> DataFrame:
+    """plain_bars() with idx."""
+    return with_index(plain_bars(spark, sf_dir, width))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from marketloom.operators import features as X
 from marketloom.operators import joins as J
 from marketloom.operators import recursive as R
 from marketloom.operators import signals as G
-from marketloom.plans.demo import BARS, POINTS, bars, frame, full, points, r6, rr, table
+from marketloom.plans.demo import BARS, POINTS, bars, frame, full, plain_bars, points, r6, rr, table
 from marketloom.plans.demo import W as WSYM
 from marketloom.plans.registry import query
 from marketloom.sources.bars import by_symbol
@@ -228,12 +228,12 @@ def _rsi_sql(g: str, l: str) -> str:
 
 @query("rsi", f"WITH RECURSIVE {BARS}, {_STEP}, {_wilder('w', {'g': 'greatest(d, 0)', 'l': 'greatest(-d, 0)'}, 14)} SELECT x.symbol, x.open_time, {rr(_rsi_sql('g', 'l'), 'rsi14')} FROM x LEFT JOIN w USING (symbol, idx)")
 def rsi(spark, d):
-    return R.with_recursive(bars(spark, d), ("rsi14",)).select(*KEY, r6("rsi14"))
+    return R.with_recursive(plain_bars(spark, d), ("rsi14",)).select(*KEY, r6("rsi14"))
 
 
 @query("atr", f"WITH RECURSIVE {BARS}, {_STEP}, {_wilder('w', {'a': 'tr'}, 14)} SELECT x.symbol, x.open_time, {rr('a', 'atr14')} FROM x LEFT JOIN w USING (symbol, idx)")
 def atr(spark, d):
-    return R.with_recursive(bars(spark, d), ("atr14",)).select(*KEY, r6("atr14"))
+    return R.with_recursive(plain_bars(spark, d), ("atr14",)).select(*KEY, r6("atr14"))
 
 
 _DX = "100 * abs(p - m) / (p + m)"
@@ -246,7 +246,7 @@ _DX = "100 * abs(p - m) / (p + m)"
     SELECT x.symbol, x.open_time, {rr('adx', 'adx14')} FROM x LEFT JOIN a USING (symbol, idx)""",
 )
 def adx(spark, d):
-    return R.with_recursive(bars(spark, d), ("adx14",)).select(*KEY, r6("adx14"))
+    return R.with_recursive(plain_bars(spark, d), ("adx14",)).select(*KEY, r6("adx14"))
 
 
 def _k(span: int) -> str:
@@ -261,7 +261,7 @@ def _k(span: int) -> str:
     SELECT b.symbol, b.open_time, {rr('e12', 'ema12')}, {rr('e26', 'ema26')}, {rr('(e12 - e26 - sig) / close', 'macd_hist_norm')} FROM b JOIN e USING (symbol, idx)""",
 )
 def macd(spark, d):
-    rows = R.with_recursive(bars(spark, d), ("ema12", "ema26", "macd", "macd_signal"))
+    rows = R.with_recursive(plain_bars(spark, d), ("ema12", "ema26", "macd", "macd_signal"))
     return rows.select(*KEY, r6("ema12"), r6("ema26"), r6((F.col("macd") - F.col("macd_signal")) / F.col("close"), "macd_hist_norm"))
 
 
@@ -270,7 +270,7 @@ _EWMA = f"v AS (SELECT symbol, idx::BIGINT AS idx, r0 * r0 AS v FROM x WHERE idx
 
 @query("ewma_vol", f"WITH RECURSIVE {BARS}, {_STEP}, {_EWMA} SELECT x.symbol, x.open_time, {rr('sqrt(v.v)', 'ewma_vol')} FROM x JOIN v USING (symbol, idx)")
 def ewma_vol(spark, d):
-    return R.with_recursive(bars(spark, d), ("ewma_vol",)).select(*KEY, r6("ewma_vol"))
+    return R.with_recursive(plain_bars(spark, d), ("ewma_vol",)).select(*KEY, r6("ewma_vol"))
 
 
 # --- signals --------------------------------------------------------------------------------------------------------------
@@ -313,7 +313,7 @@ def signal_counts(spark, d):
     FROM s QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(score, 12) DESC, open_time) = 1""",
 )
 def entry_window(spark, d):
-    found = G.entry_windows(R.with_recursive(bars(spark, d), ("rsi14",)), as_of(), p=G.PROFILES["conservative"])
+    found = G.entry_windows(R.with_recursive(plain_bars(spark, d), ("rsi14",)), as_of(), p=G.PROFILES["conservative"])
     return found.select(*KEY, "close", r6("entry_rsi", "rsi14"), r6("volume_ratio"), r6("stop_loss"), r6("lowest_rsi"), "quality")
 
 
@@ -451,7 +451,7 @@ def heuristic(spark, d):
     dx AS (SELECT symbol, idx, CASE WHEN t > 0 AND p + m > 0 THEN {_DX} ELSE 0.0 END AS dx FROM w), {_wilder('a', {'adx': 'dx.dx'}, 14, 'dx', 14)}
     SELECT symbol, CASE WHEN adx > 25 THEN 'trending' ELSE 'ranging' END AS regime, count(*) AS n FROM x LEFT JOIN a USING (symbol, idx) GROUP BY ALL""")
 def regime_counts(spark, d):
-    return R.with_recursive(bars(spark, d), ("adx14",)).groupBy("symbol", X.regime(F.col("adx14")).alias("regime")).agg(F.count("*").alias("n"))
+    return R.with_recursive(plain_bars(spark, d), ("adx14",)).groupBy("symbol", X.regime(F.col("adx14")).alias("regime")).agg(F.count("*").alias("n"))
 
 
 @query("meta_target", f"WITH {_LABEL} SELECT symbol, idx, CASE WHEN idx % 3 > 0 THEN CASE WHEN (idx % 3 = 2 AND ret > 0) OR (idx % 3 = 1 AND ret < 0) THEN 1 ELSE 0 END END AS meta FROM lb WHERE labelable")

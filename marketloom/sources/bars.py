@@ -29,6 +29,21 @@ def with_index(bars: DataFrame) -> DataFrame:
     return bars.withColumn("idx", (F.row_number().over(by_symbol()) - 1).cast("long"))
 
 
+#: Seconds (or units of a numeric time) of a part of time.
+PART = 86_400
+
+
+def index_by_parts(bars: DataFrame) -> DataFrame:
+    """with_index() without a task that holds a symbol: the place inside each day of a symbol after the counts of the days before, a row a day."""
+    rows = bars.withColumn("__part", F.floor(F.unix_seconds(F.col("open_time").cast("timestamp")) / PART))
+    before = Window.partitionBy("symbol").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("symbol", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    shifts = counts.select(F.col("symbol").alias("__s"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    inside = F.row_number().over(Window.partitionBy("symbol", "__part").orderBy("open_time")) - 1
+    placed = rows.withColumn("__in", inside).join(shifts, F.col("symbol").eqNullSafe(F.col("__s")) & F.col("__part").eqNullSafe(F.col("__p")))
+    return placed.select(*[c for c in bars.columns if c != "idx"], (F.col("__in") + F.col("__shift")).cast("long").alias("idx"))
+
+
 def ticks_to_bars(ticks: DataFrame, width: str = "1 hour", symbol="event_type", time="ts", price="value") -> DataFrame:
     """Tumbling bars of ticks; volume counts ticks. One shuffle on (symbol, bucket), aggregated before it."""
     bucket = F.window(F.col(time), width)["start"]
