@@ -8,6 +8,7 @@ a Spark job of its own; only parameters and losses, a row a trial, are on the dr
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -121,3 +122,22 @@ def trial_log(spark: SparkSession, trials: list[Trial], space: Space) -> DataFra
     least = min((i for i, t in enumerate(trials) if not math.isnan(t[1])), key=lambda i: (trials[i][1], i), default=-1)
     rows = [(i, float(loss), i == least, *(float(p[n]) if k == "double" else str(p[n]) for n, k in kinds.items())) for i, (p, loss) in enumerate(trials)]
     return spark.createDataFrame(rows, ", ".join(["trial int", "loss double", "best boolean", *(f"{n} {k}" for n, k in kinds.items())])).orderBy(F.col("loss"), "trial")
+
+
+def save_parameters(found: DataFrame, path: str) -> None:
+    """Keep found(pair, and a column for each parameter) as JSON text, a folder a pair; a pair's older parameters go."""
+    text = F.to_json(F.struct(*[c for c in found.columns if c != "pair"]))
+    found.select(text.alias("value"), "pair").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pair").text(path)
+
+
+def load_parameters(spark: SparkSession, path: str, pair: str) -> dict:
+    """The kept parameters of a pair; none where there are none or the text can't be read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return {}
+    row = spark.read.schema("value string, pair string").text(path).filter(F.col("pair") == pair).first()
+    try:
+        kept = json.loads(row["value"]) if row else {}
+    except ValueError:
+        return {}
+    return kept if isinstance(kept, dict) else {}

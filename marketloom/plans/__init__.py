@@ -6,7 +6,7 @@ from marketloom.plans import registry
 
 
 def _load() -> None:
-    from marketloom.plans import indicator_queries, payload_queries, report_queries, store_queries, stream_queries, validation_queries  # noqa: F401
+    from marketloom.plans import hourly_queries, indicator_queries, payload_queries, report_queries, store_queries, stream_queries, validation_queries  # noqa: F401
 
 
 def all_queries() -> dict:

@@ -73,6 +73,25 @@ def series_to_bars(landed: DataFrame, body="body") -> tuple[DataFrame, DataFrame
     return valid_bars(bars), failed
 
 
+def flat_headers(landed: DataFrame, symbol: Column, separator: str = "|") -> DataFrame:
+    """Bars of a table whose headers have two levels, as Open|EURUSD=X: the first level counts, whatever its case.
+
+    The time is Datetime, else Date, text being UTC; a missing Volume column is 0; rows without a close are left out. Of
+    headers that are equal after the second level is gone the first counts; a header that is missing raises ValueError.
+    """
+    first: dict[str, Column] = {}
+    for name in landed.columns:
+        first.setdefault(name.split(separator)[0].strip().lower(), F.col(f"`{name}`"))
+    time = next((first[c] for c in ("datetime", "date") if c in first), None)
+    lacking = [c for c in ("open", "high", "low", "close") if c not in first] + (["datetime"] if time is None else [])
+    if lacking:
+        raise ValueError(f"no column {', '.join(lacking)}")
+    prices = [first[c].cast("double").alias(c) for c in ("open", "high", "low", "close")]
+    volume = first["volume"].cast("double") if "volume" in first else F.lit(0.0)
+    rows = landed.select(symbol.alias("symbol"), time.cast("timestamp").alias("open_time"), *prices, volume.alias("volume"))
+    return rows.filter(F.col("close").isNotNull() & ~F.isnan("close"))
+
+
 def metric_of_json(landed: DataFrame, symbol="symbol", body="body") -> DataFrame:
     """(symbol, time, value) of JSON arrays of {t: epoch seconds, v: number}; points without a time or number go, of repeated times the last in a body stays.
 
