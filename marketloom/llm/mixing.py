@@ -50,8 +50,8 @@ def features(text: str | None, toxic: Toxicity) -> list[float]:
     lines = [x for x in t.split("\n") if x]
     rough = list(filterfalse(str.isalnum, words))
     upper = sum(map(str.isupper, words))
-    ends = sum(not w[-1].isalnum() for w in rough)
-    odd = sum(not w[-2:-1].isalnum() and not w[-2:].isalnum() for w in rough)
+    ends = len(rough) - sum(map(str.isalnum, [w[-1] for w in rough]))
+    odd = len(rough) - sum(map(str.isalnum, [w[-2:-1] for w in rough]))
     same = sum(map(operator.eq, words, words[1:]))
     return [
         math.log1p(n) / 5,

@@ -191,13 +191,14 @@ class Toxicity:
     def matches(self, low: str) -> list[float]:
         _, words, prefixes, table = self.machine()
         counts, heaviest, total = [0] * 5, 0.0, 0.0
-        for clause in CLAUSE.split(low):
+        for clause in filter(self.hit, CLAUSE.split(low)):
             state, kinds, before = table.start, set(), 0.0
             for w in SYMBOL.findall(clause):
                 x, odds = words.get(w, ("O", 0.0))
                 if x == "O":
-                    odds = max((prefixes[w[:k]] for k in PREFIXES if w[:k] in prefixes), default=0.0)
-                    x = "I" if odds else x
+                    found = [prefixes[p] for k in PREFIXES if (p := w[:k]) in prefixes]
+                    if found and (odds := max(found)):
+                        x = "I"
                 state, y, weight = table(state, x)
                 if y[0] in "ITV" or "@" in y:
                     base = PHRASE if y[:2] == "I+" else odds if y[0] == "I" else THREAT if y[0] == "T" else MENTION if y[0] == "V" else (TARGETED - 1) * before
