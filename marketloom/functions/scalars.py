@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 #: Currency codes of forex legs.
 FIAT = "USD EUR GBP JPY CHF AUD NZD CAD SEK NOK DKK PLN CZK HUF TRY ZAR MXN SGD HKD CNH CNY INR BRL".split()
@@ -27,35 +25,67 @@ def asset_class(symbol: Column) -> Column:
     return F.when(is_forex(symbol), "forex").otherwise("crypto")
 
 
+def fixed(x: Column, digits: int = 2) -> Column:
+    """x with so many decimals, rounded by its exact binary value, halves away from zero; format_string would round the shortest decimal that stands for x."""
+    doubled = F.abs(x) * 2.0 ** (digits + 1)
+    half = (doubled < 2.0**52) & (doubled % 2 == 1)
+    exact = F.when(half, x + F.signum(x) * 10.0 ** -(digits + 1)).otherwise(x)
+    return F.call_function("format_number", exact, F.lit("0." + "0" * digits))
+
+
 def format_price(price: Column, symbol: Column) -> Column:
-    """Forex 5 decimals (yen 3), from 1000 grouped with 2, from 1 with 2, below with 6; a dash where there is none."""
-    grouped = F.regexp_replace(F.format_number(price, 2), r"\.?0+$", "")
+    """Forex 5 decimals (yen 3), from 1000 grouped with at most 2, from 1 with 2, below with 6; a dash where there is none."""
+    grouped = F.format_number(F.round(price.cast("decimal(38,12)"), 2), 2)
     return (
         F.when(price.isNull() | F.isnan(price), "—")
-        .when(is_forex(symbol) & F.upper(symbol).contains("JPY"), F.format_string("%.3f", price))
-        .when(is_forex(symbol), F.format_string("%.5f", price))
-        .when(price >= 1000, F.when(F.format_number(price, 2).contains("."), grouped).otherwise(F.format_number(price, 2)))
-        .when(price >= 1, F.format_string("%.2f", price))
-        .otherwise(F.format_string("%.6f", price))
+        .when(is_forex(symbol) & F.upper(symbol).contains("JPY"), fixed(price, 3))
+        .when(is_forex(symbol), fixed(price, 5))
+        .when(price >= 1000, F.regexp_replace(grouped, r"\.?0+$", ""))
+        .when(price >= 1, fixed(price))
+        .otherwise(fixed(price, 6))
     )
 
 
-def format_percent(x: Column) -> Column:
-    return F.when(x.isNull(), "—").otherwise(F.concat(F.when(x >= 0, "+").otherwise(""), F.format_string("%.2f%%", x)))
+def format_percent(x: Column, digits: int = 2) -> Column:
+    """A plus or a true minus sign before any but 0; a dash where there is none."""
+    sign = F.when(x > 0, "+").when(x < 0, "\u2212").otherwise("")
+    return F.when(x.isNull() | F.isnan(x), "—").otherwise(F.concat(sign, fixed(F.abs(x), digits), F.lit("%")))
 
 
 def compact_volume(v: Column) -> Column:
+    """Billions and millions with 2 decimals, thousands with 1, less with 2; n/a for 0, as of instruments without volume."""
     return (
-        F.when(v.isNull(), "—")
-        .when(v >= 1e9, F.format_string("%.2fB", v / 1e9))
-        .when(v >= 1e6, F.format_string("%.2fM", v / 1e6))
-        .when(v >= 1e3, F.format_string("%.2fK", v / 1e3))
-        .otherwise(F.format_string("%.2f", v))
+        F.when(v.isNull() | F.isnan(v), "—")
+        .when(v == 0, "n/a")
+        .when(v >= 1e9, F.concat(fixed(v / 1e9), F.lit("B")))
+        .when(v >= 1e6, F.concat(fixed(v / 1e6), F.lit("M")))
+        .when(v >= 1e3, F.concat(fixed(v / 1e3, 1), F.lit("K")))
+        .otherwise(fixed(v))
     )
 
 
 def rsi_zone(rsi: Column) -> Column:
-    return F.when(rsi.isNull(), "unknown").when(rsi >= 70, "overbought").when(rsi <= 30, "oversold").otherwise("neutral")
+    return (
+        F.when(rsi.isNull() | F.isnan(rsi.cast("double")), "no data")
+        .when(rsi >= 70, "overbought").when(rsi >= 60, "strong").when(rsi > 40, "neutral").when(rsi > 30, "weak").otherwise("oversold")
+    )
+
+
+def time_ago(ts: Column, now: Column) -> Column:
+    """now (under 10 seconds, or in the future), 59s ago, 59m ago, 23h ago, 8d ago; a dash where there is no time."""
+    s = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 1_000_000)
+    text = lambda per, unit: F.concat(F.floor(s / per).cast("string"), F.lit(f"{unit} ago"))
+    return F.when(ts.isNull(), "—").when(s < 10, "now").when(s < 60, text(1, "s")).when(s < 3600, text(60, "m")).when(s < 86_400, text(3600, "h")).otherwise(text(86_400, "d"))
+
+
+def reopen_label(ts: Column) -> Column:
+    """Sun 22:00 UTC, of a time in UTC; NULL where there is none."""
+    return F.concat(F.date_format(ts, "EEE HH:mm"), F.lit(" UTC"))
+
+
+def signal_glyph(signal: Column) -> Column:
+    """A triangle up or down, else a square."""
+    return F.when(signal == "UP", "▲").when(signal == "DOWN", "▼").otherwise("■")
 
 
 def confidence_blocks(confidence: Column) -> Column:
@@ -126,10 +156,19 @@ def norm_ppf(p: Column) -> Column:
     return F.when(p <= 0, F.lit(float("-inf"))).when(p >= 1, F.lit(float("inf"))).when(inner < PPF_TAIL, far).when(inner > 1 - PPF_TAIL, -far).otherwise(near)
 
 
-@F.pandas_udf(DoubleType())
-def norm_cdf(x: pd.Series) -> pd.Series:
-    """The normal distribution; Spark SQL has no error function."""
-    return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))) if v == v else None)
+#: Hart's coefficients of the normal distribution's tail, numerator and denominator, highest power first; his continued fraction beyond CDF_FAR.
+CDF_P = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+CDF_Q = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+CDF_FAR, CDF_LAST = 7.07106781186547, 0.65
+
+
+def norm_cdf(x: Column) -> Column:
+    """The normal distribution to 1e-14, 0 and 1 far out; NULL for NULL and NaN. Spark SQL has no error function."""
+    z = F.when(~F.isnan(x), F.abs(x))
+    near = _horner(CDF_P, z) / _horner(CDF_Q, z)
+    fraction = F.aggregate(F.array(*(F.lit(float(k)) for k in (4, 3, 2, 1))), z + CDF_LAST, lambda acc, k: z + k / acc)
+    tail = F.exp(-z * z / 2) * F.when(z < CDF_FAR, near).otherwise(1 / (fraction * math.sqrt(2 * math.pi)))
+    return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
 def sigmoid(z: Column) -> Column:

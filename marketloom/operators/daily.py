@@ -30,6 +30,10 @@ class DayTable:
         """All rows as they are now; a filter on `day` chooses partitions. (upto, a batch, is ignored: the table keeps no history.)"""
         return self._stored().drop("day")
 
+    def turn(self, batch: int, query: str) -> int:
+        """Batches have no numbers here."""
+        return batch
+
     def days(self) -> list[datetime.date]:
         """The days that have a partition."""
         names = [s.getPath().getName() for s in self._files.listStatus(self._folder)]

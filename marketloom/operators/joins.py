@@ -14,16 +14,17 @@ def asof(bars: DataFrame, points: DataFrame, value: str, key="symbol", time="ope
     """bars with the last value of points(key, point_time, value) at or before each bar; NULL before the first.
 
     Points and bars meet in parts of time (PART), so no task sorts all of a symbol: a running last value inside
-    each part, and before it the last of the parts before, carried over one row a part.
+    each part, and before it the last of the parts before, carried over one row a part. Of several points at
+    one time the greatest value counts.
     """
     t = bars.schema[time].dataType
     part = (lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / PART)) if isinstance(t, (TimestampType, TimestampNTZType)) else (lambda c: F.floor(F.col(c) / PART))
     left = bars.select("*", F.col(time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(points.schema[value].dataType).alias("__v"), part(time).alias("__part"))
     known = points.filter(F.col(value).isNotNull()).select(F.col(key).alias(key), F.col(point_time).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v"), part(point_time).alias("__part"))
-    inside = Window.partitionBy(key, "__part").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(key, "__part").orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(known, allowMissingColumns=True).withColumn("__in", F.last("__v", ignorenulls=True).over(inside)).filter("__side = 1")
     before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = known.groupBy(key, "__part").agg(F.max_by("__v", "__t").alias("__l"))
+    lasts = known.groupBy(key, "__part").agg(F.max_by("__v", F.struct("__t", "__v")).alias("__l"))
     parts = bars.select(key, part(time).alias("__part"), F.lit(None).cast(points.schema[value].dataType).alias("__l")).distinct()
     carried = lasts.unionByName(parts).groupBy(key, "__part").agg(F.max("__l").alias("__l")).select(key, "__part", F.last("__l", ignorenulls=True).over(before).alias("__carried"))
     return both.join(carried, [key, "__part"], "left").withColumn(value, F.coalesce("__in", "__carried")).select(*[c for c in bars.columns if c != value], value)

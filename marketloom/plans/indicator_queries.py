@@ -253,13 +253,12 @@ def _k(span: int) -> str:
     return f"({2 / (span + 1)!r}::DOUBLE)"
 
 
-@query(
-    "macd",
-    f"""WITH RECURSIVE {BARS}, e AS (SELECT symbol, idx::BIGINT AS idx, close AS e12, close AS e26, 0.0::DOUBLE AS sig FROM b WHERE idx = 0
+_MACD = f"""e AS (SELECT symbol, idx::BIGINT AS idx, close AS e12, close AS e26, 0.0::DOUBLE AS sig FROM b WHERE idx = 0
     UNION ALL SELECT e.symbol, e.idx + 1, {_k(12)} * b.close + (1 - {_k(12)}) * e12, {_k(26)} * b.close + (1 - {_k(26)}) * e26,
-      {_k(9)} * (({_k(12)} * b.close + (1 - {_k(12)}) * e12) - ({_k(26)} * b.close + (1 - {_k(26)}) * e26)) + (1 - {_k(9)}) * sig FROM e JOIN b ON b.symbol = e.symbol AND b.idx = e.idx + 1)
-    SELECT b.symbol, b.open_time, {rr('e12', 'ema12')}, {rr('e26', 'ema26')}, {rr('(e12 - e26 - sig) / close', 'macd_hist_norm')} FROM b JOIN e USING (symbol, idx)""",
-)
+      {_k(9)} * (({_k(12)} * b.close + (1 - {_k(12)}) * e12) - ({_k(26)} * b.close + (1 - {_k(26)}) * e26)) + (1 - {_k(9)}) * sig FROM e JOIN b ON b.symbol = e.symbol AND b.idx = e.idx + 1)"""
+
+
+@query("macd", f"WITH RECURSIVE {BARS}, {_MACD} SELECT b.symbol, b.open_time, {rr('e12', 'ema12')}, {rr('e26', 'ema26')}, {rr('(e12 - e26 - sig) / close', 'macd_hist_norm')} FROM b JOIN e USING (symbol, idx)")
 def macd(spark, d):
     rows = R.with_recursive(plain_bars(spark, d), ("ema12", "ema26", "macd", "macd_signal"))
     return rows.select(*KEY, r6("ema12"), r6("ema26"), r6((F.col("macd") - F.col("macd_signal")) / F.col("close"), "macd_hist_norm"))
@@ -334,10 +333,45 @@ def combine_signals(spark, d):
 # --- features and labels ----------------------------------------------------------------------------------------------------
 
 
-@query("feature_matrix")
+_CONTEXT = f"""{_CROSS.replace('FROM a)', 'FROM b)')}, src AS (SELECT c.*, pts.funding AS funding_rate, high * (volume + 1) AS open_interest, high / low AS top_trader_ratio
+  FROM c ASOF LEFT JOIN pts ON c.symbol = pts.symbol AND c.open_time >= pts.event_time)"""
+_NO_CONTEXT = "src AS (SELECT b.*, NULL::DOUBLE AS basket_ret, NULL::DOUBLE AS btc_ret, NULL::DOUBLE AS funding_rate, NULL::DOUBLE AS open_interest, NULL::DOUBLE AS top_trader_ratio FROM b)"
+_FDEN = f"stddev_pop(r0) OVER {frame(60)} * stddev_pop(btc) OVER {frame(60)}"
+
+
+def _has(c: str) -> str:
+    return f"count({c}) OVER (PARTITION BY symbol) > 0"
+
+
+#: FEATURE_NAMES in SQL, over f2 of _FEATURES.
+_FEATURE_SQL = {
+    "rsi_14_c": "rsi14 / 100 - 0.5", "rsi_9_c": "rsi9 / 100 - 0.5", "rsi_slope": f"(rsi14 - lag(rsi14, 3) OVER ({WSYM})) / 100", "log_p_sma20": "ln(close / m20)", "log_p_sma50": "ln(close / m50)",
+    "bb_pctb_c": "CASE WHEN sd > 0 THEN (close - m20 + 2 * sd) / (4 * sd) ELSE 0.5 END - 0.5", "bb_bandwidth": "coalesce(4 * sd / m20, 0)", "log_p_vwap": "ln(close / vw)",
+    **{f"ret_{k}": f"ln(close) - lag(ln(close), {k}) OVER ({WSYM})" for k in (1, 3, 6, 12)},
+    "vol_12": "v12", "vol_ratio": "CASE WHEN v48 > 0 THEN v12 / v48 ELSE 1 END", "atr_norm": "atr / close", "volume_z": _z("volume", 48), "macd_hist_norm": "hist / close",
+    "hour_sin": f"sin({_H} * 2 * pi() / 24)", "hour_cos": f"cos({_H} * 2 * pi() / 24)", "adx_norm": "adx / 100",
+    "rel_strength_basket": f"CASE WHEN {_has('basket_ret')} THEN r0 - coalesce(basket_ret, 0) ELSE 0 END",
+    "corr_to_btc": f"CASE WHEN {_has('btc_ret')} THEN coalesce(CASE WHEN count(*) OVER {frame(60)} = 60 AND {_FDEN} > 1e-12 THEN covar_pop(r0, btc) OVER {frame(60)} / ({_FDEN}) END, 0) ELSE 0 END",
+    "funding_z": _z("funding_rate", 288), "oi_roc_z": f"CASE WHEN {_has('open_interest')} THEN {_z('oi_roc', 48)} ELSE 0 END", "top_trader_z": _z("top_trader_ratio", 48),
+}
+_MOVES = {"t": "tr", "p": "CASE WHEN u > v AND u > 0 THEN u ELSE 0 END", "m": "CASE WHEN v > u AND v > 0 THEN v ELSE 0 END"}
+_FEATURES = f"""{_STEP}, {_wilder('w14', {'g': 'greatest(d, 0)', 'l': 'greatest(-d, 0)', 'atr': 'tr'}, 14)}, {_wilder('w9', {'g9': 'greatest(d, 0)', 'l9': 'greatest(-d, 0)'}, 9)}, {_wilder('w', _MOVES, 14)},
+dx AS (SELECT symbol, idx, CASE WHEN t > 0 AND p + m > 0 THEN {_DX} ELSE 0.0 END AS dx FROM w), {_wilder('a14', {'adx': 'dx.dx'}, 14, 'dx', 14)}, {_MACD},
+f0 AS (SELECT src.*, coalesce({LN}, 0.0::DOUBLE) AS r0, coalesce(btc_ret, 0.0::DOUBLE) AS btc, coalesce(ln(open_interest / CASE WHEN lag(open_interest, 12) OVER ({WSYM}) > 0 THEN lag(open_interest, 12) OVER ({WSYM}) END), 0.0::DOUBLE) AS oi_roc,
+  {full('avg(close)', 'close', 20)} AS m20, {full('avg(close)', 'close', 50)} AS m50, {full('stddev_pop(close)', 'close', 20)} AS sd, {_VWAP48} AS vw FROM src),
+f1 AS (SELECT *, {full('stddev_pop(r0)', 'r0', 12)} AS v12, {full('stddev_pop(r0)', 'r0', 48)} AS v48 FROM f0),
+f2 AS (SELECT f1.*, {_rsi_sql('g', 'l')} AS rsi14, {_rsi_sql('g9', 'l9')} AS rsi9, atr, adx, e12 - e26 - sig AS hist
+  FROM f1 LEFT JOIN w14 USING (symbol, idx) LEFT JOIN w9 USING (symbol, idx) LEFT JOIN a14 USING (symbol, idx) LEFT JOIN e USING (symbol, idx)),
+f3 AS (SELECT symbol, open_time, count(*) OVER (PARTITION BY symbol) AS n_bars, {', '.join(rr(v, k) for k, v in _FEATURE_SQL.items())} FROM f2),
+ft AS (SELECT *, {' AND '.join(f'{k} IS NOT NULL' for k in _FEATURE_SQL)} AS valid FROM f3)"""
+
+
+@query("feature_matrix", f"WITH RECURSIVE {BARS}, {POINTS}, {_CONTEXT}, {_FEATURES} SELECT * EXCLUDE (n_bars) FROM ft")
 def feature_matrix(spark, d):
+    """All 25 features; open interest and the traders' ratio are stand-ins of the bar's volume and range."""
     rows = J.cross_section(bars(spark, d), benchmark="click")
     rows = J.asof(rows, points(spark, d), "funding").withColumnRenamed("funding", "funding_rate")
+    rows = rows.withColumn("open_interest", F.col("high") * (F.col("volume") + 1)).withColumn("top_trader_ratio", F.col("high") / F.col("low"))
     return X.build_features(rows).select(*KEY, *(r6(c) for c in X.FEATURE_NAMES), "valid")
 
 
@@ -351,23 +385,23 @@ def feature_window_columns(spark, d):
     return X.build_features(bars(spark, d)).select(*KEY, *(r6(c) for c in ("log_p_sma20", "log_p_sma50", "bb_pctb_c", "bb_bandwidth", "log_p_vwap")))
 
 
-@query("latest_feature_vector")
+@query("latest_feature_vector", f"WITH RECURSIVE {BARS}, {_NO_CONTEXT}, {_FEATURES} SELECT * EXCLUDE (n_bars) FROM ft WHERE n_bars >= 60 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) = 1")
 def latest_feature_vector(spark, d):
     return X.latest_vector(X.build_features(bars(spark, d))).select(*KEY, *(r6(c) for c in X.FEATURE_NAMES), "valid")
 
 
-@query("technical_columns")
+_STOCHASTIC = f"""{BARS}, f AS (SELECT *, min(low) OVER {frame(14)} AS lo, max(high) OVER {frame(14)} AS hi, sign(coalesce(close - lag(close) OVER ({WSYM}), 0)) * volume AS o, {_TP} * volume AS mf, sign({_TP} - lag({_TP}) OVER ({WSYM})) AS rise FROM b),
+    g AS (SELECT *, {full('sum(CASE WHEN rise > 0 THEN mf ELSE 0 END)', 'close', 14)} AS up, {full('sum(CASE WHEN rise < 0 THEN mf ELSE 0 END)', 'close', 14)} AS dn FROM f)"""
+_STOCH_K = f"CASE WHEN count(*) OVER {frame(14)} = 14 THEN CASE WHEN hi > lo THEN (close - lo) / (hi - lo) * 100 ELSE 50 END END"
+_OBV_MFI = f"{rr(f'sum(o) OVER ({WSYM} ROWS UNBOUNDED PRECEDING)', 'obv')}, {rr('CASE WHEN dn > 0 THEN 100 - 100 / (1 + up / dn) WHEN dn = 0 THEN 100 END', 'mfi')}"
+
+
+@query("technical_columns", f"WITH {_STOCHASTIC}, h AS (SELECT *, {_STOCH_K} AS k FROM g) SELECT symbol, open_time, {rr('k', 'stoch_k')}, {rr(full('avg(k)', 'k', 3), 'stoch_d')}, {_OBV_MFI} FROM h")
 def technical_columns(spark, d):
     return X.technical_columns(bars(spark, d)).select(*KEY, r6("stoch_k"), r6("stoch_d"), r6("obv"), r6("mfi"))
 
 
-@query(
-    "stochastic_obv_mfi",
-    f"""WITH {BARS}, f AS (SELECT *, min(low) OVER {frame(14)} AS lo, max(high) OVER {frame(14)} AS hi, sign(coalesce(close - lag(close) OVER ({WSYM}), 0)) * volume AS o, {_TP} * volume AS mf, sign({_TP} - lag({_TP}) OVER ({WSYM})) AS rise FROM b),
-    g AS (SELECT *, {full('sum(CASE WHEN rise > 0 THEN mf ELSE 0 END)', 'close', 14)} AS up, {full('sum(CASE WHEN rise < 0 THEN mf ELSE 0 END)', 'close', 14)} AS dn FROM f)
-    SELECT symbol, open_time, {rr(f'CASE WHEN count(*) OVER {frame(14)} = 14 THEN CASE WHEN hi > lo THEN (close - lo) / (hi - lo) * 100 ELSE 50 END END', 'stoch_k')},
-    {rr(f'sum(o) OVER ({WSYM} ROWS UNBOUNDED PRECEDING)', 'obv')}, {rr('CASE WHEN dn > 0 THEN 100 - 100 / (1 + up / dn) WHEN dn = 0 THEN 100 END', 'mfi')} FROM g""",
-)
+@query("stochastic_obv_mfi", f"WITH {_STOCHASTIC} SELECT symbol, open_time, {rr(_STOCH_K, 'stoch_k')}, {_OBV_MFI} FROM g")
 def stochastic_obv_mfi(spark, d):
     return X.technical_columns(bars(spark, d)).select(*KEY, r6("stoch_k"), r6("obv"), r6("mfi"))
 

@@ -193,7 +193,7 @@ def forex_pairs(spark, d):
     return rows.select("id", "symbol", S.is_forex(F.col("symbol")).alias("forex"), S.data_symbol(F.col("symbol")).alias("data_symbol"), S.asset_class(F.col("symbol")).alias("asset_class"))
 
 
-@query("labels_of_values", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 100 >= 70 THEN 'overbought' WHEN o_orderkey % 100 <= 30 THEN 'oversold' ELSE 'neutral' END AS zone, CAST(floor((30 + o_orderkey % 60) / 10.0 + 0.5) AS INTEGER) AS blocks FROM orders")
+@query("labels_of_values", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 100 >= 70 THEN 'overbought' WHEN o_orderkey % 100 >= 60 THEN 'strong' WHEN o_orderkey % 100 > 40 THEN 'neutral' WHEN o_orderkey % 100 > 30 THEN 'weak' ELSE 'oversold' END AS zone, CAST(floor((30 + o_orderkey % 60) / 10.0 + 0.5) AS INTEGER) AS blocks FROM orders")
 def labels_of_values(spark, d):
     k = F.col("o_orderkey")
     return table(spark, d, "orders").select(k.alias("id"), S.rsi_zone(k % 100).alias("zone"), S.confidence_blocks(30 + k % 60).alias("blocks"))
@@ -265,10 +265,37 @@ def instrument_registry(spark, d):
     return B.instruments(spark)
 
 
-@query("price_format")
+def _fixed(x: str, digits: int) -> str:
+    """fixed() of scalars: exact binary value, halves away from zero."""
+    return f"printf('%.{digits}f', {x} + CASE WHEN abs({x}) * {2 ** (digits + 1)} % 2 = 1 THEN sign({x}) * {10.0 ** -(digits + 1)!r} ELSE 0 END)"
+
+
+_PRICE = f"""CASE WHEN o_orderkey % 2 = 0 THEN {_fixed('p', 5)} WHEN p >= 1000 THEN regexp_replace(format('{{:,.2f}}', p), '\\.?0+$', '') WHEN p >= 1 THEN {_fixed('p', 2)} ELSE {_fixed('p', 6)} END"""
+_VOLUME = f"""CASE WHEN v = 0 THEN 'n/a' WHEN v >= 1e9 THEN {_fixed('(v / 1e9)', 2)} || 'B' WHEN v >= 1e6 THEN {_fixed('(v / 1e6)', 2)} || 'M' WHEN v >= 1e3 THEN {_fixed('(v / 1e3)', 1)} || 'K' ELSE {_fixed('v', 2)} END"""
+_PERCENT = f"""CASE WHEN c > 0 THEN '+' WHEN c < 0 THEN '\u2212' ELSE '' END || {_fixed('abs(c)', 2)} || '%'"""
+
+
+@query("price_format", f"""WITH v AS (SELECT o_orderkey, o_totalprice::DOUBLE AS p, o_totalprice::DOUBLE * (o_orderkey % 5) * 10 AS v, (o_orderkey % 4001 - 2000)::DOUBLE / 800 AS c FROM orders)
+SELECT o_orderkey, {_PRICE} AS shown, {_VOLUME} AS volume, {_PERCENT} AS percent FROM v""")
 def price_format(spark, d):
-    symbol = F.when(F.col("o_orderkey") % 2 == 0, "EUR/USD").otherwise("BTC/USDT")
-    return table(spark, d, "orders").select("o_orderkey", S.format_price(F.col("o_totalprice").cast("double"), symbol).alias("shown"), S.compact_volume(F.col("o_totalprice").cast("double") * 1000).alias("volume"), S.format_percent(F.col("o_totalprice").cast("double") / 1e5).alias("percent"))
+    """Prices, volumes and changes as text; the changes hold exact halves of the last place."""
+    k, p = F.col("o_orderkey"), F.col("o_totalprice").cast("double")
+    symbol = F.when(k % 2 == 0, "EUR/USD").otherwise("BTC/USDT")
+    return table(spark, d, "orders").select(k, S.format_price(p, symbol).alias("shown"), S.compact_volume(p * (k % 5) * 10).alias("volume"), S.format_percent((k % 4001 - 2000) / 800).alias("percent"))
+
+
+_AGE = "floor(epoch_us(TIMESTAMP '2024-02-01' - ts) / 1e6)::BIGINT"
+
+
+@query("time_labels", f"""WITH a AS (SELECT event_id, ts, event_type, {_AGE} AS s, NOT (dayofweek(ts) = 6 OR (dayofweek(ts) = 0 AND hour(ts) < 22) OR (dayofweek(ts) = 5 AND hour(ts) >= 22)) AS is_open FROM events)
+SELECT event_id, CASE WHEN s < 10 THEN 'now' WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS age, CASE WHEN NOT is_open THEN 'Sun 22:00 UTC' END AS reopens,
+strftime(ts, '%a %H:%M') || ' UTC' AS at, CASE WHEN event_type = 'click' THEN '▲' WHEN event_type = 'view' THEN '▼' ELSE '■' END AS glyph FROM a""")
+def time_labels(spark, d):
+    """Age, reopening of the forex market and direction of every event as a dashboard shows them."""
+    t, kind = F.col("ts"), F.col("event_type")
+    signal = F.when(kind == "click", "UP").when(kind == "view", "DOWN").otherwise("NEUTRAL")
+    now = F.lit("2024-02-01").cast("timestamp_ntz")
+    return table(spark, d, "events").select("event_id", S.time_ago(t, now).alias("age"), S.reopen_label(S.next_forex_open(t)).alias("reopens"), S.reopen_label(t).alias("at"), S.signal_glyph(signal).alias("glyph"))
 
 
 @query("synthetic_walk")

@@ -117,7 +117,32 @@ def expected_max_sharpe(spark, d):
     return g.select(r6(V.expected_max_sharpe(F.col("n"), F.col("sd")), "sr0"), r6("best"))
 
 
-@query("deflated_sharpe")
+def _cdf_sql(x: str) -> str:
+    """norm_cdf() of a column of SQL."""
+    p, q = ("".join(["("] * (len(c) - 1)) + f"{c[0]!r}::DOUBLE" + "".join(f" * abs({x}) + {v!r}::DOUBLE)" for v in c[1:]) for c in (S.CDF_P, S.CDF_Q))
+    fraction = f"abs({x}) + 0.65::DOUBLE"
+    for k in (4, 3, 2, 1):
+        fraction = f"abs({x}) + {k} / ({fraction})"
+    tail = f"exp(-{x} * {x} / 2) * CASE WHEN abs({x}) < {S.CDF_FAR!r} THEN {p} / {q} ELSE 1 / (({fraction}) * sqrt(2 * pi())) END"
+    return f"CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+@query("norm_cdf", f"WITH v AS (SELECT o_orderkey AS id, ((o_orderkey * 7919) % 2001 - 1000)::DOUBLE / 100 AS z FROM orders) SELECT id, {rr(_cdf_sql('z'), 'p', 12)} FROM v")
+def norm_cdf(spark, d):
+    from marketloom.plans.demo import table
+
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(k.alias("id"), r6(S.norm_cdf(((k * 7919) % 2001 - 1000) / 100), "p", 12))
+
+
+_Z = _cdf_sql("z")
+_DEFLATED = f"""{SCORED}, f AS (SELECT fold, avg(fwd_ret) AS mu, stddev_pop(fwd_ret) AS sd, count(*) AS n_obs FROM s GROUP BY fold),
+h AS (SELECT fold, max(mu / sd) AS sr, max(n_obs) AS n_obs, avg(power((fwd_ret - mu) / sd, 3)) AS skew, avg(power((fwd_ret - mu) / sd, 4)) AS kurt FROM s JOIN f USING (fold) GROUP BY fold),
+g AS (SELECT count(*)::DOUBLE AS n, stddev_samp(sr) AS sd FROM h), g0 AS (SELECT sd * ((1 - 0.5772156649015329) * ({_ppf_sql("(1 - 1 / n)")}) + 0.5772156649015329 * ({_ppf_sql("(1 - 1 / (n * exp(1)))")})) AS sr0 FROM g),
+z AS (SELECT fold, (sr - sr0) / sqrt((1 - skew * sr + (kurt - 1) / 4 * sr * sr) / (n_obs - 1)) AS z FROM h, g0)"""
+
+
+@query("deflated_sharpe", f"WITH {_DEFLATED} SELECT fold, {rr(_cdf_sql('z'), 'dsr')} FROM z")
 def deflated_sharpe(spark, d):
     rows = scored(spark, d)
     skew, kurt = V.moments(F.col("fwd_ret"))
@@ -224,7 +249,7 @@ def position_sizes(spark, d):
     return rows.select("row_idx", r6(S.fractional_kelly(F.col("y_prob")), "kelly"), r6(S.vol_target_size(F.col("f"), 0.01), "vol_size"), r6(size, "size"), r6(S.round_trip_cost_bps(size), "cost_bps"), r6(S.net_return(F.col("fwd_ret"), size), "net"))
 
 
-@query("bet_sizes")
+@query("bet_sizes", f"WITH {SCORED}, q AS (SELECT row_idx, greatest(1e-6, least(1 - 1e-6, y_prob)) AS q FROM s), z AS (SELECT row_idx, q, abs((q - 0.5) / sqrt(q * (1 - q))) AS z FROM q) SELECT row_idx, {rr(f'sign(q - 0.5) * (2 * ({_Z}) - 1)', 'size')} FROM z")
 def bet_sizes(spark, d):
     return scored(spark, d).select("row_idx", r6(S.bet_size(F.col("y_prob")), "size"))
 
@@ -242,9 +267,26 @@ def qlike(spark, d):
     return V.har_design(bars(spark, d), 24, 96, 168).groupBy("symbol").agg(r6(V.qlike(F.col("rv_target"), F.col("rv_short")), "qlike"))
 
 
-@query("har_fit")
+#: Least squares by the covariances of each symbol's train rows and Cramer's rule.
+_DET = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))"
+_COV = [[f"c{a}{b}" for b in "sml"] for a in "sml"]
+
+
+def _cramer(k: int) -> str:
+    swapped = [f"c{a}y" if j == k else _COV[i][j] for i, a in enumerate("sml") for j in range(3)]
+    return f"{_DET.format(*swapped)} / {_DET.format(*sum(_COV, []))}"
+
+
+_HAR_FIT = f"""{_R2}, o AS (SELECT symbol, rv AS s, rm AS m, rl AS l, y, row_number() OVER ({W}) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM hd WHERE rv IS NOT NULL AND rm IS NOT NULL AND rl IS NOT NULL AND y IS NOT NULL),
+tr AS (SELECT * FROM o WHERE k <= n - floor(n * 0.2)), te AS (SELECT * FROM o WHERE k > n - floor(n * 0.2)),
+mo AS (SELECT symbol, avg(s) AS us, avg(m) AS um, avg(l) AS ul, avg(y) AS uy, {', '.join(f'covar_pop({a}, {b}) AS c{a}{b}' for a in 'sml' for b in 'smly')} FROM tr GROUP BY symbol),
+be AS (SELECT *, {', '.join(f'{_cramer(k)} AS b{a}' for k, a in enumerate('sml'))} FROM mo), co AS (SELECT symbol, uy - bs * us - bm * um - bl * ul AS b0, bs, bm, bl FROM be),
+fo AS (SELECT co.*, y, greatest(1e-12, b0 + bs * s + bm * m + bl * l) AS f FROM te JOIN co USING (symbol))"""
+
+
+@query("har_fit", f"WITH {_HAR_FIT} SELECT symbol, {rr('b0', 'intercept')}, {rr('bs', 'short')}, {rr('bm', 'medium')}, {rr('bl', 'long')}, {rr('avg(y / f - ln(y / f) - 1) FILTER (y > 0)', 'qlike')} FROM fo GROUP BY symbol, b0, bs, bm, bl")
 def har_fit(spark, d):
-    return M.fit_har(V.har_design(bars(spark, d), 24, 96, 168))
+    return M.fit_har(V.har_design(bars(spark, d), 24, 96, 168)).select("symbol", *(r6(c) for c in ("intercept", "short", "medium", "long", "qlike")))
 
 
 @query(

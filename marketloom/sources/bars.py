@@ -44,12 +44,16 @@ def index_by_parts(bars: DataFrame) -> DataFrame:
     return placed.select(*[c for c in bars.columns if c != "idx"], (F.col("__in") + F.col("__shift")).cast("long").alias("idx"))
 
 
-def ticks_to_bars(ticks: DataFrame, width: str = "1 hour", symbol="event_type", time="ts", price="value") -> DataFrame:
-    """Tumbling bars of ticks; volume counts ticks. One shuffle on (symbol, bucket), aggregated before it."""
+def ticks_to_bars(ticks: DataFrame, width: str = "1 hour", symbol="event_type", time="ts", price="value", order: str | None = None) -> DataFrame:
+    """Tumbling bars of ticks; volume counts ticks. One shuffle on (symbol, bucket), aggregated before it.
+
+    Ticks of one time come in the order of the column `order`, then of their price.
+    """
+    at = F.struct(time, *([order] if order else []), price)
     bucket = F.window(F.col(time), width)["start"]
     grouped = ticks.filter(F.col(price) > 0).groupBy(F.col(symbol).alias("symbol"), bucket.alias("open_time"))
     return grouped.agg(
-        F.min_by(price, time).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, time).alias("close"), F.count("*").cast("double").alias("volume")
+        F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.count("*").cast("double").alias("volume")
     )
 
 

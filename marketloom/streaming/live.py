@@ -26,9 +26,10 @@ def tick_stream(spark: SparkSession, folder: str, files_per_batch: int = 1, only
 
 
 def bar_stream(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Tumbling bars of a tick stream; ticks later than `late` are dropped with their bar's state."""
+    """Tumbling bars of a tick stream; ticks later than `late` are dropped with their bar's state. Ticks of one time come by event_id."""
+    at = F.struct("ts", "event_id")
     grouped = ticks.filter("value > 0").withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), F.col("event_type").alias("symbol"))
-    rows = grouped.agg(F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.count("*").cast("double").alias("volume"))
+    rows = grouped.agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").cast("double").alias("volume"))
     return valid_bars(rows.select("symbol", F.col("w.start").alias("open_time"), "open", "high", "low", "close", "volume"))
 
 
@@ -66,12 +67,24 @@ class BatchLog:
     """Rows by key as a log of batches in one Parquet folder: a batch appends what it changes, the latest batch's row of a key counts.
 
     Nothing is held in memory: a restarted query finds what was written, a batch that comes twice overwrites its own part.
+    A query with a new checkpoint counts its batches from 0 again; turn() places them behind all that the log has.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str]):
         self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
         spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=-1")
 
+    def turn(self, batch: int, query: str) -> int:
+        """The log's number of a query's batch. Where the query's batches begin is written before the first of them, so a repeated batch has the same number."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        folder, begun = hadoop.Path(self.path), hadoop.Path(f"{self.path}/_queries/{query}")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(hadoop.Path(begun, "_SUCCESS")):
+            names = [s.getPath().getName() for s in files.listStatus(folder)]
+            first = 1 + max(int(n[6:]) for n in names if n.startswith("batch="))
+            self.spark.range(first, first + 1).coalesce(1).write.mode("overwrite").parquet(begun.toString())
+        return batch + self.spark.read.parquet(begun.toString()).first()[0]
+
     def read(self, upto: int | None = None) -> DataFrame:
         """The rows after batch upto (all by default), by a maximum that is aggregated before the shuffle."""
         log = self.spark.read.schema(f"{self.schema}, batch long").option("basePath", self.path).parquet(self.path)
@@ -93,7 +106,8 @@ def tick_loop(snapshots: BatchLog, predictions: BatchLog, predict: Callable[[Dat
     """A foreachBatch function over bars: upsert snapshots, grade what is due at the newest time, log new calls. Set-based steps.
 
     predict(latest rows) -> (symbol, predicted_direction, confidence). A batch that comes twice changes nothing,
-    as it starts from the state after the batch before; of bars of one key in a batch any one counts.
+    as it starts from the state after the batch before; of bars of one key in a batch any one counts. A query with a
+    new checkpoint goes on behind what the tables have. Called outside of a stream, the numbers are the caller's.
     """
 
     def run(bars: DataFrame, batch: int) -> None:
@@ -101,8 +115,10 @@ def tick_loop(snapshots: BatchLog, predictions: BatchLog, predict: Callable[[Dat
         try:
             if fresh.isEmpty():
                 return
-            snapshots.write(fresh.select(*snapshots.read().columns).dropDuplicates(snapshots.keys), batch)
-            now = latest(snapshots.read(batch))
+            query = bars.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            at, batch = (snapshots.turn(batch, query), predictions.turn(batch, query)) if query else (batch, batch)
+            snapshots.write(fresh.select(*snapshots.read().columns).dropDuplicates(snapshots.keys), at)
+            now = latest(snapshots.read(at))
             as_of = F.lit(now.agg(F.max("open_time")).first()[0])
             old = predictions.read(batch - 1)
             pending = T.due(old, as_of, limit=None)
