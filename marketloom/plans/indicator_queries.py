@@ -14,6 +14,7 @@ from marketloom.plans.demo import BARS, POINTS, bars, frame, full, plain_bars, p
 from marketloom.plans.demo import W as WSYM
 from marketloom.plans.registry import query
 from marketloom.sources.bars import by_symbol
+from marketloom.streaming.scoring import score_latest
 
 KEY = ("symbol", "open_time")
 LN = "ln(close) - lag(ln(close)) OVER (" + WSYM + ")"
@@ -515,3 +516,29 @@ def candle_cache(spark, d):
 
     rows = candles_of_cache(cache_of_bars(bars(spark, d)))
     return rows.withColumn("open_time", F.col("open_time").cast("timestamp_ntz")).select(*KEY, "open", "high", "low", "close", "volume")
+
+
+# --- live scores: models by rule, so that SQL can share them ----------------------------------------------------------------
+
+#: Coefficients of the two regimes' models, in the features' order.
+_COEF = {"trending": [((7 * i) % 11 - 5) / 10 for i in range(25)], "ranging": [((5 * i) % 13 - 6) / 8 for i in range(25)]}
+_LOGIT = {r: " + ".join(["0.1"] + [f"{c!r}::DOUBLE * ({n} - 0.01) / 0.5" for n, c in zip(X.FEATURE_NAMES, cs)]) for r, cs in _COEF.items()}
+
+
+@query(
+    "live_scores",
+    f"""WITH RECURSIVE {BARS}, {POINTS}, {_CONTEXT}, {_FEATURES}, la AS (SELECT * FROM ft QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) = 1),
+    re AS (SELECT *, CASE WHEN adx_norm * 100 > 25 THEN 'trending' ELSE 'ranging' END AS regime FROM la WHERE valid AND symbol <> 'error'),
+    pr AS (SELECT symbol, open_time, regime, 1 / (1 + exp(-(CASE WHEN regime = 'trending' THEN {_LOGIT['trending']} ELSE {_LOGIT['ranging']} END))) AS p FROM re WHERE NOT (symbol = 'view' AND regime = 'trending'))
+    SELECT symbol, open_time, b.close, regime, {rr('p', 'p_up', 4)}, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS direction, {rr('abs(p - 0.5) * 2', 'confidence', 4)}, abs(p - 0.5) * 2 >= 0.6 AS emitted FROM pr JOIN b USING (symbol, open_time)""",
+)
+def live_scores(spark, d):
+    """Each symbol's last bar by its regime's model; one symbol has no models, one has none for trends."""
+    rows = J.asof(J.cross_section(bars(spark, d), benchmark="click"), points(spark, d), "funding").withColumnRenamed("funding", "funding_rate")
+    rows = rows.withColumn("open_interest", F.col("high") * (F.col("volume") + 1)).withColumn("top_trader_ratio", F.col("high") / F.col("low"))
+    same = lambda v: F.array(*[F.lit(v)] * 25)
+    model = {r: F.struct(F.lit(0.1).alias("intercept"), same(0.01).alias("mean"), same(0.5).alias("scale"), F.array(*map(F.lit, c)).alias("coef")) for r, c in _COEF.items()}
+    both, one = F.create_map(F.lit("trending"), model["trending"], F.lit("ranging"), model["ranging"]), F.create_map(F.lit("ranging"), model["ranging"])
+    models = rows.filter("symbol <> 'error'").select("symbol").distinct().withColumn("models", F.when(F.col("symbol") == "view", one).otherwise(both))
+    found = score_latest(X.build_features(rows), models)
+    return found.select(*KEY, "close", "regime", r6("p_up", digits=4), "direction", r6("confidence", digits=4), "emitted")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marketloom.operators import store as T
+from marketloom.operators.payload import append_json
+from marketloom.operators.ranks import settled
 from marketloom.operators.signals import latest
 from marketloom.sources.bars import valid_bars
 
@@ -98,16 +101,37 @@ class BatchLog:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
 
+#: A line of the steps' log.
+STEPS = "batch long, step string, ok boolean, n long, error string"
 SNAPSHOTS = "symbol string, open_time timestamp, open double, high double, low double, close double, volume double"
 PREDICTIONS = "id string, symbol string, predicted_direction string, confidence int, price_at_prediction double, actual_result string, created_at timestamp, move_pct double, price_at_resolution double"
 
 
-def tick_loop(snapshots: BatchLog, predictions: BatchLog, predict: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function over bars: upsert snapshots, grade what is due at the newest time, log new calls. Set-based steps.
+def _apart(batch: int, log: str | None, spark: SparkSession, steps: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """The rows of each step, computed; with a log, a step that fails is left out and its error is a line of it."""
+    done, lines = {}, []
+    for name, step in steps.items():
+        try:
+            done[name] = settled(step())
+            lines.append((batch, name, True, done[name].count(), None))
+        except Exception as e:
+            if log is None:
+                raise
+            lines.append((batch, name, False, 0, f"{type(e).__name__}: {str(e).strip()[:500]}"))
+    if log:
+        append_json(spark.createDataFrame(lines, STEPS).coalesce(1), log)
+    return done
+
+
+def tick_loop(snapshots: BatchLog, predictions: BatchLog, predict: Callable[[DataFrame], DataFrame], log: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over bars: upsert snapshots, log new calls, grade what is due at the newest time. Set-based steps.
 
     predict(latest rows) -> (symbol, predicted_direction, confidence). A batch that comes twice changes nothing,
     as it starts from the state after the batch before; of bars of one key in a batch any one counts. A query with a
     new checkpoint goes on behind what the tables have. Called outside of a stream, the numbers are the caller's.
+
+    With `log`, a folder of JSON lines (STEPS), calls and grades fail apart: one's error is logged and the other's rows are
+    written; what wasn't graded is still due in the next batch. Bars that cannot be written always fail the batch, so that it comes again.
     """
 
     def run(bars: DataFrame, batch: int) -> None:
@@ -115,20 +139,29 @@ def tick_loop(snapshots: BatchLog, predictions: BatchLog, predict: Callable[[Dat
         try:
             if fresh.isEmpty():
                 return
-            query = bars.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            spark = bars.sparkSession
+            query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
             at, batch = (snapshots.turn(batch, query), predictions.turn(batch, query)) if query else (batch, batch)
             snapshots.write(fresh.select(*snapshots.read().columns).dropDuplicates(snapshots.keys), at)
             now = latest(snapshots.read(at))
             as_of = F.lit(now.agg(F.max("open_time")).first()[0])
             old = predictions.read(batch - 1)
-            pending = T.due(old, as_of, limit=None)
-            graded = T.grade(pending.drop("move_pct", "price_at_resolution"), now.select("symbol", F.col("close").alias("price"))).select(*old.columns)
-            calls = predict(now).join(now.select("symbol", "open_time", "close"), "symbol")
-            new = T.predictions_to_log(calls).select(
-                F.concat_ws("@", "symbol", F.col("open_time").cast("string")).alias("id"), "symbol", "predicted_direction", "confidence", F.col("close").alias("price_at_prediction"),
-                F.lit("PENDING").alias("actual_result"), F.col("open_time").alias("created_at"), F.lit(None).cast("double").alias("move_pct"), F.lit(None).cast("double").alias("price_at_resolution"),
-            )
-            predictions.write(graded.unionByName(new.dropDuplicates(["id"]).join(old.select("id"), "id", "left_anti").select(*old.columns)), batch)
+
+            def new_calls() -> DataFrame:
+                calls = predict(now).join(now.select("symbol", "open_time", "close"), "symbol")
+                new = T.predictions_to_log(calls).select(
+                    F.concat_ws("@", "symbol", F.col("open_time").cast("string")).alias("id"), "symbol", "predicted_direction", "confidence", F.col("close").alias("price_at_prediction"),
+                    F.lit("PENDING").alias("actual_result"), F.col("open_time").alias("created_at"), F.lit(None).cast("double").alias("move_pct"), F.lit(None).cast("double").alias("price_at_resolution"),
+                )
+                return new.dropDuplicates(["id"]).join(old.select("id"), "id", "left_anti").select(*old.columns)
+
+            def grades() -> DataFrame:
+                pending = T.due(old, as_of, limit=None)
+                return T.grade(pending.drop("move_pct", "price_at_resolution"), now.select("symbol", F.col("close").alias("price"))).select(*old.columns)
+
+            done = _apart(batch, log, spark, {"calls": new_calls, "grades": grades})
+            if done:
+                predictions.write(reduce(DataFrame.unionByName, done.values()), batch)
         finally:
             fresh.unpersist()
 
