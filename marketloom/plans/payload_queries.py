@@ -150,7 +150,8 @@ def random_baseline(spark, d):
     return test.groupBy("fold").agg(r6(F.avg((F.col("y_true") == P.class_matched(F.col("row_idx"), F.col("up"))).cast("double")), "accuracy"))
 
 
-@query("toggle_watchlist", "SELECT c_custkey AS id, c_nationkey AS symbol FROM customer WHERE (c_custkey % 3 = 0) <> (c_custkey % 2 = 0)")
+@query("toggle_watchlist", "WITH w AS (SELECT c_custkey AS id, c_nationkey AS symbol FROM customer), k AS (SELECT c_custkey AS id, CAST(c_custkey % 25 AS INTEGER) AS symbol FROM customer) (SELECT * FROM w EXCEPT SELECT * FROM k) UNION ALL (SELECT * FROM k EXCEPT SELECT * FROM w)")
 def toggle_watchlist(spark, d):
+    """Every customer's nation as watched, toggled by another one for each of them."""
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("symbol"))
-    return P.toggle(rows.filter("id % 3 = 0"), rows.filter("id % 2 = 0"))
+    return P.toggle(rows, rows.select("id", (F.col("id") % 25).cast("int").alias("symbol")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
+from marketloom.functions import windows as W
 from marketloom.operators import store as T
 from marketloom.plans.demo import BARS, PREDICTIONS, bars, predictions, r6, rr, table
 from marketloom.plans.registry import query
@@ -72,12 +73,13 @@ def latest_snapshot(spark, d):
     return latest(bars(spark, d)).select("symbol", "open_time", "close", "volume")
 
 
-_OLD_NEW = f"WITH {BARS}, o AS (SELECT symbol, open_time, close FROM b WHERE idx % 2 = 0), n AS (SELECT symbol, open_time, -close AS close FROM b WHERE idx % 3 = 0)"
+#: All bars as the old table, and all bars half a day later as the new rows: most keys are in both.
+_OLD_NEW = f"WITH {BARS}, o AS (SELECT symbol, open_time, close FROM b), n AS (SELECT symbol, open_time + INTERVAL 12 HOUR AS open_time, -close AS close FROM b)"
 
 
 def _old_new(spark, d):
     rows = bars(spark, d)
-    return rows.filter("idx % 2 = 0").select("symbol", "open_time", "close"), rows.filter("idx % 3 = 0").select("symbol", "open_time", (-F.col("close")).alias("close"))
+    return rows.select("symbol", "open_time", "close"), rows.select("symbol", (F.col("open_time") + F.expr("INTERVAL 12 HOURS")).alias("open_time"), (-F.col("close")).alias("close"))
 
 
 @query("upsert_snapshots", f"{_OLD_NEW} SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.symbol = o.symbol AND n.open_time = o.open_time)")
@@ -260,9 +262,16 @@ def metric_landed(spark, d):
     return B.metric_of_json(landed).select("symbol", F.col("time").cast("timestamp_ntz").alias("time"), "value")
 
 
-@query("instrument_registry")
+_LISTED = ", ".join(f"({i}, '{s}', '{k}', '{c}')" for i, (s, k, c) in enumerate([(f"{c}/USDT", "crypto", f"{c}USDT") for c, _ in B.CRYPTO] + [(s, "forex", s) for s in B.FOREX]))
+_N_LISTED = len(B.CRYPTO) + len(B.FOREX)
+
+
+@query("instrument_registry", f"""WITH r(position, symbol, kind, source_symbol) AS (VALUES {_LISTED}), o AS (SELECT o_custkey % {_N_LISTED + 1} AS position, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY 1)
+SELECT r.*, coalesce(n, 0) AS n, last FROM r LEFT JOIN o USING (position)""")
 def instrument_registry(spark, d):
-    return B.instruments(spark)
+    """The registry with the number of orders of each instrument and their last date; orders of a position that isn't listed count nowhere."""
+    dealt = table(spark, d, "orders").groupBy((F.col("o_custkey") % (_N_LISTED + 1)).cast("int").alias("position")).agg(F.count("*").alias("n"), F.max("o_orderdate").alias("last"))
+    return B.instruments(spark).join(dealt, "position", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def _fixed(x: str, digits: int) -> str:
@@ -300,4 +309,7 @@ def time_labels(spark, d):
 
 @query("synthetic_walk")
 def synthetic_walk(spark, d):
-    return B.random_walk(spark, 2000).select("symbol", "open_time", r6("close"))
+    """A random walk as long as all bars together, with their mean price and the spread of their returns."""
+    rows = bars(spark, d).withColumn("r", W.log_return(F.col("close")))
+    n, start, vol = rows.agg(F.count("*"), F.avg("close"), F.stddev_pop("r")).first()
+    return B.random_walk(spark, n, start=start, vol=vol / 10).select("symbol", "open_time", r6("close"))

@@ -201,9 +201,11 @@ def combinatorial_folds(spark, d):
     return V.assign(rows, ranges, "idx").groupBy("fold", "role", "symbol").agg(F.count("*").alias("n"))
 
 
-@query("pooled_train", f"WITH {BARS} SELECT symbol, count(*) AS n FROM b WHERE (symbol = 'view' AND idx < 200) OR symbol <> 'view' GROUP BY symbol")
+@query("pooled_train", f"WITH {BARS}, h AS (SELECT count(*) // 2 AS cut FROM b WHERE symbol = 'view') SELECT symbol, count(*) AS n FROM b, h WHERE symbol <> 'view' OR idx < cut GROUP BY symbol")
 def pooled_train(spark, d):
-    return V.pooled_train(bars(spark, d), "view", 200).groupBy("symbol").agg(F.count("*").alias("n"))
+    """The first half of one symbol's bars, and all of its siblings'."""
+    rows = bars(spark, d)
+    return V.pooled_train(rows, "view", rows.filter("symbol = 'view'").count() // 2).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
 @query("fold_standardise", f"WITH {SCORED}, f AS (SELECT fold, avg(y_prob) FILTER (row_idx % 3 <> 0) AS m, stddev_pop(y_prob) FILTER (row_idx % 3 <> 0) AS sd FROM s GROUP BY fold) SELECT row_idx, fold, {rr('(y_prob - m) / CASE WHEN sd < 1e-12 THEN 1 ELSE sd END', 'z')} FROM s JOIN f USING (fold)")
