@@ -64,6 +64,11 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans: it does so when the driver collects garbage, which a loop of many small shuffles can wait long for."""
+    spark._jvm.System.gc()
+
+
 def settled(make: Callable[[], DataFrame]) -> DataFrame:
     """The stashed result of make(); whatever else was stashed for it is deleted."""
     _open.append([])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import discard, stash, sweep
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -38,6 +38,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         after = stash(_star(_star(now, True), False))
         discard(now)
         now = after
+        sweep(now.sparkSession)
         seen = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if tuple(seen) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, settled, small_side, stash, words_of
+from .common import discard, free_name, settled, small_side, stash, sweep, words_of
 from .graph import components
 from .sketch import shingle_hashes
 
@@ -211,6 +211,7 @@ def _node_pairs(distinct: DataFrame, budget: int) -> DataFrame:
         heavy = heavy.filter(F.bit_count(F.col("child").bitwiseXOR(F.col("t"))) <= budget)
         side = F.when(F.col("own"), (F.col("child") > F.col("t")).cast("int")).otherwise(F.col("side"))
         a, b = F.when(side == 0, F.col("child")).otherwise(F.col("t")), F.when(side == 0, F.col("t")).otherwise(F.col("child"))
+        sweep(heavy.sparkSession)
         rows = stash(heavy.select("block", (F.col("depth") + STEP).alias("depth"), a.alias("a"), b.alias("b"), side.alias("side"), "rot"))
     out = settled[0]
     for more in settled[1:]:
@@ -420,7 +421,10 @@ def _large_group_edges(members: DataFrame, sizes: DataFrame, least: float) -> li
         now = now.join(small_side(chosen.withColumn("chosen", F.lit(True))), "node", "left")
         now = stash(now.select("group", "node", "score", (F.col("was") | F.coalesce("chosen", F.lit(False))).alias("was"), F.coalesce("root", "node").alias("root")))
         largest = stash(now.groupBy("group", "root").count().groupBy("group").agg(F.max_by("root", F.struct("count", "root")).alias("largest")))
-        state = stash(now.join(small_side(largest), "group").select("group", "node", "score", "was", (F.col("root") != F.col("largest")).alias("outside")))
+        before, state = state, stash(now.join(small_side(largest), "group").select("group", "node", "score", "was", (F.col("root") != F.col("largest")).alias("outside")))
+        for done in (before, found, chosen, roots, now, largest):
+            discard(done)
+        sweep(state.sparkSession)
     return edges
 
 
