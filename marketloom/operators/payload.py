@@ -98,9 +98,9 @@ def model_info(artifacts: DataFrame) -> DataFrame:
 
 
 def stats_series(landed: DataFrame, value_key: str, name: str) -> DataFrame:
-    """(symbol, event_time, name) of landed pages (symbol, body): JSON arrays of records with a timestamp in milliseconds and value_key."""
+    """(symbol, event_time, name) of landed pages (symbol, body): JSON arrays of records with a timestamp in milliseconds and value_key; decimals of a timestamp are microseconds."""
     records = landed.select("symbol", F.explode(F.from_json("body", "array<map<string,string>>")).alias("r"))
-    return records.select("symbol", F.timestamp_millis(F.col("r")["timestamp"].cast("double").cast("long")).alias("event_time"), F.col("r")[value_key].cast("double").alias(name)).filter(F.col(name).isNotNull())
+    return records.select("symbol", F.timestamp_micros((F.col("r")["timestamp"].cast("decimal(20,3)") * 1000).cast("long")).alias("event_time"), F.col("r")[value_key].cast("double").alias(name)).filter(F.col(name).isNotNull())
 
 
 def with_context(bars: DataFrame, series: dict[str, DataFrame | None]) -> DataFrame:

@@ -88,7 +88,8 @@ def model_info(spark, d):
 @query("derivative_context", f"WITH {BARS}, {POINTS} SELECT b.symbol, b.open_time, {rr('pts.funding', 'open_interest')}, CAST(NULL AS DOUBLE) AS top_trader_ratio FROM b ASOF LEFT JOIN pts ON b.symbol = pts.symbol AND b.open_time >= pts.event_time")
 def derivative_context(spark, d):
     """Points landed as one JSON page a symbol and day, read back and aligned to the bars beside a series that could not be had."""
-    record = F.struct(F.unix_millis(F.col("event_time").cast("timestamp")).alias("timestamp"), F.col("funding").cast("string").alias("sumOpenInterest"))
+    ms = (F.unix_micros(F.col("event_time").cast("timestamp")).cast("decimal(20,0)") * F.lit("0.001").cast("decimal(4,3)")).cast("decimal(20,3)")  # with the microseconds as decimals
+    record = F.struct(ms.alias("timestamp"), F.col("funding").cast("string").alias("sumOpenInterest"))
     pages = points(spark, d).groupBy("symbol", F.to_date("event_time").alias("day")).agg(F.to_json(F.collect_list(record)).alias("body"))
     series = P.stats_series(pages, "sumOpenInterest", "open_interest").withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
     return P.with_context(bars(spark, d), {"open_interest": series, "top_trader_ratio": None}).select("symbol", "open_time", r6("open_interest"), "top_trader_ratio")

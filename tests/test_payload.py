@@ -73,3 +73,27 @@ def test_logs_are_appended(spark, tmp_path):
 def test_class_matched_coin(spark):
     got = spark.range(20_000).agg(F.avg(P.class_matched(F.col("id"), F.lit(0.3)))).first()[0]
     assert abs(got - 0.3) < 0.02
+
+
+def test_series_of_pages_keep_microseconds(spark):
+    pages = spark.createDataFrame([("A", '[{"timestamp": 3600000.4, "v": "1"}, {"timestamp": 3599999.002, "v": "3"}, {"timestamp": 3599999.001, "v": "5"}, {"timestamp": 1.0E3, "v": "7"}]')], "symbol string, body string")
+    series = P.stats_series(pages, "v", "v")
+    assert sorted((us, v) for us, v in series.select(F.unix_micros("event_time"), "v").collect()) == [(1_000_000, 7.0), (3_599_999_001, 5.0), (3_599_999_002, 3.0), (3_600_000_400, 1.0)]
+    bar = spark.createDataFrame([("A", 3600)], "symbol string, s long").select("symbol", F.timestamp_seconds("s").alias("open_time"))
+    assert P.with_context(bar, {"v": series}).first().v == 3.0
+
+
+def test_derivative_context_of_crowded_points(spark, tmp_path):
+    """Points of one millisecond, and one inside the millisecond that a bar begins with."""
+    duckdb = pytest.importorskip("duckdb")
+    from marketloom.plans import all_oracles, all_queries
+
+    at = ["09:30:00", "09:59:59.999001", "09:59:59.999002", "10:00:00.0004", "10:30:00"]
+    rows = [(i, f"2024-01-01 {t}", "view", v) for i, (t, v) in enumerate(zip(at, (5.0, 9.0, 3.0, 8.0, 4.0)))]
+    made = spark.createDataFrame(rows, "event_id long, t string, event_type string, value double").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    made.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = all_queries()["derivative_context"](spark, str(tmp_path)).orderBy("open_time").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert [tuple(r) for r in got] == con.execute(all_oracles()["derivative_context"] + " ORDER BY 2").fetchall()
+    assert [r.open_interest for r in got] == [None, 0.003]
