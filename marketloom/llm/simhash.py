@@ -13,7 +13,6 @@ finds more near copies at the same budget, where a larger budget would make the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -389,8 +388,8 @@ def _compare(members: DataFrame, pivots: DataFrame, sizes: DataFrame, least: flo
     return both.applyInArrow(lambda a, b: _against(a, b, least), FOUND)
 
 
-def _large_group_edges(members: DataFrame, sizes: DataFrame, least: float) -> list[DataFrame]:
-    """Edges (u, v), stashed, whose components are those of all links in groups of more than LOT members(MEMBER, stashed).
+def _large_group_edges(members: DataFrame, sizes: DataFrame, least: float) -> DataFrame | None:
+    """Edges (u, v), stashed, or None, whose components are those of all links in groups of more than LOT members(MEMBER, stashed).
 
     In rounds: pivots are compared with all members of their group, in lots. They are a share of the
     members by hash that doubles with each round, and some that share most with the pivots before, such as a text
@@ -400,7 +399,7 @@ def _large_group_edges(members: DataFrame, sizes: DataFrame, least: float) -> li
     noise = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     shares = [1 - 2.0**-k for k in range(31)]
     state = stash(members.select("group", "node", F.lit(0.0).alias("score"), F.lit(False).alias("was"), F.lit(True).alias("outside")))
-    edges: list[DataFrame] = []
+    edges = None  # each node that has links so far with the least that it reaches
     for turn in range(64):
         waiting = state.filter("outside AND NOT was")
         at = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / HUBS))).cast("int")
@@ -414,16 +413,18 @@ def _large_group_edges(members: DataFrame, sizes: DataFrame, least: float) -> li
         pivots = stash(members.join(small_side(chosen), "node", "left_semi"))
         found = stash(_compare(members, pivots, sizes, least))
         discard(pivots)
-        edges.append(stash(found.filter("pivot IS NOT NULL AND pivot <> node").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()))
-        roots = stash(components(reduce(DataFrame.unionByName, edges)))
+        new = found.filter("pivot IS NOT NULL AND pivot <> node").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+        roots = stash(components(new if edges is None else new.unionByName(edges)))
         scores = found.groupBy("node").agg((F.max("score") + F.max(noise) * 1e-6).alias("score"))
         now = state.select("group", "node", "was").join(scores, "node").join(small_side(roots), "node", "left")
         now = now.join(small_side(chosen.withColumn("chosen", F.lit(True))), "node", "left")
         now = stash(now.select("group", "node", "score", (F.col("was") | F.coalesce("chosen", F.lit(False))).alias("was"), F.coalesce("root", "node").alias("root")))
         largest = stash(now.groupBy("group", "root").count().groupBy("group").agg(F.max_by("root", F.struct("count", "root")).alias("largest")))
         before, state = state, stash(now.join(small_side(largest), "group").select("group", "node", "score", "was", (F.col("root") != F.col("largest")).alias("outside")))
-        for done in (before, found, chosen, roots, now, largest):
+        for done in (before, found, chosen, now, largest, edges):
             discard(done)
+        edges = roots.withColumnsRenamed({"node": "u", "root": "v"})
+        edges._stash_path = roots._stash_path
         sweep(state.sparkSession)
     return edges
 
@@ -436,8 +437,8 @@ def checked_links(members: DataFrame, least: float) -> DataFrame:
     edges = small.groupBy("group").applyInArrow(lambda t: _group_edges(t, least), "u long, v long")
     if not large.isEmpty():
         large = stash(large)
-        for more in _large_group_edges(stash(members.join(small_side(large), "group", "left_semi")), large, least):
-            edges = edges.unionByName(more)
+        more = _large_group_edges(stash(members.join(small_side(large), "group", "left_semi")), large, least)
+        edges = edges if more is None else edges.unionByName(more)
     return components(edges)
 
 

@@ -390,3 +390,21 @@ def test_pipeline_stage_by_stage(spark, small_dir):
     packed = corpus_pipeline.packing(spark, mixed, small_dir).collect()
     check_packing([(r["doc_id"], r["text"]) for r in mixed.collect()], packed)
     assert len(packed) == corpus_pipeline.run(spark, small_dir).count()
+
+
+def test_components_of_what_one_forest_holds_take_no_round(spark, monkeypatch):
+    """Edges of one task are stars at once; those of several tasks, with repeats and long ways, come out as by one pass over all."""
+    stars, rng = [], np.random.default_rng(3)
+    monkeypatch.setattr(graph, "_star", lambda *a, own=graph._star: stars.append(1) or own(*a))
+    path = spark.createDataFrame([(i, (i + 7) % 3000) for i in (np.arange(2999) * 7 % 3000).tolist()], "u long, v long").coalesce(1)
+    assert {r["root"] for r in graph.components(path).collect()} == {0} and not stars
+    pairs = [tuple(p) for p in rng.integers(0, 900, (700, 2)).tolist()] * 2
+    least = list(range(900))
+    for _ in range(900):
+        before = list(least)
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(pairs, "u long, v long").repartition(30)).collect()}
+    assert got == {n: least[n] for n in {x for p in pairs if p[0] != p[1] for x in p}}
