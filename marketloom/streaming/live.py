@@ -19,6 +19,8 @@ from marketloom.sources.bars import valid_bars
 
 TICKS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 INDICATORS = "symbol string, time timestamp, close double, rsi14 double, ema12 double, ewma_vol double"
+#: Rows of a symbol that are put out at a time.
+CHUNK = 20_000
 STATE = "n long, last double, gain double, loss double, ema double, variance double"
 
 
@@ -40,27 +42,36 @@ def stateful_indicators(ticks: DataFrame, rsi: int = 14, ema: int = 12, vol: int
     """RSI, EMA and EWMA volatility of each symbol's values, carried from batch to batch: the batch recursions, one step at a time.
 
     Ticks of a micro-batch are ordered by time; those of an earlier time that come in a later batch follow
-    in order of arrival. Half a dozen numbers are kept for each symbol, however long it runs.
+    in order of arrival. Half a dozen numbers are kept for each symbol, however long it runs. Of a micro-batch a task
+    holds two numbers a tick of one symbol and their order; rows come out CHUNK at a time.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, last, gain, loss, mean, var = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0)
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        out = []
-        for t, c in zip(rows["ts"], rows["value"].astype(float)):
-            move, r = (c - last, np.log(c / last)) if n else (0.0, 0.0)
-            up, down = max(move, 0.0), max(-move, 0.0)
-            if n <= rsi:  # sums until the seed is complete
-                gain, loss = gain + up / rsi, loss + down / rsi
-            else:
-                gain, loss = (gain * (rsi - 1) + up) / rsi, (loss * (rsi - 1) + down) / rsi
-            k, kv = 2 / (ema + 1), 2 / (vol + 1)
-            mean, var = (k * c + (1 - k) * mean, kv * r * r + (1 - kv) * var) if n else (c, 0.0)
-            value = None if n < rsi else 100.0 if loss == 0 else 0.0 if gain == 0 else 100 - 100 / (1 + gain / loss)
-            out.append((key[0], t, c, value, mean, float(np.sqrt(var))))
-            n, last = n + 1, c
+        parts = [(f["ts"].to_numpy("datetime64[ns]"), f["value"].to_numpy(float)) for f in frames]
+        times, values = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.argsort(times, kind="stable")
+        for lo in range(0, len(order), CHUNK):
+            at = order[lo : lo + CHUNK]
+            out = []
+            for c in values[at].tolist():
+                move, r = (c - last, float(np.log(c / last))) if n else (0.0, 0.0)
+                up, down = max(move, 0.0), max(-move, 0.0)
+                if n <= rsi:  # sums until the seed is complete
+                    gain, loss = gain + up / rsi, loss + down / rsi
+                else:
+                    gain, loss = (gain * (rsi - 1) + up) / rsi, (loss * (rsi - 1) + down) / rsi
+                k, kv = 2 / (ema + 1), 2 / (vol + 1)
+                mean, var = (k * c + (1 - k) * mean, kv * r * r + (1 - kv) * var) if n else (c, 0.0)
+                value = None if n < rsi else 100.0 if loss == 0 else 0.0 if gain == 0 else 100 - 100 / (1 + gain / loss)
+                out.append((c, value, mean, float(np.sqrt(var))))
+                n, last = n + 1, c
+            made = pd.DataFrame(out, columns=["close", "rsi14", "ema12", "ewma_vol"])
+            made.insert(0, "time", times[at])
+            made.insert(0, "symbol", key[0])
+            yield made
         state.update((n, last, gain, loss, mean, var))
-        yield pd.DataFrame(out, columns=["symbol", "time", "close", "rsi14", "ema12", "ewma_vol"])
 
     keyed = ticks.filter("value > 0").select(F.col("event_type").alias("symbol"), "ts", "value").groupBy("symbol")
     return keyed.applyInPandasWithState(step, INDICATORS, STATE, "append", GroupStateTimeout.NoTimeout)

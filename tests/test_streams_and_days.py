@@ -4,6 +4,7 @@ import datetime
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,30 @@ def test_result_of_a_move(spark, move, direction, want):
     from marketloom.operators.store import result_of
 
     assert spark.range(1).select(result_of(F.lit(direction), F.lit(move))).first()[0] == want
+
+
+def test_indicators_of_a_batch_come_out_in_chunks(spark, monkeypatch):
+    """A symbol's micro-batch is never one frame, and its chunks are the rows of one pass."""
+    ticks_ = spark.createDataFrame([], live.TICKS)
+    monkeypatch.setattr(type(ticks_.groupBy()), "applyInPandasWithState", lambda self, step, *rest: step)
+    step = live.stateful_indicators(ticks_)
+    times, values = pd.date_range(T0, periods=45_000, freq="s"), np.random.default_rng(5).uniform(50, 60, 45_000)
+    order = np.random.default_rng(6).permutation(45_000)
+    frames = [pd.DataFrame({"ts": times[order[a : a + 10_000]], "value": values[order[a : a + 10_000]]}) for a in range(0, 45_000, 10_000)]
+
+    class State:
+        exists, get, kept = False, None, None
+
+        def update(self, new):
+            self.kept = new
+
+    state = State()
+    out = list(step(("A",), iter(frames), state))
+    assert max(map(len, out)) <= 20_000 and sum(map(len, out)) == 45_000 and state.kept[0] == 45_000
+    rows = pd.concat(out)
+    assert (rows["time"].to_numpy() == times.to_numpy()).all() and (rows["close"].to_numpy() == values).all() and rows["rsi14"].isna().sum() == 14
+    up, down = np.maximum(np.diff(values), 0), np.maximum(-np.diff(values), 0)
+    gain, loss = up[:14].mean(), down[:14].mean()
+    for u, d in zip(up[14:], down[14:]):
+        gain, loss = (gain * 13 + u) / 14, (loss * 13 + d) / 14
+    assert abs(rows["rsi14"].iloc[-1] - (100 - 100 / (1 + gain / loss))) < 1e-9
