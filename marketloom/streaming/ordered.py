@@ -1,7 +1,8 @@
 """Keyed state in event-time order: rows that come out of order are held back until the watermark has passed them.
 
-State is Spark's, in RocksDB: a restarted query goes on where it was. Each key has a list of held rows and one
-state of its own; a timer on event time wakes it when the watermark reaches its earliest held row.
+State is Spark's, in RocksDB: a restarted query goes on where it was. Keys are dealt over BUCKETS groups. A group has a
+list of held rows, many to an element, and one state with a line a key; a timer on event time wakes it when the watermark
+reaches its earliest held row. So what a micro-batch costs beside its rows is that of the groups, not of the keys.
 """
 
 from __future__ import annotations
@@ -14,100 +15,118 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: What is held of a row: microseconds, points (0) before ticks (1) of one time, the order of equal ones, the value.
-HELD = "us long, side int, seq long, value double"
-ASOF = "key string, seq long, time timestamp, value double, last double"
-INDICATORS = "key string, seq long, time timestamp, close double, rsi14 double, ema12 double, ewma_vol double"
+#: Groups that keys are dealt over; a checkpoint is good for one number of them.
+BUCKETS = 1024
+#: Rows of an element of the held list, and of a frame that is put out.
+CHUNK = 10_000
+#: What is held of rows: keys, microseconds, points (0) before ticks (1) of one time, the order of equal ones, values.
+HELD = "key array<string>, us array<long>, side array<int>, seq array<long>, value array<double>"
+TYPES = {"key": object, "us": "int64", "side": "int64", "seq": "int64", "value": "float64"}
+ASOF = "key string, seq long, us long, value double, last double"
+INDICATORS = "key string, seq long, us long, close double, rsi14 double, ema12 double, ewma_vol double"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+Columns = dict[str, np.ndarray]
+
+
+def _take(rows: Columns, at) -> Columns:
+    return {c: x[at] for c, x in rows.items()}
+
+
+def _joined(parts: list) -> Columns:
+    """Rows of elements of the held list, as a column each."""
+    return {c: np.concatenate([np.array(p[i], dtype=t) for p in parts]) if parts else np.empty(0, t) for i, (c, t) in enumerate(TYPES.items())}
+
 
 class InOrder(StatefulProcessor):
-    """Holds rows back and hands them on in order of (time, side, seq); a subclass says what becomes of them."""
+    """Holds rows back and hands them on by key, in order of (time, side, seq); a subclass says what becomes of them."""
 
-    state = "value double"
-    columns: list[str] = []
+    state = "value array<double>"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", HELD)
-        self.own = handle.getValueState("own", self.state)
+        self.own = handle.getValueState("own", f"key array<string>, {self.state}")
 
-    def step(self, key: tuple, rows: list[tuple], own: tuple | None) -> tuple[list[tuple], tuple | None]:
-        """(what rows, in order, give; the state after them)."""
+    def step(self, rows: Columns, starts: np.ndarray, own: dict) -> Columns:
+        """What rows give, those of a key together and in order, each key's from one of starts on; own, the keys' states, is brought up to date."""
         raise NotImplementedError
 
+    def _hold(self, rows: Columns) -> list[tuple]:
+        """rows as elements of the held list; a timer for the first that falls due, which is fired once the watermark is over it."""
+        self.handle.registerTimer(-(-int(rows["us"].min()) // 1000) - 1)
+        return [tuple(x[lo : lo + CHUNK].tolist() for x in rows.values()) for lo in range(0, len(rows["us"]), CHUNK)]
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: list[tuple] = []
-        for frame in rows:
-            us = frame["time"].to_numpy("datetime64[us]").astype("int64")
-            new += zip(us.tolist(), frame["side"].astype(int).tolist(), frame["seq"].astype(int).tolist(), frame["value"].astype(float).tolist())
-        if new:
-            self.held.appendList(new)
-            self.handle.registerTimer(min(r[0] for r in new) // 1000 + 1)
+        new = _joined([[frame[c].to_numpy() for c in TYPES] for frame in rows])
+        if len(new["us"]):
+            self.held.appendList(self._hold(new))
         return iter(())  # everything waits for the watermark
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(r) for r in self.held.get())
-        due, later = [r for r in held if r[0] <= upto], [r for r in held if r[0] > upto]
-        if later:
-            self.held.put(later)
-            self.handle.registerTimer(later[0][0] // 1000 + 1)
-        else:
+        held = _joined(list(self.held.get()))
+        due = held["us"] <= timerValues.getCurrentWatermarkInMs() * 1000
+        if not due.any():
+            return
+        if due.all():
             self.held.clear()
-        out: list[tuple] = []
-        if due:
-            out, own = self.step(key, due, tuple(self.own.get()) if self.own.exists() else None)
-            if own is not None:
-                self.own.update(own)
-        if out:
-            yield pd.DataFrame(dict(zip(self.columns, zip(*out))))
+        else:
+            self.held.put(self._hold(_take(held, ~due)))
+        rows = _take(held, due)
+        codes, _ = pd.factorize(rows["key"], use_na_sentinel=False)
+        order = np.lexsort((rows["value"], rows["seq"], rows["side"], rows["us"], codes))
+        rows, codes = _take(rows, order), codes[order]
+        own = {k: state for k, *state in zip(*self.own.get())} if self.own.exists() else {}
+        out = self.step(rows, np.flatnonzero(np.diff(codes, prepend=-1)), own)
+        if own:
+            self.own.update((list(own), *map(list, zip(*own.values()))))
+        for lo in range(0, len(out["us"]), CHUNK):
+            yield pd.DataFrame(_take(out, slice(lo, lo + CHUNK)))
 
     def close(self) -> None:
         pass
 
 
-def _stamp(us: int) -> pd.Timestamp:
-    return pd.Timestamp(us, unit="us")
-
-
 class LastPoint(InOrder):
     """Each tick with the last point at or before it."""
 
-    columns = ["key", "seq", "time", "value", "last"]
-
-    def step(self, key, rows, own):
-        last, out = (own[0] if own else None), []
-        for us, side, seq, value in rows:
-            if side == 0:
-                last = value
-            else:
-                out.append((key[0], seq, _stamp(us), value, last))
-        return out, None if last is None else (last,)
+    def step(self, rows, starts, own):
+        n, tick = len(rows["us"]), rows["side"] == 1
+        sizes = np.diff(starts, append=n)
+        keys = rows["key"][starts]
+        begin = np.repeat([own[k][0] if k in own else np.nan for k in keys], sizes)
+        point = np.maximum.accumulate(np.where(tick, -1, np.arange(n)))  # the last point's place, of this key or one before
+        last = np.where(point >= np.repeat(starts, sizes), rows["value"][point], begin)
+        ends = starts + sizes - 1
+        own.update((k, [v]) for k, v, known in zip(keys, last[ends].tolist(), (point[ends] >= starts).tolist()) if known)
+        return _take({"key": rows["key"], "seq": rows["seq"], "us": rows["us"], "value": rows["value"], "last": last}, tick)
 
 
 class Indicators(InOrder):
     """RSI, EMA and EWMA volatility of each tick: the batch recursions, one step at a time."""
 
-    state = "n long, close double, gain double, loss double, ema double, variance double"
-    columns = ["key", "seq", "time", "close", "rsi14", "ema12", "ewma_vol"]
+    state = "n array<long>, close array<double>, gain array<double>, loss array<double>, ema array<double>, variance array<double>"
     periods = (14, 12, 20)
 
-    def step(self, key, rows, own):
-        n, before, gain, loss, mean, var = own or (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+    def step(self, rows, starts, own):
         rsi, ema, vol = self.periods
         out = []
-        for us, _, seq, c in rows:
-            move, r = (c - before, float(np.log(c / before))) if n else (0.0, 0.0)
-            share = 1 / rsi
-            keep = 1.0 if n <= rsi else 1 - share  # sums until the seed is complete
-            gain, loss = keep * gain + share * max(move, 0.0), keep * loss + share * max(-move, 0.0)
-            mean = c if not n else mean + 2 / (ema + 1) * (c - mean)
-            var = 0.0 if not n else var + 2 / (vol + 1) * (r * r - var)
-            value = None if n < rsi else 100.0 if loss == 0 else 0.0 if gain == 0 else 100 - 100 / (1 + gain / loss)
-            out.append((key[0], seq, _stamp(us), c, value, mean, float(np.sqrt(max(var, 0.0)))))
-            n, before = n + 1, c
-        return out, (n, before, gain, loss, mean, var)
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(rows["us"])]):
+            key = rows["key"][lo]
+            n, before, gain, loss, mean, var = own.get(key, (0, 0.0, 0.0, 0.0, 0.0, 0.0))
+            for c in rows["value"][lo:hi].tolist():
+                move, r = (c - before, float(np.log(c / before))) if n else (0.0, 0.0)
+                share = 1 / rsi
+                keep = 1.0 if n <= rsi else 1 - share  # sums until the seed is complete
+                gain, loss = keep * gain + share * max(move, 0.0), keep * loss + share * max(-move, 0.0)
+                mean = c if not n else mean + 2 / (ema + 1) * (c - mean)
+                var = 0.0 if not n else var + 2 / (vol + 1) * (r * r - var)
+                value = np.nan if n < rsi else 100.0 if loss == 0 else 0.0 if gain == 0 else 100 - 100 / (1 + gain / loss)
+                out.append((value, mean, float(np.sqrt(max(var, 0.0)))))
+                n, before = n + 1, c
+            own[key] = (n, before, gain, loss, mean, var)
+        made = np.array(out)
+        return {"key": rows["key"], "seq": rows["seq"], "us": rows["us"], "close": rows["value"], "rsi14": made[:, 0], "ema12": made[:, 1], "ewma_vol": made[:, 2]}
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -116,8 +135,12 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def _keyed(rows: DataFrame, processor: StatefulProcessor, schema: str, late: str) -> DataFrame:
+    """What the processor makes of rows(key, seq, time, value, side); rows without a time have no place in an order."""
     use_rocksdb(rows.sparkSession)
-    return rows.withWatermark("time", late).groupBy("key").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    rows = rows.filter("time IS NOT NULL").withWatermark("time", late)
+    dealt = rows.select("*", F.unix_micros("time").alias("us"), F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket"))
+    made = dealt.groupBy("bucket").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    return made.select(*(F.timestamp_micros("us").alias("time") if c == "us" else c for c in made.columns))
 
 
 def asof_stream(ticks: DataFrame, points: DataFrame, late: str = "2 hours") -> DataFrame:

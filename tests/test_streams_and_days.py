@@ -185,3 +185,90 @@ def test_indicators_of_a_batch_come_out_in_chunks(spark, monkeypatch):
     for u, d in zip(up[14:], down[14:]):
         gain, loss = (gain * 13 + u) / 14, (loss * 13 + d) / 14
     assert abs(rows["rsi14"].iloc[-1] - (100 - 100 / (1 + gain / loss))) < 1e-9
+
+
+class Handle:
+    """A processor's handle without a stream: its state, the elements that were written, the timers."""
+
+    def __init__(self):
+        self.written, self.timers = [], []
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def getListState(self, name, schema):
+        outer, rows = self, []
+
+        class Held:
+            def get(self):
+                return iter(list(rows))
+
+            def appendList(self, new):
+                outer.written += new
+                rows.extend(new)
+
+            def put(self, new):
+                rows.clear()
+                self.appendList(new)
+
+            clear = lambda self: rows.clear()
+
+        return Held()
+
+    def getValueState(self, name, schema):
+        class Own:
+            kept = None
+            exists = lambda self: self.kept is not None
+            get = lambda self: self.kept
+
+            def update(self, new):
+                self.kept = new
+
+        return Own()
+
+
+class Mark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_many_keys_of_a_group_are_held_in_few_elements():
+    """What a micro-batch holds is written many rows at a time, whatever the number of keys; points of a batch before count in the next."""
+    rng = np.random.default_rng(8)
+    n = 24_000
+    rows = pd.DataFrame({"key": [f"k{i}" for i in rng.integers(0, 600, n)], "seq": rng.permutation(n), "us": rng.integers(0, 4_000_000, n) * 1000, "side": rng.integers(0, 4, n).clip(0, 1), "value": rng.uniform(1, 9, n)})
+    rows.loc[rows.index[::50], "key"] = None
+    handle, processor = Handle(), ordered.LastPoint()
+    processor.init(handle)
+    got, elements = [], []
+    for part, mark in ((rows[rows["us"] < 2_000_000_000], 1_500_000), (rows[rows["us"] >= 2_000_000_000], 3_000_000)):
+        assert list(processor.handleInputRows((7,), iter(np.array_split(part.sample(frac=1, random_state=1), 5)), None)) == []
+        elements.append(len(handle.written))
+        assert handle.timers[-1] < part["us"].min() / 1000 <= handle.timers[-1] + 1
+        got += list(processor.handleExpiredTimer((7,), Mark(mark), None))
+        assert list(processor.handleExpiredTimer((7,), Mark(mark), None)) == []  # a second timer of the group
+    assert elements[0] == 2 and len(handle.written) <= 8 and max(map(len, got)) <= ordered.CHUNK
+    want, last = {}, {}
+    for r in rows.sort_values(["us", "side", "seq"]).itertuples():
+        if r.side == 0:
+            last[r.key] = r.value
+        elif r.us <= 3_000_000_000:
+            want[r.seq] = (r.key, r.us, r.value, last.get(r.key))
+    made = {r.seq: (r.key, r.us, r.value, None if np.isnan(r.last) else r.last) for r in pd.concat(got).itertuples()}
+    clean = lambda rows_: {s: (None if k != k else k, *rest) for s, (k, *rest) in rows_.items()}
+    assert clean(made) == clean(want) and sum(map(len, got)) == len(want) and any(v[3] is None for v in want.values())
+
+
+def test_a_row_at_the_watermark_itself_comes_out_and_zones_do_not_matter(spark, tmp_path):
+    rows = [("a", 0, T0, 1.0, True), ("b", 1, T0 + datetime.timedelta(minutes=30), 2.0, False), ("c", 2, T0 + datetime.timedelta(minutes=90), 3.0, False), (None, 3, None, 4.0, False)]
+    files(spark, str(tmp_path / "in"), [rows], KEYED)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        read = spark.readStream.schema(KEYED).parquet(str(tmp_path / "in"))
+        stream = ordered.asof_stream(read, read.filter("point"), "1 hour").withColumn("s", F.unix_seconds("time"))
+        got = drained(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    start = int(T0.replace(tzinfo=datetime.timezone.utc).timestamp())
+    assert {(r["key"], r["seq"], r["s"] - start, r["last"]) for r in got} == {("a", 0, 0, 1.0), ("b", 1, 1800, None)}
