@@ -73,9 +73,9 @@ def _balanced(train: DataFrame) -> DataFrame:
     return train.join(F.broadcast(n), "y_true").withColumn("w", F.col("weight") * F.col("__n") / (2 * F.col("__k"))).drop("__k", "__n")
 
 
-def _logistic(train: DataFrame, c: float = C_DIRECTION, elastic: float = 0.0, steps: int = 100):
-    """The sum of weighted losses, times c, beside half the squared coefficients of standardised features: MLlib divides both by the weights' sum."""
-    total = train.agg(F.sum("w")).first()[0] or 1.0
+def _logistic(train: DataFrame, c: float = C_DIRECTION, elastic: float = 0.0, steps: int = 100, total: float | None = None):
+    """The sum of weighted losses, times c, beside half the squared coefficients of standardised features: MLlib divides both by the weights' sum, total, which is summed here if it isn't given."""
+    total = total or train.agg(F.sum("w")).first()[0] or 1.0
     return LogisticRegression(labelCol="y_true", weightCol="w", regParam=1 / (c * total), elasticNetParam=elastic, maxIter=steps, tol=1e-6).fit(train)
 
 
@@ -332,29 +332,34 @@ BOOSTED_SPACE = {"maxDepth": S.Choice((3, 4, 5, 6)), "maxIter": S.Choice((100, 2
 LOGISTIC_SPACE = {"c": S.Uniform(0.001, 10.0, log=True), "elastic": S.Uniform(0.0, 1.0)}
 
 
-#: Steps of a fit inside the search.
-SEARCH_STEPS = 25
+#: Steps of a fit inside the search; rows of a partition of what it fits and scores, so that a step is a handful of tasks.
+SEARCH_STEPS, FOLD_PART = 25, 100_000
 
 
 def tune(rows: DataFrame, space: dict | None = None, kind: str = "logreg", evaluations: int = 50, n_splits: int = 5, min_train: int = 500, seed: int = 0, together: int = 2 * TOGETHER) -> DataFrame:
     """The trial log of a sequential search, best first: the loss is the negative of the mean accuracy over purged folds; folds of one class don't count.
 
-    The folds' train rows are written once, not once a trial. Without any fold that counts the loss is 1.
+    The folds' rows and the sums of their weights are kept, not made once a trial; a lost part of them is made again from the written rows. Without any fold that counts the loss is 1.
     """
     space = space or (BOOSTED_SPACE if kind == "gbm" else LOGISTIC_SPACE)
     rows = settled(rows.select("row_idx", "y_true", "weight", "features"))
     folds = V.walk_forward(rows.count(), n_splits=n_splits, min_train=min_train)
-    pairs = [(settled(_balanced(between(rows, a, b))), settled(between(rows, lo, hi))) for _, a, b, lo, hi in folds]
-    pairs = [p for p in pairs if _both_classes(p[0])]
+    kept = lambda part, n: part.coalesce(max(1, -(-n // FOLD_PART))).persist()
+    pairs = [(kept(_balanced(between(rows, a, b)), b - a), kept(between(rows, lo, hi), hi - lo)) for _, a, b, lo, hi in folds]
+    counted = [(train, test, {} if kind == "gbm" else {"steps": SEARCH_STEPS, "total": train.agg(F.sum("w")).first()[0]}) for train, test in pairs if _both_classes(train)]
 
     def loss(params: dict) -> float:
         own, c = dict(params), params.get("c", C_DIRECTION)
         own.pop("c", None)
-        own |= {} if kind == "gbm" else {"steps": SEARCH_STEPS}
-        right = [_fit(train, kind, c, own).transform(test).agg(F.avg((F.col("prediction") == F.col("y_true")).cast("double"))).first()[0] for train, test in pairs]
+        right = [_fit(train, kind, c, own | fixed).transform(test).agg(F.avg((F.col("prediction") == F.col("y_true")).cast("double"))).first()[0] for train, test, fixed in counted]
         return -float(np.mean(right)) if right else 1.0
 
-    return S.trial_log(rows.sparkSession, S.minimise(loss, space, evaluations, seed, together), space)
+    try:
+        trials = S.minimise(loss, space, evaluations, seed, together)
+    finally:
+        for kept_rows in [df for pair in pairs for df in pair]:
+            kept_rows.unpersist()
+    return S.trial_log(rows.sparkSession, trials, space)
 
 
 def leakage_demo(rows: DataFrame, n_splits: int = 5, min_train: int = 500) -> DataFrame:

@@ -159,3 +159,22 @@ def test_unseen_calibration_and_combinations(labelled):
     with pytest.raises(ValueError):
         M.calibrated_report(labelled.limit(200))
     assert M.evaluate_combinatorial(labelled, n_groups=4).count() == 6
+
+
+def test_the_search_fits_folds_of_few_partitions_and_sums_their_weights_once(spark, labelled, monkeypatch):
+    """Rows in many partitions: a step of a fit is a task or two all the same, and a trial's loss is that of plain fits of its folds."""
+    seen, fit = [], M._fit
+
+    def watched(train, kind, c, params):
+        seen.append((train.rdd.getNumPartitions(), params.get("total"), train.agg(F.sum("w")).first()[0]))
+        return fit(train, kind, c, params)
+
+    monkeypatch.setattr(M, "_fit", watched)
+    log = M.tune(labelled.repartition(12, "row_idx"), evaluations=3, n_splits=2, min_train=300, together=1).collect()
+    assert len(log) == 3 and len(seen) == 6
+    assert all(parts == 1 and total == pytest.approx(summed) for parts, total, summed in seen)
+    right = []
+    for _, a, b, lo, hi in V.walk_forward(labelled.count(), n_splits=2, min_train=300):
+        model = M._logistic(M._balanced(M.between(labelled, a, b)), log[0]["c"], log[0]["elastic"], M.SEARCH_STEPS)
+        right.append(M.score(model, M.between(labelled, lo, hi)).agg(F.avg((F.col("y_pred") == F.col("y_true")).cast("double"))).first()[0])
+    assert log[0]["loss"] == pytest.approx(-np.mean(right), abs=5e-3)
