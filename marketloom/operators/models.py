@@ -339,12 +339,12 @@ SEARCH_STEPS, FOLD_PART = 25, 100_000
 def tune(rows: DataFrame, space: dict | None = None, kind: str = "logreg", evaluations: int = 50, n_splits: int = 5, min_train: int = 500, seed: int = 0, together: int = 2 * TOGETHER) -> DataFrame:
     """The trial log of a sequential search, best first: the loss is the negative of the mean accuracy over purged folds; folds of one class don't count.
 
-    The folds' rows and the sums of their weights are kept, not made once a trial; a lost part of them is made again from the written rows. Without any fold that counts the loss is 1.
+    The folds' rows and the sums of their weights are kept, not made once a trial; they are written first, so a lost part is read again. Without any fold that counts the loss is 1.
     """
     space = space or (BOOSTED_SPACE if kind == "gbm" else LOGISTIC_SPACE)
     rows = settled(rows.select("row_idx", "y_true", "weight", "features"))
     folds = V.walk_forward(rows.count(), n_splits=n_splits, min_train=min_train)
-    kept = lambda part, n: part.coalesce(max(1, -(-n // FOLD_PART))).persist()
+    kept = lambda part, n: settled(part.coalesce(max(1, -(-n // FOLD_PART)))).persist()  # written, so that a trial's plans are short
     pairs = [(kept(_balanced(between(rows, a, b)), b - a), kept(between(rows, lo, hi), hi - lo)) for _, a, b, lo, hi in folds]
     counted = [(train, test, {} if kind == "gbm" else {"steps": SEARCH_STEPS, "total": train.agg(F.sum("w")).first()[0]}) for train, test in pairs if _both_classes(train)]
 
