@@ -74,7 +74,7 @@ g AS (SELECT *, (price_at_resolution - price_at_prediction) / price_at_predictio
 SELECT id, symbol, predicted_direction, {rr('price_at_prediction', 'price_at_prediction')}, {rr('price_at_resolution', 'price_at_resolution')}, {rr('move', 'move_pct')},
 CASE WHEN (CASE WHEN abs(move) < 0.15 THEN predicted_direction = 'NEUTRAL' WHEN move > 0 THEN predicted_direction = 'UP' ELSE predicted_direction = 'DOWN' END) THEN 'CORRECT' ELSE 'INCORRECT' END AS actual_result FROM g""")
 def stream_grades(spark, d):
-    """Every event as a call, graded against the first price of its symbol one to two hours on, in an interval join of two streams."""
+    """Every event as a call, graded against the first price of its symbol one to two hours on, in a forward as-of join of two streams."""
     k, rows = F.col("event_id"), _events(spark, d)
     calls = rows.select(k.alias("id"), F.col("event_type").alias("symbol"), F.when(k % 3 == 0, "UP").when(k % 3 == 1, "DOWN").otherwise("NEUTRAL").alias("predicted_direction"), F.col("value").alias("price_at_prediction"), F.col("ts").alias("created_at"))
     prices = _events(spark, d).select(F.col("event_type").alias("symbol"), F.col("ts").alias("time"), F.col("event_id").alias("seq"), F.col("value").alias("price"))

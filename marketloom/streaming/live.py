@@ -16,6 +16,7 @@ from marketloom.operators.payload import append_json
 from marketloom.operators.ranks import settled
 from marketloom.operators.signals import latest
 from marketloom.sources.bars import valid_bars
+from marketloom.streaming import ordered
 
 TICKS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 INDICATORS = "symbol string, time timestamp, close double, rsi14 double, ema12 double, ewma_vol double"
@@ -182,17 +183,18 @@ def tick_loop(snapshots: BatchLog, predictions: BatchLog, predict: Callable[[Dat
 def graded_stream(calls: DataFrame, prices: DataFrame, due: str = "60 minutes", until: str = "120 minutes", late: str = "2 hours") -> DataFrame:
     """calls(id, symbol, predicted_direction, price_at_prediction, created_at) graded against the first of prices(symbol, time, seq, price) from `due` to `until` after each.
 
-    An interval join of two watermarked streams: its state on either side goes once no partner can come. The earliest
-    match of a call is known, and the call comes out, when the watermark has passed every price that could be
+    An as-of join forward in time of two watermarked streams: what it costs grows with the rows, not with the prices that
+    each call could take. The earliest match of a call is known, and the call comes out, when the watermark has passed every price that could be
     one: the result is that of a batch, whatever the order of arrival within `late`. Calls of price 0 and those without a price in time have no row.
     """
-    c = calls.filter("price_at_prediction <> 0").withWatermark("created_at", late)
-    p = prices.select(F.col("symbol").alias("price_symbol"), F.col("time").alias("price_time"), F.col("seq").alias("price_seq"), "price").withWatermark("price_time", late)
-    near = (F.col("symbol") == F.col("price_symbol")) & (F.col("price_time") >= F.col("created_at") + F.expr(f"INTERVAL {due}")) & (F.col("price_time") < F.col("created_at") + F.expr(f"INTERVAL {until}"))
-    keys = ["id", "symbol", "predicted_direction", "price_at_prediction"]
-    first = c.join(p, near).groupBy(F.window("created_at", "1 hour"), *keys).agg(F.min_by("price", F.struct("price_time", "price_seq")).alias("price_at_resolution"))
+    keys = {"id": "id", "symbol": "key", "predicted_direction": "direction", "price_at_prediction": "value"}
+    kinds = {name: "double" if held == "value" else "string" for name, held in keys.items()}
+    c = calls.filter("price_at_prediction <> 0").select(F.col("created_at").alias("time"), *(F.col(name).cast(kinds[name]).alias(held) for name, held in keys.items()))
+    p = prices.select("time", F.col("symbol").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), F.col("price").cast("double").alias("value"))
+    first = ordered.first_price_stream(c, p, due, until, late)
+    first = first.select(*(F.col(held).cast(calls.schema[name].dataType).alias(name) for name, held in keys.items()), F.col("first").alias("price_at_resolution"))
     move = (F.col("price_at_resolution") - F.col("price_at_prediction")) / F.col("price_at_prediction") * 100
-    graded = first.select(*keys, "price_at_resolution", move.alias("move_pct"))
+    graded = first.select("*", move.alias("move_pct"))
     return graded.withColumn("actual_result", T.result_of(F.col("predicted_direction"), F.col("move_pct")))
 
 

@@ -7,10 +7,12 @@ reaches its earliest held row. So what a micro-batch costs beside its rows is th
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,71 +24,103 @@ CHUNK = 10_000
 #: What is held of rows: keys, microseconds, points (0) before ticks (1) of one time, the order of equal ones, values.
 HELD = "key array<string>, us array<long>, side array<int>, seq array<long>, value array<double>"
 TYPES = {"key": object, "us": "int64", "side": "int64", "seq": "int64", "value": "float64"}
+#: Windows of a call's wait whose rows of a key are dealt together; the prices of the first are wanted by the group before, too.
+SPAN = 4
 ASOF = "key string, seq long, us long, value double, last double"
+FIRST = "key string, id string, direction string, value double, first double"
 INDICATORS = "key string, seq long, us long, close double, rsi14 double, ema12 double, ewma_vol double"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 Columns = dict[str, np.ndarray]
 
+#: The Python process in which Spark sets such a stream up doesn't get the package that the workers do, so processors are sent by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _take(rows: Columns, at) -> Columns:
     return {c: x[at] for c, x in rows.items()}
 
 
-def _joined(parts: list) -> Columns:
+def _joined(parts: list, types: dict = TYPES) -> Columns:
     """Rows of elements of the held list, as a column each."""
-    return {c: np.concatenate([np.array(p[i], dtype=t) for p in parts]) if parts else np.empty(0, t) for i, (c, t) in enumerate(TYPES.items())}
+    return {c: np.concatenate([np.array(p[i], dtype=t) for p in parts]) if parts else np.empty(0, t) for i, (c, t) in enumerate(types.items())}
 
 
-class InOrder(StatefulProcessor):
-    """Holds rows back and hands them on by key, in order of (time, side, seq); a subclass says what becomes of them."""
+def _ordered(rows: Columns) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by (key, time, side, seq), and each one's key as a number, in that order."""
+    codes, _ = pd.factorize(rows["key"], use_na_sentinel=False)
+    order = np.lexsort((rows["value"], rows["seq"], rows["side"], rows["us"], codes))
+    return order, codes[order]
 
-    state = "value array<double>"
+
+class Holding(StatefulProcessor):
+    """Holds rows back until the watermark has reached the time at which they are due; a subclass says what becomes of them."""
+
+    held_as, types = HELD, TYPES
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", HELD)
-        self.own = handle.getValueState("own", f"key array<string>, {self.state}")
+        self.held = handle.getListState("held", self.held_as)
 
-    def step(self, rows: Columns, starts: np.ndarray, own: dict) -> Columns:
-        """What rows give, those of a key together and in order, each key's from one of starts on; own, the keys' states, is brought up to date."""
+    def due(self, rows: Columns) -> np.ndarray:
+        """The microsecond at which each row is due."""
+        return rows["us"]
+
+    def give(self, held: Columns, due: np.ndarray) -> Columns:
+        """What comes out for the rows of held that are due; only the others are kept."""
         raise NotImplementedError
 
     def _hold(self, rows: Columns) -> list[tuple]:
         """rows as elements of the held list; a timer for the first that falls due, which is fired once the watermark is over it."""
-        self.handle.registerTimer(-(-int(rows["us"].min()) // 1000) - 1)
+        self.handle.registerTimer(-(-int(self.due(rows).min()) // 1000) - 1)
         return [tuple(x[lo : lo + CHUNK].tolist() for x in rows.values()) for lo in range(0, len(rows["us"]), CHUNK)]
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = _joined([[frame[c].to_numpy() for c in TYPES] for frame in rows])
+        new = _joined([[frame[c].to_numpy() for c in self.types] for frame in rows], self.types)
         if len(new["us"]):
             self.held.appendList(self._hold(new))
         return iter(())  # everything waits for the watermark
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = _joined(list(self.held.get()))
-        due = held["us"] <= timerValues.getCurrentWatermarkInMs() * 1000
+        held = _joined(list(self.held.get()), self.types)
+        due = self.due(held) <= timerValues.getCurrentWatermarkInMs() * 1000
         if not due.any():
             return
         if due.all():
             self.held.clear()
         else:
             self.held.put(self._hold(_take(held, ~due)))
-        rows = _take(held, due)
-        codes, _ = pd.factorize(rows["key"], use_na_sentinel=False)
-        order = np.lexsort((rows["value"], rows["seq"], rows["side"], rows["us"], codes))
-        rows, codes = _take(rows, order), codes[order]
-        own = {k: state for k, *state in zip(*self.own.get())} if self.own.exists() else {}
-        out = self.step(rows, np.flatnonzero(np.diff(codes, prepend=-1)), own)
-        if own:
-            self.own.update((list(own), *map(list, zip(*own.values()))))
-        for lo in range(0, len(out["us"]), CHUNK):
+        out = self.give(held, due)
+        for lo in range(0, len(out["key"]), CHUNK):
             yield pd.DataFrame(_take(out, slice(lo, lo + CHUNK)))
 
     def close(self) -> None:
         pass
 
 
+class InOrder(Holding):
+    """Hands rows on by key, in order of (time, side, seq), with a state of each key."""
+
+    state = "value array<double>"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.own = handle.getValueState("own", f"key array<string>, {self.state}")
+
+    def step(self, rows: Columns, starts: np.ndarray, own: dict) -> Columns:
+        """What rows give, those of a key together and in order, each key's from one of starts on; own, the keys' states, is brought up to date."""
+        raise NotImplementedError
+
+    def give(self, held, due):
+        rows = _take(held, due)
+        order, codes = _ordered(rows)
+        own = {k: state for k, *state in zip(*self.own.get())} if self.own.exists() else {}
+        out = self.step(_take(rows, order), np.flatnonzero(np.diff(codes, prepend=-1)), own)
+        if own:
+            self.own.update((list(own), *map(list, zip(*own.values()))))
+        return out
+
+
 class LastPoint(InOrder):
     """Each tick with the last point at or before it."""
 
@@ -129,6 +163,36 @@ class Indicators(InOrder):
         return {"key": rows["key"], "seq": rows["seq"], "us": rows["us"], "close": rows["value"], "rsi14": made[:, 0], "ema12": made[:, 1], "ewma_vol": made[:, 2]}
 
 
+class FirstPrice(Holding):
+    """Each call (side 0, at the first time that counts) with the first price (side 1) of its key from then on and less than `width` microseconds later.
+
+    Time is cut into windows of `width`; the price of a call lies in the call's own window or in the next one. So calls and
+    prices are due, and go, two windows from the begin of theirs on: then no price can come that a call wants, and no call that wants a price.
+    """
+
+    held_as = f"{HELD}, id array<string>, direction array<string>"
+    types = TYPES | {"id": object, "direction": object}
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def due(self, rows):
+        return (rows["us"] // self.width + 2) * self.width
+
+    def give(self, held, due):
+        order, codes = _ordered(held)  # a price at the call's own time comes behind it
+        rows, due, n = _take(held, order), due[order], len(order)
+        price = rows["side"] == 1
+        following = np.minimum.accumulate(np.where(price, np.arange(n), n)[::-1])[::-1]
+        call = np.flatnonzero(due & ~price & (following < n))
+        at = following[call]
+        good = (codes[at] == codes[call]) & (rows["us"][at] < rows["us"][call] + self.width)
+        call, at = call[good], at[good]
+        out = {c: rows[c][call] for c in ("key", "id", "direction", "value")} | {"first": rows["value"][at]}
+        again = pd.DataFrame(out | {"key": codes[call], "first": rows["us"][call] // self.width}).duplicated()  # the earliest stays
+        return _take(out, ~again.to_numpy())
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Keyed state of this kind needs RocksDB as the session's state store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
@@ -157,3 +221,25 @@ def asof_stream(ticks: DataFrame, points: DataFrame, late: str = "2 hours") -> D
 def indicator_stream(ticks: DataFrame, late: str = "2 hours") -> DataFrame:
     """RSI, EMA and EWMA volatility of ticks(key, seq, time, value) in event-time order, whatever the order of arrival."""
     return _keyed(ticks.select("key", "seq", "time", "value", F.lit(1).alias("side")), Indicators(), INDICATORS, late)
+
+
+def first_price_stream(calls: DataFrame, prices: DataFrame, due: str, until: str, late: str = "2 hours") -> DataFrame:
+    """calls(key, id, direction, value, time) with `first`, the value of the first of prices(key, seq, time, value) from `due` to less than `until` after each; those without one have no row.
+
+    Neither side is joined with the other: both are dealt by key and span of time, sorted, and passed over once. A call comes out once the watermark has
+    passed every price that its window of calls could want. The same call twice in a window counts once, with the earlier price. NULL is no price.
+    """
+    use_rocksdb(calls.sparkSession)
+    wait, width = (int(pd.Timedelta(x) // pd.Timedelta(microseconds=1)) for x in (due, until))
+    width -= wait
+    us = F.unix_micros("time")
+    begin = lambda at: at - F.pmod(at, F.lit(SPAN * width))
+    names = ["time", "us", "key", "side", "seq", "value", "id", "direction", "span"]
+    c = calls.filter("key IS NOT NULL AND time IS NOT NULL AND value IS NOT NULL").withWatermark("time", late).withColumn("us", us + F.lit(wait))
+    c = c.withColumns({"side": F.lit(0), "seq": F.lit(0).cast("long"), "span": begin(F.col("us"))})
+    p = prices.filter("key IS NOT NULL AND time IS NOT NULL AND value IS NOT NULL").withWatermark("time", late).withColumn("us", us)
+    p = p.withColumns({"side": F.lit(1), "seq": F.coalesce("seq", F.lit(-(2**63))), "id": F.lit(None).cast("string"), "direction": F.lit(None).cast("string")})
+    p = p.withColumn("span", F.explode(F.array_distinct(F.array(begin(F.col("us")), begin(F.col("us") - F.lit(width))))))
+    dealt = c.select(*names).unionByName(p.select(*names)).withColumn("bucket", F.pmod(F.xxhash64("key", "span"), F.lit(BUCKETS))).drop("span")
+    made = dealt.groupBy("bucket").transformWithStateInPandas(FirstPrice(width), FIRST, "Append", "EventTime")
+    return made.withColumns({x: F.coalesce(x, F.lit(float("nan"))) for x in ("value", "first")})  # a frame's NaN, which comes back as NULL

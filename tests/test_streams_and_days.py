@@ -272,3 +272,82 @@ def test_a_row_at_the_watermark_itself_comes_out_and_zones_do_not_matter(spark,
         spark.conf.set("spark.sql.session.timeZone", zone)
     start = int(T0.replace(tzinfo=datetime.timezone.utc).timestamp())
     assert {(r["key"], r["seq"], r["s"] - start, r["last"]) for r in got} == {("a", 0, 0, 1.0), ("b", 1, 1800, None)}
+
+
+CALLS = "id long, symbol string, predicted_direction string, price_at_prediction double, created_at timestamp"
+PRICES = "symbol string, time timestamp, seq long, price double"
+
+
+def graded(spark, folder, calls, prices):
+    """What graded_stream gives for these parts, and the progress of its micro-batches."""
+    files(spark, f"{folder}/c", calls, CALLS)
+    files(spark, f"{folder}/p", prices, PRICES)
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+    stream = live.graded_stream(read("c", CALLS), read("p", PRICES))
+    run = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").collect(), run.recentProgress
+
+
+def test_grading_costs_rows_not_pairs(spark, tmp_path):
+    """A call of a dense symbol could take a thousand prices; what the state is written with are elements of many rows, neither rows nor pairs."""
+    rng = np.random.default_rng(12)
+    n, hours = 6_000, 7
+    at, when = np.sort(rng.integers(0, hours * 3600, n)), np.sort(rng.integers(0, hours * 3600, n))
+    price = rng.uniform(99, 101, n)
+    time = lambda s: T0 + datetime.timedelta(seconds=int(s))
+    calls = [(i, "A", "UP", 100.0, time(s)) for i, s in enumerate(at)]
+    prices = [("A", time(s), i, float(price[i])) for i, s in enumerate(when)]
+    got, progress = graded(spark, str(tmp_path), [calls[: n // 2], calls[n // 2 :]], [prices[: n // 2], prices[n // 2 :]])
+    mark, first = min(at[-1], when[-1]) - 7200, np.searchsorted(when, at + 3600)
+    want = {i: float(price[first[i]]) for i in range(n) if (at[i] // 3600 + 3) * 3600 <= mark and first[i] < n and when[first[i]] < at[i] + 7200}
+    assert len(want) > 1_000 and {r["id"]: r["price_at_resolution"] for r in got} == want and len(got) == len(want)
+    assert sum(s.numRowsUpdated for p in progress for s in p.stateOperators) < n / 50
+
+
+def test_grades_of_odd_calls_and_prices(spark, tmp_path):
+    """Ends of the wait, equal times, the same call twice, what is NULL; a window's prices come with the next batch."""
+    m = lambda x: T0 + datetime.timedelta(minutes=x)
+    nan = float("nan")
+    calls = [
+        (1, "A", "UP", 10.0, m(10)), (1, "A", "UP", 10.0, m(10)), (1, "A", "UP", 10.0, m(12)),  # the same call
+        (2, "A", "DOWN", 10.0, m(20)), (3, "A", "UP", 10.0, m(239)), (None, "A", "UP", 10.0, m(30)), (4, "A", None, 10.0, m(30)), (5, "A", "UP", nan, m(31)),
+        (6, None, "UP", 10.0, m(10)), (7, "A", "UP", 10.0, None), (8, "A", "UP", None, m(10)), (9, "A", "UP", 0.0, m(10)), (10, "B", "UP", 10.0, m(10)), (11, "C", "UP", 10.0, m(0)), (12, "C", "UP", 10.0, m(1)), (-13, "D", "UP", 4.0, m(-30)),
+    ]
+    prices = [
+        ("A", m(70), 5, 11.0), ("A", m(70), 4, 12.0), ("A", m(69.99), 1, 99.0), ("A", m(75), None, None), ("A", m(80), 8, 13.0), ("A", m(80), None, 14.0), ("A", m(90), 1, nan), ("A", m(91), 1, 15.0), ("A", m(305), 1, 16.0),
+        (None, m(75), 1, 17.0), ("A", None, 1, 18.0), ("C", m(120), 1, 19.0), ("D", m(30), 1, 5.0), ("B", m(130), 1, 20.0), ("Z", m(900), 1, 1.0),
+    ]
+    end = [(99, "Z", "UP", 1.0, m(900))]
+    got, _ = graded(spark, str(tmp_path), [calls[:9], calls[9:], end], [prices[:4], prices[4:9], prices[9:]])
+    made = sorted((-99 if r["id"] is None else r["id"], r["symbol"], r["price_at_resolution"]) for r in got)
+    assert [r for r in made if r[2] == r[2]] == sorted([(1, "A", 12.0), (2, "A", 14.0), (3, "A", 16.0), (5, "A", 15.0), (12, "C", 19.0), (-13, "D", 5.0)])
+    assert [(i, s) for i, s, x in made if x != x] == [(-99, "A"), (4, "A")]  # NaN is a price, as it was
+    moves = {r["id"]: r["move_pct"] for r in got}
+    assert moves[-13] == 25.0 and np.isnan(moves[5]) and next(r for r in got if r["id"] == 4)["predicted_direction"] is None
+
+
+def test_calls_wait_in_few_elements_and_windows_go_one_by_one():
+    """A timer takes the windows that are due and keeps the next one's rows, with the prices that the calls before want from it."""
+    rng = np.random.default_rng(13)
+    n, width = 30_000, 1_000_000
+    rows = pd.DataFrame({"key": [f"k{i}" for i in rng.integers(0, 5, n)], "us": rng.integers(-2, 4000, n) * 1000, "side": rng.integers(0, 2, n), "seq": rng.permutation(n), "value": rng.uniform(1, 9, n)})
+    rows["id"], rows["direction"] = [str(i) if s == 0 else None for i, s in enumerate(rows["side"])], None
+    handle, processor = Handle(), ordered.FirstPrice(width)
+    processor.init(handle)
+    assert list(processor.handleInputRows((7,), iter(np.array_split(rows.sample(frac=1, random_state=1), 4)), None)) == []
+    assert len(handle.written) == 3 and handle.timers == [999]
+    got = {}
+    for mark, due in ((999, -9), (1_000, 0), (2_999, 1_000), (4_000, 3_000), (5_999, 4_000)):
+        frames = list(processor.handleExpiredTimer((7,), Mark(mark), None))
+        assert max(map(len, frames), default=0) <= ordered.CHUNK
+        fresh = {r.id: (r.key, r.value, r.first) for f in frames for r in f.itertuples()}
+        assert not fresh.keys() & got.keys() and sum(map(len, frames)) == len(fresh)
+        got |= fresh
+        want = {}
+        for key, own in rows.groupby("key"):
+            p = own[own["side"] == 1].sort_values(["us", "seq"])
+            c = own[(own["side"] == 0) & (own["us"] < due * 1000)]
+            at = np.searchsorted(p["us"].to_numpy(), c["us"].to_numpy())
+            want |= {r.id: (key, r.value, p["value"].iloc[k]) for r, k in zip(c.itertuples(), at) if k < len(p) and p["us"].iloc[k] < r.us + width}
+        assert got == want and (len(got) > 100 or due <= 0)
