@@ -2,7 +2,8 @@
 
 State is Spark's, in RocksDB: a restarted query goes on where it was. Keys are dealt over BUCKETS groups. A group has a
 list of held rows, many to an element, and one state with a line a key; a timer on event time wakes it when the watermark
-reaches its earliest held row. So what a micro-batch costs beside its rows is that of the groups, not of the keys.
+reaches its earliest held row. So what a micro-batch costs beside its rows is that of the groups, not of the keys. Calls that
+wait for a price need no state of a key, so they are dealt by key and span of time.
 """
 
 from __future__ import annotations
