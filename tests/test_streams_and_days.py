@@ -351,3 +351,21 @@ def test_calls_wait_in_few_elements_and_windows_go_one_by_one():
             at = np.searchsorted(p["us"].to_numpy(), c["us"].to_numpy())
             want |= {r.id: (key, r.value, p["value"].iloc[k]) for r, k in zip(c.itertuples(), at) if k < len(p) and p["us"].iloc[k] < r.us + width}
         assert got == want and (len(got) > 100 or due <= 0)
+
+
+def test_grading_goes_on_after_a_restart(spark, tmp_path):
+    """Calls that wait when the query stops are graded by prices that land while it is down."""
+    m = lambda x: T0 + datetime.timedelta(minutes=x)
+    calls, prices = [(i, "A", "UP", 10.0, m(20 * i)) for i in range(60)], [("A", m(7 * i), i, 10.0 + i) for i in range(172)]
+    parts = [([calls[:30]], [prices[:86]]), ([calls[30:]], [prices[86:]])]
+    got = []
+    for k, (c, p) in enumerate(parts):
+        files(spark, str(tmp_path / f"c{k}"), c, CALLS)
+        files(spark, str(tmp_path / f"p{k}"), p, PRICES)
+        for x in "cp":
+            os.makedirs(tmp_path / x, exist_ok=True)
+            os.rename(tmp_path / f"{x}{k}" / "0.parquet", tmp_path / x / f"{k}.parquet")
+        read = lambda name, schema: spark.readStream.schema(schema).parquet(str(tmp_path / name))
+        got.append(drained(live.graded_stream(read("c", CALLS), read("p", PRICES)), str(tmp_path / "out"), str(tmp_path / "state")))
+    want = {i: 10.0 + -(-(20 * i + 60) // 7) for i in range(60) if (20 * i // 60 + 3) * 60 <= 20 * 59 - 120}
+    assert 0 < len(got[0]) < len(got[1]) == len(want) and {r["id"]: r["price_at_resolution"] for r in got[1]} == want
